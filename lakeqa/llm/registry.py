@@ -1,6 +1,10 @@
 """QUERIES and ORACLES of this subpackage."""
 
-from lakeqa.llm import quality
+from lakeqa.llm import mixing, quality, urls
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules}
-ORACLES = {"op1_quality_rules": quality.OP1_SQL}
+QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_url_filters": urls.op3_url_filters,
+}
+ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL}
