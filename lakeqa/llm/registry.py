@@ -1,10 +1,11 @@
 """QUERIES and ORACLES of this subpackage."""
 
-from lakeqa.llm import mixing, quality, urls
+from lakeqa.llm import mixing, quality, secrets, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
     "op3_url_filters": urls.op3_url_filters,
+    "op5_secret_scans": secrets.op5_secret_scans,
 }
 ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL}
