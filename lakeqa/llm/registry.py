@@ -1,11 +1,12 @@
 """QUERIES and ORACLES of this subpackage."""
 
-from lakeqa.llm import mixing, quality, secrets, urls
+from lakeqa.llm import exact_dedup, mixing, quality, secrets, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
     "op3_url_filters": urls.op3_url_filters,
     "op5_secret_scans": secrets.op5_secret_scans,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
-ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL}
+ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
