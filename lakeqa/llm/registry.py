@@ -1,6 +1,6 @@
 """QUERIES and ORACLES of this subpackage."""
 
-from lakeqa.llm import exact_dedup, mixing, quality, secrets, urls
+from lakeqa.llm import byte_bpe, exact_dedup, mixing, quality, secrets, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -8,5 +8,6 @@ QUERIES = {
     "op3_url_filters": urls.op3_url_filters,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
 }
 ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
