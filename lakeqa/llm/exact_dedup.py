@@ -6,8 +6,9 @@ names are sorted and named in the same way, level by level, until each document
 names stand for contents, not for hashes of them, two documents of as many blocks have the same name
 exactly if their normalised texts are equal.
 
-Sorting is a range partitioning by (block, row), so a block that a third of all rows share is spread
-over as many tasks as its size asks for. Each task names what it holds; whether its first block goes on
+Sorting is a range partitioning by (digest of the block, row), so a block that a third of all rows share
+is spread over as many tasks as its size asks for, and what range partitioning samples for the driver is
+short; names come from comparing the blocks themselves. Each task names what it holds; whether its first block goes on
 from the task before it is settled with a row for each task on the driver (two digests and a count).
 After the first level only names travel, not texts; a level halves the rows, and documents of one block
 are finished at once. Every level ends in a checkpoint, so a lost executor costs one level.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,15 +75,16 @@ def _named(keys: list[str], fields: list[str]):
     return run
 
 
-def name_sorted(df: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
+def name_sorted(df: DataFrame, keys: list[str], row: list[str], leading: list[Column] | None = None) -> DataFrame:
     """df without keys, with a column name: an integer, the same for equal keys and rising with them.
 
-    row: columns that tell the rows apart; they spread equal keys over several tasks.
+    row: columns that tell the rows apart; they spread equal keys over several tasks. leading: short values made of the
+    keys to range-partition and sort by first, for long keys.
     """
     fields = [c for c in df.columns if c not in keys]
     schema = T.StructType([*(df.schema[f] for f in fields), T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType()), T.StructField("first", T.BinaryType()), T.StructField("last", T.BinaryType())])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-    placed = df.repartitionByRange(*keys, *row).sortWithinPartitions(*keys, *row)
+    placed = df.repartitionByRange(*(leading or keys), *row).sortWithinPartitions(*(leading or []), *keys, *row)
     ranked = cut(placed.mapInArrow(_named(keys, fields), schema))
     # a row for each task: where its names start, given that its first keys may be the last ones of the task before
     offset, following, offsets = 0, None, []
@@ -110,7 +112,7 @@ def identities(df: DataFrame, text: str = "text", block: int = BLOCK) -> DataFra
     blocks = F.when(F.col("normal") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("normal", F.lit(f"((?s).{{1,{block}}})"), F.lit(1)))
     df = df.withColumn("blocks", blocks).withColumn("n_blocks", F.size("blocks"))
     kept = [f"c{i}" for i in range(len(rest))] + ["row", "n_code_points", "sha256", "n_blocks"]
-    level = name_sorted(df.select(*kept, F.posexplode("blocks").alias("place", "block")), ["block"], ["row", "place"])
+    level = name_sorted(df.select(*kept, F.posexplode("blocks").alias("place", "block")), ["block"], ["row", "place"], [F.unhex(F.sha2("block", 256))])
     done, width = None, 1
     while True:
         single = level.filter(F.col("n_blocks") <= width).drop("place")
@@ -131,13 +133,13 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", b
 
     Of equal texts, the row with the most code points stays, then the one with the smallest id. A large group is a hot
     key on the side of the documents only, in an equi-join that adaptive execution splits; the counts are summed up
-    before the shuffle.
+    before the shuffle, and written, so that the join has a shuffle of its own.
     """
     named = identities(df.select(id_column, text), text, block)
     best = F.struct(
         (-F.col("n_code_points")).alias("n"), F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("row").alias("row")
     )
-    groups = named.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best"))
+    groups = cut(named.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best")))
     return named.join(groups, ["n_blocks", "name"]).select(
         F.col(id_column),
         F.col("best.id").alias("keep_id"),
