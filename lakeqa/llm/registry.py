@@ -1,6 +1,6 @@
 """QUERIES and ORACLES of this subpackage."""
 
-from lakeqa.llm import byte_bpe, exact_dedup, html_text, language, mixing, quality, secrets, urls
+from lakeqa.llm import byte_bpe, exact_dedup, html_text, language, mixing, quality, secrets, token_files, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op7_language_id": language.op7_language_id,
     "op9_html_extraction": html_text.op9_html_extraction,
+    "op6_token_files": token_files.op6_token_files,
 }
 ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
