@@ -1,6 +1,6 @@
 """QUERIES and ORACLES of this subpackage."""
 
-from lakeqa.llm import byte_bpe, exact_dedup, html_text, language, mixing, quality, secrets, token_files, urls
+from lakeqa.llm import byte_bpe, exact_dedup, html_text, language, mixing, near_dedup, quality, secrets, token_files, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_language_id": language.op7_language_id,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op6_token_files": token_files.op6_token_files,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
