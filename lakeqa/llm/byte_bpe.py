@@ -158,21 +158,22 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.mapInArrow(run, T.StructType([T.StructField("decoded", T.BinaryType()) if f.name == "ids" else f for f in df.schema]))
 
 
-def round_trip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df without the text, with n_tokens, ids_sha256 and decoded_sha256: the digests of encoding and of decoding those ids, in one pass."""
+def round_trip(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """df without the text, with n_tokens, ids_sha256, decoded_sha256 (and ids): the digests of encoding and of decoding those ids, in one pass."""
     path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]
+    more = {"n_tokens": (pa.int64(), T.LongType()), "ids_sha256": (pa.string(), T.StringType()), "decoded_sha256": (pa.string(), T.StringType())}
+    more |= {"ids": (pa.binary(), T.BinaryType())} if keep_ids else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
 
         def row(t: str) -> tuple:
             ids = c.encode(t)
-            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+            return (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest(), ids)[: len(more)]
 
-        yield from _rows(batches, text, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], row)
+        yield from _rows(batches, text, list(more), [t for t, _ in more.values()], row)
 
-    more = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return df.mapInArrow(run, _schema(df, text, more))
+    return df.mapInArrow(run, _schema(df, text, [T.StructField(n, t) for n, (_, t) in more.items()]))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeqa.llm.common import SPACE, cut, read, text_of
+from lakeqa.llm.common import SPACE, clear_of, cut, read, text_of
 
 #: Characters of a block.
 BLOCK = 8192
@@ -149,6 +149,22 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", b
     )
 
 
+def drop_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """df without the rows that do not stay. The text is shuffled once: the join and the removal of repeated rows share a key."""
+    groups = exact_groups(df, id_column, text)
+    return keep_rows(df, groups.filter("kept").select(id_column, "text_sha256"), id_column, F.sha2(F.regexp_replace(text_of(text), SPACE, ""), 256), F.length(text_of(text)))
+
+
+def keep_rows(df: DataFrame, kept: DataFrame, id_column: str, mark: Column, size: Column) -> DataFrame:
+    """The rows of df whose id and mark are in kept (id, mark); of several such rows of one id and mark the longest."""
+    h = clear_of(df)
+    key = lambda id_, m: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), m.cast("string"))
+    keys = kept.select(key(F.col(kept.columns[0]), F.col(kept.columns[1])).alias(h + "key"))
+    rows = df.withColumn(h + "key", key(F.col(id_column), mark)).join(keys, h + "key", "left_semi")
+    first = Window.partitionBy(h + "key").orderBy(size.desc())
+    return rows.withColumn(h + "k", F.row_number().over(first)).filter(F.col(h + "k") == 1).select(*df.columns)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 

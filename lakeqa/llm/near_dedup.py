@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeqa.llm.common import cut, read
+from lakeqa.llm.exact_dedup import keep_rows
 
 WORDS, BANDS, ROWS = 5, 40, 6
 #: Darts of a document, about: enough that few documents have an empty coordinate.
@@ -234,7 +235,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text", weights: str = "set") -> DataFrame:
-    """One row for each row of df: its id, class_id, class_size, kept, n_shingles.
+    """One row for each row of df: its id, class_id, class_size, kept, n_shingles, text_hash.
 
     class_id is the smallest id of the class; of each class the row with that id stays, of repeated rows one.
     """
@@ -292,13 +293,21 @@ def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id
         "class_size",
         (F.col("row") == F.col("first.row")).alias("kept"),
         "n_shingles",
+        "text_hash",
     )
 
 
+def drop_near_copies(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one row of each class."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    groups = near_groups(df, similarity, id_column, text)
+    return keep_rows(df, groups.filter("kept").select(id_column, "text_hash"), id_column, F.xxhash64(body), F.length(body))
+
+
 def _repeats(wanted: DataFrame, signed: DataFrame) -> bool:
     """Whether some row that stands for a node is there more than once (repeated rows of one id and text)."""
     return not signed.groupBy("id", "text_hash").count().filter("count > 1").isEmpty()
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(read(spark, sf_dir, "documents"))
+    return near_groups(read(spark, sf_dir, "documents")).drop("text_hash")

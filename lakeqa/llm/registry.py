@@ -1,5 +1,6 @@
 """QUERIES and ORACLES of this subpackage."""
 
+import corpus_pipeline
 from lakeqa.llm import byte_bpe, exact_dedup, html_text, language, mixing, near_dedup, quality, secrets, token_files, urls
 
 QUERIES = {
@@ -13,5 +14,6 @@ QUERIES = {
     "op9_html_extraction": html_text.op9_html_extraction,
     "op6_token_files": token_files.op6_token_files,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
