@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from lakeqa.llm.common import new_path, read
 
 #: Ids of a shard, about; rules of a shard at most (with 49,408 ids, symbols take two bytes); occurrences that a pair needs; rounds.
-SHARD, MAX_RULES, LEAST, ROUNDS = 1 << 20, 16_000, 12, 8
-CACHE = 300_000
+SHARD, MAX_RULES, LEAST, ROUNDS = 1 << 20, 16_000, 12, 4
+CACHE = 500_000
 END = 2
 FORMAT = "part int, shard int, doc_ids array<long>, lengths array<long>, base long, rules binary, expansions binary, width int, symbols binary"
 
@@ -56,27 +56,52 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that end a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are one token for the splitting pattern each: many in one text, cut where a word ends."""
+        out: list[bytes] = []
+        groups = [parts[i : i + 500] for i in range(0, len(parts), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(group) else self._library(group)
+        return out
+
+    def _new(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not kept yet; those of as many as there is room for are kept."""
+        known = self.parts
+        pieces = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))}
+        missing = sorted({p for x in pieces.values() for p in x if p and p not in known})
+        fresh = dict(zip(missing, self._plain(missing), strict=True)) | {"": b""}
+        found = {w: (fresh[a] if a in fresh else known[a]) + (fresh[b] if b in fresh else known[b]) for w, (a, b) in pieces.items()}
+        odd = [w for w in new if w not in pieces]
+        found.update(zip(odd, self._library(odd), strict=True))
+        if len(known) < CACHE:
+            known.update(fresh)
+        if len(self.words) < CACHE:
+            self.words.update(found)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         odd = [i for i, t in enumerate(texts) if ODD.search(t)]
+        get = self.words.get
         split = [t.split() for t in texts]
-        known, parts = self.words, self.parts
-        new = [w for w in set().union(*split) if w not in known]
-        pieces = {w: (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w,) for w in new}
-        missing = sorted({p for x in pieces.values() for p in x if p and p not in parts})
-        fresh = dict(zip(missing, self._library(missing), strict=True)) | {"": b""}
-        found = {w: b"".join([fresh[p] if p in fresh else parts[p] for p in x]) for w, x in pieces.items()}
-        if len(parts) < CACHE:
-            parts.update(fresh)
-        if len(known) < CACHE:
-            known.update(found)
-        out = [b"".join([known[w] if w in known else found[w] for w in ws]) for ws in split]
+        parts = [list(map(get, ws)) for ws in split]
+        open_ = [i for i, x in enumerate(parts) if None in x]
+        found = self._new(list({w for i in open_ for w, x in zip(split[i], parts[i], strict=True) if x is None}))
+        for i in open_:
+            parts[i] = [found[w] if x is None else x for w, x in zip(split[i], parts[i], strict=True)]
+        out = [b"".join(x) for x in parts]
         for i, ids in zip(odd, self._library([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
@@ -89,29 +114,44 @@ def words(path: str) -> Words:
 
 def compress(ids: np.ndarray, base: int, max_rules: int = MAX_RULES, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (k x 2) of a sequence of ids below base."""
-    s, rules = ids.astype(np.uint64), np.empty((0, 2), np.uint64)
+    small = base + max_rules <= 1 << 16
+    kind, half = (np.uint32, 16) if small else (np.uint64, 32)
+    s, rules = ids.astype(kind), np.empty((0, 2), kind)
     for _ in range(rounds):
         room = max_rules - len(rules)
         if len(s) < 2 * least or room <= 0:
             break
-        codes = (s[:-1] << np.uint64(32)) | s[1:]
+        codes = (s[:-1] << kind(half)) | s[1:]
         pairs = np.sort(codes)
         starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         counts = np.diff(np.append(starts, len(pairs)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        # a third of the room at a time: pairs of new symbols come in later rounds
-        best = often[np.argsort(-counts[often], kind="stable")][: max(1, room // 3)]
+        # a share of the room at a time: pairs of new symbols come in later rounds
+        best = often[np.argsort(-counts[often], kind="stable")][: max(1, room // 2)]
         chosen = pairs[starts[best]]
         order = np.argsort(chosen)
-        at = np.minimum(np.searchsorted(chosen[order], codes), len(chosen) - 1)
-        rank = np.where(chosen[order][at] == codes, order[at], len(chosen))
-        before, behind = np.append(len(chosen), rank[:-1]), np.append(rank[1:], len(chosen))
-        taken = np.flatnonzero((rank < len(chosen)) & (rank < before) & (rank <= behind))
-        used, number = np.unique(rank[taken], return_inverse=True)
-        s[taken] = (base + len(rules) + number).astype(np.uint64)
-        rules = np.concatenate([rules, np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1)])
+        ascending = chosen[order]
+        # a table of hashes leaves out most places before the search
+        slot = lambda c: (c * kind(0x9E3779B1)) >> kind(2 * half - 20)
+        table = np.zeros(1 << 20, bool)
+        table[slot(chosen)] = True
+        places = np.flatnonzero(table[slot(codes)])
+        at = np.minimum(np.searchsorted(ascending, codes[places]), len(chosen) - 1)
+        right = ascending[at] == codes[places]
+        places, rank = places[right], order[at[right]]
+        # of chosen pairs that overlap, the more frequent one; of a run of one pair, the first
+        near = np.diff(places) == 1
+        lower = np.concatenate([[False], near & (rank[1:] >= rank[:-1])])
+        higher = np.concatenate([near & (rank[:-1] > rank[1:]), [False]])
+        free = ~(lower | higher)
+        taken, rank = places[free], rank[free]
+        number = np.zeros(len(chosen), np.int64)
+        used = np.flatnonzero(np.bincount(rank, minlength=len(chosen)))
+        number[used] = np.arange(len(used))
+        s[taken] = (base + len(rules) + number[rank]).astype(kind)
+        rules = np.concatenate([rules, np.stack([chosen[used] >> kind(half), chosen[used] & kind((1 << half) - 1)], 1)])
         left = np.ones(len(s), bool)
         left[taken + 1] = False
         s = s[left]
@@ -127,16 +167,21 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """Ids of a sequence of symbols."""
-    s = symbols.astype(np.int64)
+    """Ids of a sequence of symbols: every symbol's ids lie in one table, from which the sequence is gathered."""
     left, right = rules[:, 0].astype(np.int64), rules[:, 1].astype(np.int64)
-    while len(s) and (new := s >= base).any():
+    of_rules = np.arange(base, base + len(rules))
+    while (new := of_rules >= base).any():  # a pass for each level of the grammar, over the rules alone
         places = np.cumsum(1 + new) - 1 - new
         out = np.empty(int(places[-1]) + 1 + int(new[-1]), np.int64)
-        out[places[~new]] = s[~new]
-        out[places[new]], out[places[new] + 1] = left[s[new] - base], right[s[new] - base]
-        s = out
-    return s
+        out[places[~new]] = of_rules[~new]
+        out[places[new]], out[places[new] + 1] = left[of_rules[new] - base], right[of_rules[new] - base]
+        of_rules = out
+    table = np.concatenate([np.arange(base), of_rules]).astype(np.uint32)
+    lengths = np.concatenate([np.ones(base, np.int64), expansion_lengths(rules, base)])
+    starts = np.concatenate([np.arange(base), base + np.cumsum(lengths[base:]) - lengths[base:]])
+    many = lengths[symbols]
+    ends = np.cumsum(many)
+    return table[np.repeat(starts[symbols] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def decode_range(row: dict, start: int, stop: int) -> np.ndarray:
