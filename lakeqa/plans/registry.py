@@ -1,4 +1,7 @@
 """QUERIES and ORACLES of the question-answering operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lakeqa.plans import text_queries
+
+MODULES = (text_queries,)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
