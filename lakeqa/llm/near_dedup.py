@@ -15,10 +15,11 @@ their exact similarity is at least ``similarity``. Classes are the connected com
 No group is ever expanded into all pairs:
 
 * documents of equal shingle sets become one node first, with partial sums before the shuffle;
-* first, every member of a bucket is compared with the bucket's smallest node only, and components are made;
-* then buckets that still hold several components get more leaders: the first 4 members by a hash, then 16,
-  64 and so on, compared with members of other components. This ends when each bucket either is one
-  component or has had all its members as leaders, so nothing is lost to the order of comparing.
+* first, every bucket has one leader, the node with the most company in all its buckets, and a node is
+  compared with the two leaders that it shares the most buckets with; components are made of the links;
+* then buckets that still hold several components get more leaders, by the same order: 1, 3, 9 and so on,
+  compared with members of other components. This ends when each bucket either is one component or has had
+  all its members as leaders, so nothing is lost to the order of comparing.
 
 Joins on a hot bucket or a hot set have small rows and one side with one row a key, which adaptive
 execution splits. Components come from rounds of least labels with pointer jumping; all steps that are
@@ -250,13 +251,18 @@ def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id
     nodes = signed.groupBy("set_id").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    member = F.struct("node", "n")
+    # a node's degree is the size of all its buckets: what others were copied from comes first
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min(member).alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = cut(rows.join(leaders, "key"))
+    multi = cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "key"))
+    multi = multi.join(multi.groupBy("node").agg(F.sum("size").alias("degree")), "node")
+    leaders = multi.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("top"))
+    leaders = leaders.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"))
+    buckets = cut(multi.join(leaders, "key"))
     alike = lambda n, m: F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9
-    pairs = buckets.filter((F.col("node") != F.col("leader.node")) & alike(F.col("n"), F.col("leader.n")))
-    pairs = cut(pairs.select(F.col("node").alias("a"), F.col("leader.node").alias("b")).distinct())
+    shared = buckets.filter((F.col("node") != F.col("leader")) & alike(F.col("n"), F.col("leader_n"))).groupBy("node", "leader").count()
+    first = Window.partitionBy("node").orderBy(F.desc("count"), "leader")  # at most one row a band
+    pairs = shared.withColumn("k", F.row_number().over(first)).filter("k <= 2").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
+    pairs = cut(pairs.distinct())
 
     # sets of all nodes in buckets; a text is found by the id and hash of the row that stands for the node
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("best.id").alias("id"), F.col("best.text_hash").alias("text_hash"), F.col("best.none").alias("none"))
@@ -265,13 +271,15 @@ def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id
 
     tried = pairs
     links = cut(_verified(pairs, sets, similarity))
-    labels, most = components(links), 4
+    labels, done, most = components(links), 0, 1
     while True:
-        named = buckets.select("key", "node", "n", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = buckets.select("key", "node", "n", "size", "degree").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        open_ = cut(named.join(mixed, "key", "left_semi"))
-        order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))
-        heads = open_.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+        open_ = cut(named.join(mixed, "key", "left_semi").filter(F.col("size") > done))
+        if open_.isEmpty():
+            break
+        order = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
+        heads = open_.withColumn("k", F.row_number().over(order)).filter((F.col("k") <= most) & (F.col("k") > done))
         heads = heads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
         more = open_.join(heads, "key").filter((F.col("label") != F.col("other")) & alike(F.col("n"), F.col("m")))
         more = more.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
@@ -280,9 +288,7 @@ def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id
         if not new.isEmpty():
             links = cut(links.unionByName(new))
             labels = components(links)
-        if open_.filter(F.col("size") > most).isEmpty():
-            break
-        tried, most = cut(tried.unionByName(more)), 4 * most
+        tried, done, most = cut(tried.unionByName(more)), most, 3 * most
 
     named = nodes.select("set_id", "node", "best", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = cut(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size")))
