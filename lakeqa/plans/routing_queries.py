@@ -55,8 +55,8 @@ def _(spark, sf):
 
 
 ALIASES = "aliases AS (SELECT DISTINCT upper(source) AS ticker, unnest([source, replace(source, 'src', 'source ')]) AS alias FROM documents)"
-DETECTED = rf"""{ASKED}, {ALIASES}, h AS (SELECT query_id, list_distinct(list(ticker)) AS found FROM asked JOIN aliases ON regexp_matches(lower(question), '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)') GROUP BY query_id),
-detected AS (SELECT query_id, CASE WHEN len(found) = 1 THEN found[1] END AS ticker, CASE WHEN found IS NULL THEN 'zero' WHEN len(found) = 1 THEN 'single' ELSE 'multiple' END AS status FROM asked LEFT JOIN h USING (query_id))"""
+DETECTED = rf"""{ASKED}, {ALIASES}, h AS (SELECT query_id, list_distinct(list(aliases.ticker)) AS found FROM asked JOIN aliases ON regexp_matches(lower(question), '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)') GROUP BY query_id),
+detected AS (SELECT asked.query_id, CASE WHEN len(found) = 1 THEN found[1] END AS ticker, CASE WHEN found IS NULL THEN 'zero' WHEN len(found) = 1 THEN 'single' ELSE 'multiple' END AS status FROM asked LEFT JOIN h USING (query_id))"""
 
 
 def detected(spark, sf):
