@@ -23,8 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder: later plans start there, and a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return Tables(df.sparkSession).cut(df)
+
+
+class Tables:
+    """Tables in the shared folder that lineage is cut with. They are compressed, and read by column."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.n = spark, new_path(spark, "tables"), 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """df written once, and read from there."""
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables; nothing may read them later."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -18,7 +18,8 @@ No group is ever expanded into all pairs:
 * first, every bucket has one leader, the node with the most company in all its buckets, and a node is
   compared with the two leaders that it shares the most buckets with; components are made of the links;
 * then buckets that still hold several components get more leaders, by the same order: 1, 3, 9 and so on,
-  compared with members of other components. This ends when each bucket either is one component or has had
+  compared with members of other components (if 240 two-bit coordinates of their signatures do not rule it
+  out by more than five deviations). This ends when each bucket either is one component or has had
   all its members as leaders, so nothing is lost to the order of comparing.
 
 Joins on a hot bucket or a hot set have small rows and one side with one row a key, which adaptive
@@ -31,15 +32,16 @@ and to no other. Repeated rows are copies; null ids come last. An empty table gi
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeqa.llm.common import cut, read
+from lakeqa.llm.common import Tables, read
 from lakeqa.llm.exact_dedup import keep_rows
 
 WORDS, BANDS, ROWS = 5, 40, 6
@@ -95,7 +97,10 @@ class Shingles:
         return np.sort(mix(s + nth.astype(U) * U(0xD1B54A32D192ED03)) if nth.any() else mix(s))
 
 
-SHINGLES = Shingles()
+@functools.lru_cache(maxsize=1)
+def shingles() -> Shingles:
+    """Those of this worker."""
+    return Shingles()
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int = BANDS * ROWS, darts: float = DARTS) -> np.ndarray:
@@ -157,44 +162,70 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+SKETCH = [f"{half}{i}" for half in ("lo", "hi") for i in range(4)]
+
+
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate (n x 8), in the order of SKETCH."""
+    out = []
+    for bit in (0, 1):
+        bits = np.packbits((signature >> U(bit) & U(1)).astype(np.uint8), axis=1)
+        out.append(np.pad(bits, ((0, 0), (0, 32 - bits.shape[1]))).view(np.int64))
+    return np.hstack(out)
+
+
+def close(a: str, b: str, similarity: float) -> Column:
+    """Whether two sketches (structs) may belong to sets that are similar enough: over 5 deviations of doubt count as yes.
+
+    Coordinates differ with a chance of 1 - similarity, their two bits then with 3/4.
+    """
+    k, p = BANDS * ROWS, 0.75 * (1 - similarity)
+    differ = sum(F.bit_count(F.col(f"{a}.lo{i}").bitwiseXOR(F.col(f"{b}.lo{i}")).bitwiseOR(F.col(f"{a}.hi{i}").bitwiseXOR(F.col(f"{b}.hi{i}")))) for i in range(4))
+    return differ <= k * p + 5.5 * (k * p * (1 - p)) ** 0.5
+
+
 def _signed(df: DataFrame, count: bool) -> DataFrame:
     """row, id, text_hash, and of the text: set_id, n_shingles, bands (empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shingles().of
         for batch in batches:
             texts = batch.column("body").cast(pa.binary())
             at = 0
             while at < batch.num_rows:
                 sets, size, begin = [], 0, at
                 while at < batch.num_rows and size < BATCH:
-                    sets.append(SHINGLES.of(texts[at].as_py(), count))
+                    sets.append(of(texts[at].as_py(), count))
                     size, at = size + len(sets[-1]), at + 1
                 n = len(sets)
                 elements = np.concatenate(sets)
                 owner = np.repeat(np.arange(n), [len(s) for s in sets])
-                keys = bands_of(signatures(elements, np.ones(len(elements)), owner, n))
+                signed = signatures(elements, np.ones(len(elements)), owner, n)
+                keys, marks = bands_of(signed), sketches(signed)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(begin, n) for c in ("row", "id", "text_hash")),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([x.tolist() if len(s) else [] for x, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
+                        pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(marks[:, i])) for i in range(8)], SKETCH),
                     ],
-                    names=["row", "id", "text_hash", "set_id", "n_shingles", "bands"],
+                    names=["row", "id", "text_hash", "set_id", "n_shingles", "bands", "sketch"],
                 )
 
-    return df.mapInArrow(run, "row long, id long, text_hash long, set_id binary, n_shingles int, bands array<long>")
+    return df.mapInArrow(run, "row long, id long, text_hash long, set_id binary, n_shingles int, bands array<long>, sketch struct<" + ",".join(f"{x}:long" for x in SKETCH) + ">")
 
 
 def _sets(df: DataFrame, count: bool) -> DataFrame:
     """node and the shingles of its text, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shingles().of
         for batch in batches:
             texts = batch.column("body").cast(pa.binary())
             for at in range(0, batch.num_rows, 500):
                 part = texts.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, 500), pa.array([SHINGLES.of(t.as_py(), count).tobytes() for t in part], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, 500), pa.array([of(t.as_py(), count).tobytes() for t in part], pa.binary())], names=["node", "shingles"])
 
     return df.mapInArrow(run, "node long, shingles binary")
 
@@ -220,16 +251,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """node and label (the least node of its component) for each node of links (a, b)."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
+    both = tables.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = tables.cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
     while True:
         of = labels.select(F.col("node").alias("b"), F.col("label").alias("theirs"))
         near = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         new = labels.join(near, "node").join(hop, "label").select("node", "label", F.least("label", "theirs", "jump").alias("new"))
-        new = cut(new)
+        new = tables.cut(new)
         if new.filter("new < label").isEmpty():
             return labels
         labels = new.select("node", F.col("new").alias("label"))
@@ -243,56 +274,60 @@ def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id
     if weights not in ("set", "count"):
         raise ValueError("weights: set or count")
     count = weights == "count"
+    tables, lasting = Tables(df.sparkSession), Tables(df.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     docs = df.select(F.col(id_column).cast("long").alias("id"), body.alias("body"), F.xxhash64(body).alias("text_hash"))
-    signed = cut(_signed(docs.withColumn("row", F.monotonically_increasing_id()), count))
+    signed = lasting.cut(_signed(docs.withColumn("row", F.monotonically_increasing_id()), count))
 
     best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("text_hash").alias("text_hash"))
-    nodes = signed.groupBy("set_id").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = signed.groupBy("set_id").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    nodes = tables.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     # a node's degree is the size of all its buckets: what others were copied from comes first
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    multi = cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "key"))
+    multi = tables.cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "key"))
     multi = multi.join(multi.groupBy("node").agg(F.sum("size").alias("degree")), "node")
     leaders = multi.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("top"))
     leaders = leaders.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"))
-    buckets = cut(multi.join(leaders, "key"))
+    buckets = tables.cut(multi.join(leaders, "key"))
     alike = lambda n, m: F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9
     shared = buckets.filter((F.col("node") != F.col("leader")) & alike(F.col("n"), F.col("leader_n"))).groupBy("node", "leader").count()
     first = Window.partitionBy("node").orderBy(F.desc("count"), "leader")  # at most one row a band
     pairs = shared.withColumn("k", F.row_number().over(first)).filter("k <= 2").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
-    pairs = cut(pairs.distinct())
+    pairs = pairs.distinct().join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    pairs = tables.cut(pairs.filter(close("x", "y", similarity)).select("a", "b"))
 
     # sets of all nodes in buckets; a text is found by the id and hash of the row that stands for the node
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("best.id").alias("id"), F.col("best.text_hash").alias("text_hash"), F.col("best.none").alias("none"))
     found = wanted.join(docs.withColumnRenamed("id", "own"), (wanted["text_hash"] == docs["text_hash"]) & wanted["id"].eqNullSafe(F.col("own"))).select("node", "body")
-    sets = cut(_sets(found.dropDuplicates(["node"]) if _repeats(wanted, signed) else found, count))
+    sets = tables.cut(_sets(found.dropDuplicates(["node"]) if _repeats(wanted, signed) else found, count))
 
     tried = pairs
-    links = cut(_verified(pairs, sets, similarity))
-    labels, done, most = components(links), 0, 1
+    links = tables.cut(_verified(pairs, sets, similarity))
+    labels, done, most = components(links, tables), 0, 1
     while True:
         named = buckets.select("key", "node", "n", "size", "degree").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        open_ = cut(named.join(mixed, "key", "left_semi").filter(F.col("size") > done))
+        open_ = tables.cut(named.join(mixed, "key", "left_semi").filter(F.col("size") > done).join(nodes.select("node", "sketch"), "node"))
         if open_.isEmpty():
             break
         order = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
         heads = open_.withColumn("k", F.row_number().over(order)).filter((F.col("k") <= most) & (F.col("k") > done))
-        heads = heads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        more = open_.join(heads, "key").filter((F.col("label") != F.col("other")) & alike(F.col("n"), F.col("m")))
+        heads = heads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("sketch").alias("mark"))
+        more = open_.join(heads, "key").filter((F.col("label") != F.col("other")) & alike(F.col("n"), F.col("m")) & close("sketch", "mark", similarity))
         more = more.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        more = cut(more.join(tried, ["a", "b"], "left_anti"))
-        new = cut(_verified(more, sets, similarity))
+        more = tables.cut(more.join(tried, ["a", "b"], "left_anti"))
+        new = tables.cut(_verified(more, sets, similarity))
         if not new.isEmpty():
-            links = cut(links.unionByName(new))
-            labels = components(links)
-        tried, done, most = cut(tried.unionByName(more)), most, 3 * most
+            links = tables.cut(links.unionByName(new))
+            labels = components(links, tables)
+        # a bucket that is one component stays one
+        buckets, tried, done, most = open_.drop("label", "sketch"), tables.cut(tried.unionByName(more)), most, 3 * most
 
     named = nodes.select("set_id", "node", "best", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = cut(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size")))
-    of_set = cut(named.select("set_id", "label").join(classes, "label").select("set_id", "first", "class_size"))
+    classes = tables.cut(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size")))
+    of_set = lasting.cut(named.select("set_id", "label").join(classes, "label").select("set_id", "first", "class_size"))
+    tables.drop()
     return signed.join(of_set, "set_id").select(
         F.col("id").alias(id_column),
         F.col("first.id").alias("class_id"),
