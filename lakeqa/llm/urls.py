@@ -45,8 +45,13 @@ www.author.example/en/page blog.method.example/es/77 m.health.example/de/640 gat
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default labelled table: url, label (1: unwanted)."""
-    return spark.createDataFrame([(f"https://{u}", 1) for u in UNWANTED] + [(f"https://{u}", 0) for u in WANTED], "url string, label int")
+    """The default labelled table: url, label (1: unwanted). Each name also stands under a neutral domain and path, so that neither decides."""
+    rows = []
+    for label, urls in ((1, UNWANTED), (0, WANTED)):
+        for i, u in enumerate(urls):
+            name = u.partition("/")[0].rpartition(".")[0]
+            rows += [(f"https://{u}", label), (f"https://{name}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'fr', 'es')[i % 4]}/{37 * i % 999}", label)]
+    return spark.createDataFrame(rows, "url string, label int")
 
 
 def host_of(url: Column) -> Column:
