@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +39,14 @@ from lakeqa.llm.common import new_path, read
 
 #: Ids of a shard, about; rules of a shard at most (with 49,408 ids, symbols take two bytes); occurrences that a pair needs; rounds.
 SHARD, MAX_RULES, LEAST, ROUNDS = 1 << 20, 16_000, 12, 4
-CACHE = 500_000
+CACHE = 400_000
+#: Bytes of text that are worked on together.
+STRETCH = 8 << 20
 END = 2
 FORMAT = "part int, shard int, doc_ids array<long>, lengths array<long>, base long, rules binary, expansions binary, width int, symbols binary"
 
 #: Letters that lower-casing and composition treat one by one, then marks that the splitting pattern keeps apart from letters.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!]*)")
-#: White space to str.split, but not to the tokenizer.
-ODD = re.compile("[\x1c-\x1f]")
 
 
 class Words:
@@ -91,20 +92,23 @@ class Words:
             self.words.update(found)
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        odd = [i for i, t in enumerate(texts) if ODD.search(t)]
-        get = self.words.get
-        split = [t.split() for t in texts]
-        parts = [list(map(get, ws)) for ws in split]
-        open_ = [i for i, x in enumerate(parts) if None in x]
-        found = self._new(list({w for i in open_ for w, x in zip(split[i], parts[i], strict=True) if x is None}))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text ends. Each distinct word is looked up once."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        distinct, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.words.get, distinct))
+        open_ = [i for i, x in enumerate(found) if x is None]
+        new = self._new([distinct[i] for i in open_])
         for i in open_:
-            parts[i] = [found[w] if x is None else x for w, x in zip(split[i], parts[i], strict=True)]
-        out = [b"".join(x) for x in parts]
-        for i, ids in zip(odd, self._library([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+            found[i] = new[distinct[i]]
+        table = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(lengths) - lengths
+        many = lengths[places]
+        ends = np.cumsum(many)
+        ids = table[np.repeat(begins[places] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.append(0, ends)[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
 
 
 @functools.lru_cache(maxsize=2)
@@ -141,11 +145,13 @@ def compress(ids: np.ndarray, base: int, max_rules: int = MAX_RULES, least: int
         at = np.minimum(np.searchsorted(ascending, codes[places]), len(chosen) - 1)
         right = ascending[at] == codes[places]
         places, rank = places[right], order[at[right]]
-        # of chosen pairs that overlap, the more frequent one; of a run of one pair, the first
+        # of chosen pairs that overlap, the more frequent one; of a run of one pair, every second
         near = np.diff(places) == 1
-        lower = np.concatenate([[False], near & (rank[1:] >= rank[:-1])])
+        lower = np.concatenate([[False], near & (rank[1:] > rank[:-1])])
         higher = np.concatenate([near & (rank[:-1] > rank[1:]), [False]])
-        free = ~(lower | higher)
+        number = np.arange(len(places))
+        opens = np.concatenate([np.ones(min(1, len(places)), bool), ~(near & (rank[1:] == rank[:-1]))])
+        free = ~(lower | higher) & ((number - np.maximum.accumulate(np.where(opens, number, 0))) % 2 == 0)
         taken, rank = places[free], rank[free]
         number = np.zeros(len(chosen), np.int64)
         used = np.flatnonzero(np.bincount(rank, minlength=len(chosen)))
@@ -217,20 +223,21 @@ def write_ids(df: DataFrame, path: str, tokenizer: str | None = None, end: int =
         part, shard, size, doc_ids, chunks = TaskContext.get().partitionId(), 0, 0, [], []
         encode = words(tokenizer).encode
         for batch in batches:
+            texts, keys = batch.column("text"), batch.column("id").to_pylist()
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             at = 0
-            while at < batch.num_rows:  # about a million characters at a time
-                texts, n = [], 0
-                while at + len(texts) < batch.num_rows and n < 1 << 20:
-                    texts.append(batch.column("text")[at + len(texts)].as_py() or "")
-                    n += len(texts[-1])
-                for i, ids in enumerate(encode(texts)):
-                    doc_ids.append(batch.column("id")[at + i].as_py())
-                    chunks.append(ids + tail)
-                    size += len(ids) // 4 + 1
+            while at < batch.num_rows:  # some megabytes at a time
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), STRETCH, "right")))
+                ids, ends = encode(texts.slice(at, n))
+                before = 0
+                for key, end_at in zip(keys[at : at + n], ends.tolist(), strict=True):
+                    doc_ids.append(key)
+                    chunks.append(ids[before:end_at].tobytes() + tail)
+                    size, before = size + end_at - before + 1, end_at
                     if size >= SHARD:
                         yield _shard(part, shard, doc_ids, chunks, base)
                         shard, size, doc_ids, chunks = shard + 1, 0, [], []
-                at += len(texts)
+                at += n
         if doc_ids:
             yield _shard(part, shard, doc_ids, chunks, base)
 
