@@ -17,7 +17,9 @@ No group is ever expanded into all pairs:
 * documents of equal shingle sets become one node first, with partial sums before the shuffle;
 * first, every bucket has one leader, the node with the most company in all its buckets, and a node is
   compared with the two leaders that it shares the most buckets with; components are made of the links;
-* then buckets that still hold several components get more leaders, by the same order: 1, 3, 9 and so on,
+* then buckets that still hold several components get a leader at random, and each node is compared with two
+  of those, again and again while that finds links;
+* buckets that hold several components even so get more leaders, by company again: 1, 3, 9 and so on,
   compared with members of other components (if 240 two-bit coordinates of their signatures do not rule it
   out by more than five deviations). This ends when each bucket either is one component or has had
   all its members as leaders, so nothing is lost to the order of comparing.
@@ -302,27 +304,49 @@ def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id
     found = wanted.join(docs.withColumnRenamed("id", "own"), (wanted["text_hash"] == docs["text_hash"]) & wanted["id"].eqNullSafe(F.col("own"))).select("node", "body")
     sets = tables.cut(_sets(found.dropDuplicates(["node"]) if _repeats(wanted, signed) else found, count))
 
+    def open_rows(rows: DataFrame, done: int) -> DataFrame:
+        """Rows of buckets that still hold several components and had not all members as leaders, with label and sketch."""
+        named = rows.select("key", "node", "n", "size", "degree").filter(F.col("size") > done).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        return tables.cut(named.join(mixed, "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
+
+    def untried(heads: DataFrame) -> DataFrame:
+        """Rows of open_ with a head (key, b, m, other, mark) of their bucket that is in another component and may be similar."""
+        rows = open_.join(heads, "key").filter((F.col("label") != F.col("other")) & alike(F.col("n"), F.col("m")) & close("sketch", "mark", similarity))
+        return rows.select("node", "b")
+
+    def linked(more: DataFrame) -> DataFrame:
+        """The new links among pairs (node, b), each of which is tried once."""
+        nonlocal tried
+        more = more.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+        more = tables.cut(more.join(tried, ["a", "b"], "left_anti"))
+        tried = tables.cut(tried.unionByName(more))
+        return tables.cut(_verified(more, sets, similarity))
+
     tried = pairs
     links = tables.cut(_verified(pairs, sets, similarity))
-    labels, done, most = components(links, tables), 0, 1
-    while True:
-        named = buckets.select("key", "node", "n", "size", "degree").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        open_ = tables.cut(named.join(mixed, "key", "left_semi").filter(F.col("size") > done).join(nodes.select("node", "sketch"), "node"))
-        if open_.isEmpty():
+    labels, salt = components(links, tables), 0
+    open_ = open_rows(buckets, 0)
+    while not open_.isEmpty():  # a leader at random for each bucket, two of them for each node, as long as that finds links
+        head = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "n", "label", "sketch")).alias("x"))
+        found = untried(head.select("key", F.col("x.node").alias("b"), F.col("x.n").alias("m"), F.col("x.label").alias("other"), F.col("x.sketch").alias("mark")))
+        found = found.groupBy("node", "b").count().withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "b"))).filter("k <= 2")
+        new = linked(found)
+        if new.isEmpty():
             break
+        links, salt = tables.cut(links.unionByName(new)), salt + 1
+        labels = components(links, tables)
+        open_ = open_rows(open_, 0)
+    done, most = 0, 1
+    while not open_.isEmpty():  # then 1, 3, 9, ... leaders, until all members were
         order = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
         heads = open_.withColumn("k", F.row_number().over(order)).filter((F.col("k") <= most) & (F.col("k") > done))
-        heads = heads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("sketch").alias("mark"))
-        more = open_.join(heads, "key").filter((F.col("label") != F.col("other")) & alike(F.col("n"), F.col("m")) & close("sketch", "mark", similarity))
-        more = more.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        more = tables.cut(more.join(tried, ["a", "b"], "left_anti"))
-        new = tables.cut(_verified(more, sets, similarity))
+        new = linked(untried(heads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("sketch").alias("mark"))))
         if not new.isEmpty():
             links = tables.cut(links.unionByName(new))
             labels = components(links, tables)
-        # a bucket that is one component stays one
-        buckets, tried, done, most = open_.drop("label", "sketch"), tables.cut(tried.unionByName(more)), most, 3 * most
+        done, most = most, 3 * most
+        open_ = open_rows(open_, done)
 
     named = nodes.select("set_id", "node", "best", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = tables.cut(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size")))
