@@ -109,14 +109,14 @@ def _(spark, sf):
     return docs.join(chunks.select("document_id"), "document_id").select("document_id", "ticker", "source_path")
 
 
-@query("read_raw_html", "SELECT page_id, html FROM pages")
+@query("read_raw_html", "SELECT page_id, replace(html, chr(10), ' ') AS html FROM pages")
 def _(spark, sf):
     path = place(spark, "html")
     pages = table(spark, sf, "pages")
     # a file for each page, named by a folder of its id
     pages.select("page_id", F.regexp_replace("html", "\n", " ").alias("value")).write.partitionBy("page_id").text(path)
     raw = s.read_raw_html(spark, f"{path}/*/*.txt")
-    return raw.select(F.regexp_extract("source_path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), F.rtrim(F.regexp_replace("html", "\n", "")).alias("html"))
+    return raw.select(F.regexp_extract("source_path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), F.regexp_replace("html", "\n", "").alias("html"))
 
 
 @query("eval_run_files", "SELECT 'bm25' AS mode, item_id AS query_id, 'numeric' AS type, CASE WHEN item_id % 3 <> 0 THEN (1 + item_id % 7)::INT END AS rank FROM benchmark")
