@@ -10,7 +10,15 @@ The labelled table comes from SAMPLES, short pages written for this purpose, who
 (main text) or - (not). ``train`` takes at most ``max_rows`` blocks and runs on the driver in
 milliseconds. Pages are independent: there is no shuffle.
 
-Scripts, styles, templates, the head, hidden elements and comments of the markup are no blocks. Character
+A class, id or role word speaks of the whole element only where that is sure: not on html and body, not on
+the element that is the page's main part (the first main and the first article in it, or else the first
+article) and on what holds that part, not on another article with a word of its own (post, story, ...), and
+not in names that say what an element has or how it stands (no-sidebar, nav-open). A form around the main
+part is no furniture either. A page without main and article whose text stands in a container named
+sidebar-left is still taken as furniture.
+
+Scripts, styles, templates, the head, drawings, frames, hidden elements and comments of the markup are no
+blocks; formulas, objects, noscript and form fields are text like any other. Character
 references are decoded, white space inside a block becomes one space, blocks are joined in page order by
 one space. Null or empty html gives an empty text; broken markup never fails. Repeated rows and nulls in
 other columns pass through; an empty table gives an empty result.
@@ -31,12 +39,12 @@ from pyspark.sql import types as T
 from lakeqa.llm.common import read
 
 #: What HTML elements do to the flow of text.
-SKIPPED = frozenset("script style template noscript head title textarea select svg math iframe object".split())
-LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd pre figcaption caption summary legend".split())
+SKIPPED = frozenset("script style template head title svg iframe".split())
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd pre figcaption caption summary legend option".split())
 CONTAINERS = frozenset("address article aside blockquote body center details dialog div dl fieldset figure footer form header hr html main menu nav ol section table tbody tfoot thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
-FURNITURE = frozenset("nav footer aside form menu dialog button".split())
+FURNITURE = frozenset("nav footer aside menu dialog button".split())
 #: Words of class, id or role that mark page furniture; beginnings of such words.
 FURNITURE_WORDS = frozenset(
     "ad ads banner complementary consent contentinfo copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation notice notification "
@@ -45,9 +53,12 @@ FURNITURE_WORDS = frozenset(
 FURNITURE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sponsor")
 #: With these words, header is the article's own.
 OWN = frozenset("article post entry story".split())
+#: A name with one of these says what an element has or how it stands, not what it is.
+STATES = frozenset("no not with without has have open opened closed collapsed expanded fixed sticky".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+|[^>]*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+IS_MAIN = re.compile(r"""(?i)\b(?:id|role)\s*=\s*["']?main(?=["'\s]|$)""")
 HIDDEN = re.compile(r"""(?i)\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
 
 
@@ -60,23 +71,31 @@ class Block(NamedTuple):
     heading: bool
 
 
-def _place(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is page furniture, main and hidden."""
+def _place(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is page furniture for sure, furniture unless it holds the main part, main, and hidden."""
     marks: set[str] = set()
+    named: set[str] = set()  # marks without those of states
     hidden = False
     if attributes:
-        marks = {w for m in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
+        names = [w for m in ATTRIBUTE.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()]
+        for words in (re.split(r"[^a-z0-9]+", w) for w in names):
+            marks.update(words)
+            if not STATES.intersection(words):
+                named.update(words)
         hidden = bool(HIDDEN.search(attributes))
         if marks & OWN:
-            marks = marks - {"header"}
-    furniture = name in FURNITURE or name == "header" and not inside_main or bool(marks & FURNITURE_WORDS) or any(w.startswith(FURNITURE_STARTS) for w in marks)
-    return furniture, name in MAIN or "main" in marks, hidden
+            named = set() if name == "article" else named - {"header"}
+    furniture = name in FURNITURE or name == "header" and not inside_main
+    by_words = name not in ("html", "body") and (bool(named & FURNITURE_WORDS) or any(w.startswith(FURNITURE_STARTS) for w in named))
+    return furniture, by_words or name == "form", name in MAIN or "main" in marks, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, inside furniture, inside main
+    out: list[tuple[Block, frozenset[int]]] = []
+    stack: list[tuple[str, bool, frozenset[int], bool]] = []  # element, inside furniture, inside which furniture by words, inside main
+    by_words = 0  # elements that are furniture by words so far
+    parts: dict[str, frozenset[int]] = {}  # those around and at the first main, the first article in it, the first article
     pieces: list[str] = []
     linked, links, heading = 0, 0, False
 
@@ -85,8 +104,8 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             words = "".join(pieces).split()
             if words:
-                _, furniture, main = stack[-1] if stack else ("", False, False)
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), furniture, main, heading))
+                _, furniture, worded, main = stack[-1] if stack else ("", False, frozenset(), False)
+                out.append((Block(" ".join(words), len(words), min(linked, len(words)), furniture, main, heading), worded))
         pieces, linked = [], 0
 
     def say(raw: str) -> None:
@@ -123,8 +142,8 @@ def blocks_of(page: str) -> list[Block]:
                 while stack.pop()[0] != name:
                     pass
             continue
-        _, inside_furniture, inside_main = stack[-1] if stack else ("", False, False)
-        furniture, main, hidden = _place(name, attributes, inside_main)
+        _, inside_furniture, worded, inside_main = stack[-1] if stack else ("", False, frozenset(), False)
+        furniture, maybe, main, hidden = _place(name, attributes, inside_main)
         if name in SKIPPED or hidden and (leaf or container):
             close = re.compile(rf"</{re.escape(name)}\s*>" + (r"|<body\b" if name == "head" else ""), re.I).search(page, at)
             if name in SKIPPED:
@@ -134,9 +153,19 @@ def blocks_of(page: str) -> list[Block]:
                 at = close.end()
                 continue
         if leaf or container and not attributes.rstrip().endswith("/"):
-            stack.append((name, inside_furniture or furniture, inside_main or main))
+            if maybe:
+                worded, by_words = worded | {by_words}, by_words + 1
+            if not (inside_furniture or furniture):
+                if name == "main" or container and IS_MAIN.search(attributes):
+                    parts.setdefault("main", worded)
+                elif name == "article":
+                    parts.setdefault("first", worded)
+                    if "main" in parts and inside_main:
+                        parts.setdefault("article", worded)
+            stack.append((name, inside_furniture or furniture, worded, inside_main or main))
     flush()
-    return out
+    around = parts["main"] | parts.get("article", frozenset()) if "main" in parts else parts.get("first", frozenset())
+    return [b._replace(furniture=b.furniture or bool(worded - around)) for b, worded in out]
 
 
 #: Names of the features, for reports and tests.
@@ -168,6 +197,9 @@ SAMPLES = (
     f"<body><main><h1>+Note</h1><p>+Brief.</p></main>",
     f"<body><article><p>+{_LONG}</p></article><p>-All rights reserved</p>",
     f"<body><p>-Menu</p><h1>+The title of the page</h1><p>+{_LONG}</p><p>+{_LONG}</p><p>-Imprint</p><p>-Contact us</p>",
+    f"<html class=no-sidebar><body class='with-sidebar'><nav><a>-Home</a></nav><article class='post social'><h1>+In a wrapped page</h1><p>+{_LONG}</p><p>+Yes.</p></article><div class=sidebar><p>-{_LONG}</p></div>",
+    f"<body class='nav-open'><form id=all><div class='search layout'><div class=menu><p>-Menu of the page</p></div><main class=widget><p>+{_LONG}</p><p>+{_LONG}</p></main></div></form><div class=comments><article class=comment><p>-{_LONG}</p></article></div>",
+    f"<body><div class='content no-sidebar'><h1>+Without an article</h1><p>+{_LONG}</p><p>+{_LONG}</p></div><div class=related><p>-{_LONG}</p></div>",
 )
 
 

@@ -262,6 +262,27 @@ def test_html():
     assert right >= 0.85 * len(rows)
 
 
+def test_html_wrappers():
+    tree = html_text.train(html_text.labelled_blocks())
+    own = "a sentence of the article that has words enough to be taken as text of the page by any rule there is"
+    other = "another sentence with as many words that belongs to what stands around the article and is not to be taken at all"
+    main = f"<article class='post social'><h1>Title</h1><p>{own}</p></article>"
+    for page in (
+        f"<body class='with-sidebar'>{main}",
+        f"<html class='has-banner'><body class='nav-open cookie'>{main}",
+        f"<div class='content no-sidebar'>{main}</div>",
+        f"<div class='sidebar-left'><div class=menu><p>{other}</p></div>{main}</div>",
+        f"<form id=all><div id=main class=widget>{main}</div></form>",
+        f"<main class=search>{main}<div id=comments><ol class=comment-list><li class=comment><article class=comment-body><p>{other}</p></article></ol></div></main>",
+        f"<main class=search>{main}</main><div class=comments><article class=comment><p>{other}</p></article></div>",
+        f"<div class=promo><article><p>{other}</p></article></div><main>{main}</main>",
+        f"{main}<aside class=related><article><p>{other}</p></article></aside>",
+    ):
+        assert html_text.main_text(page, tree) == f"Title {own}", page
+    page = f"<article><p>{own} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><object>Shown.</object><noscript><p>Plain.</p></noscript><textarea>Typed.</textarea><select><option>One<option>Two</select></article>"
+    assert html_text.main_text(page, tree) == f"{own} x=1 Shown. Plain. Typed. One Two"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", "<p>" + "word " * 40), (2, "u", "<p>" + "word " * 40)], "page_id long, url string, html string")
     assert [(r.page_id, r.n_chars) for r in html_text.extract(pages).orderBy("page_id").collect()] == [(1, 0), (2, 199), (2, 199)]
