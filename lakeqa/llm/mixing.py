@@ -134,9 +134,15 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
-        "doc_id", "size", "source_size", "target", "taken"
-    )
+    """A row for each document, range-sorted by the positions of its copies; those not taken come last."""
+    mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.orderBy(F.size("positions") == 0, "positions", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each copy taken, with its training position, in training order."""
+    mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return training_order(mixed).select("doc_id", "source", "size", "copy", "position")
 
 
 #: The same in SQL. Sources are capped in order of size by weight, which ends where capping in rounds does.

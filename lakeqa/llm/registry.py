@@ -6,6 +6,7 @@ from lakeqa.llm import byte_bpe, exact_dedup, html_text, language, mixing, near_
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
+    "op2_training_order": mixing.op2_training_order,
     "op3_url_filters": urls.op3_url_filters,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,

@@ -97,6 +97,38 @@ def test_mixing(docs, none, spark):
     assert mean("s1") < mean("s0") < mean("s2")
 
 
+def test_training_order(spark):
+    """Positions of the registered queries against bisection of the integrated schedules."""
+    docs = [(r.doc_id, r.source, len(re.findall(mixing.WORD, r.text or ""))) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    sources = sorted({s for _, s, _ in docs})
+    sizes = [sum(n for _, s, n in docs if s == x) for x in sources]
+    targets = mixing.capped_targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sources))])
+
+    def integral(schedule, t):
+        knots = [(a, b, u, v) for (a, u), (b, v) in zip(schedule, schedule[1:], strict=False)]
+        upto = lambda t: sum((min(t, b) - a) * (u + u + (v - u) * (min(t, b) - a) / (b - a)) / 2 for a, b, u, v in knots if t > a)
+        return upto(t) / upto(1.0)
+
+    want = {}
+    for i, (x, own, target) in enumerate(zip(sources, sizes, targets, strict=True)):
+        start = 0
+        for _, n, d in sorted((hashlib.md5(str(d).encode()).hexdigest(), n, d) for d, s, n in docs if s == x):
+            for e in range(3):
+                if n and n + 2 * (start + e * own) <= 2 * target:
+                    low, high = 0.0, 1.0
+                    for _ in range(50):
+                        middle = (low + high) / 2
+                        low, high = (middle, high) if integral(mixing.SCHEDULES[i % 3], middle) < (start + e * own) / target else (low, middle)
+                    want[d, e] = low
+            start += n
+    rows = registry.QUERIES["op2_training_order"](spark, SF).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r["copy"]): r.position for r in rows} == pytest.approx(want, abs=1e-7)
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    first = {d: p for (d, e), p in want.items() if e == 0}
+    order = [first.get(r.doc_id, 2.0) for r in registry.QUERIES["op2_mixing"](spark, SF).collect()]
+    assert len(order) == len(docs) and all(a <= b + 1e-7 for a, b in zip(order, order[1:], strict=False))
+
+
 def test_targets():
     assert mixing.capped_targets([10, 10, 100], [1, 2, 3]) == [pytest.approx(x) for x in (22.5, 30, 67.5)]
     assert mixing.capped_targets([0, 5], [1, 1]) == [0.0, 5.0]
