@@ -42,6 +42,18 @@ def near_duplicate(new: Column, kept: Column) -> Column:
     return (F.size(new) > 0) & (F.size(F.array_intersect(new, kept)) / F.greatest(F.lit(1), F.size(new)) >= DUPLICATE)
 
 
+def duplicate_pairs(hits: DataFrame) -> DataFrame:
+    """query_id, number, other, duplicate: each merged block of a query, by rank from 1, against each block before it.
+
+    A query has a handful of blocks; they are compared inside its row, so that hits are computed once.
+    """
+    b = merge_runs(hits).select("query_id", F.struct("best", "chunk_ids", F.array_distinct(tokenize(F.col("text"))).alias("tokens")).alias("b"))
+    rows = b.groupBy("query_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    rows = rows.select("query_id", "blocks", F.posexplode("blocks").alias("i", "b"))
+    rows = rows.select("query_id", "i", "b", F.posexplode(F.slice("blocks", F.lit(1), F.col("i"))).alias("j", "kept"))
+    return rows.select("query_id", (F.col("i") + 1).alias("number"), (F.col("j") + 1).alias("other"), near_duplicate(F.col("b.tokens"), F.col("kept.tokens")).alias("duplicate"))
+
+
 def pack(hits: DataFrame, budget: int = 6000) -> DataFrame:
     """query_id, context, blocks (number, chunk_ids, text, filing_date, truncated): merged, without near-duplicates, within the budget.
 

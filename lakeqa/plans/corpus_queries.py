@@ -101,6 +101,12 @@ def _(spark, sf):
     return c.adjacent_overlap(pieces(spark, sf).filter("chunk_index % 7 <> 5"), F.col("content"))
 
 
+@query("adjacent_overlap_all", f"""WITH {PIECES}, w AS (SELECT document_id, chunk_index, left(content, 150) AS head, lag(chunk_index) OVER o AS before, lag(right(content, 150)) OVER o AS tail FROM pieces WINDOW o AS (PARTITION BY document_id ORDER BY chunk_index))
+SELECT document_id, chunk_index, coalesce(before = chunk_index - 1, false) AS adjacent, coalesce(before = chunk_index - 1, false) AND tail = head AS matches FROM w""")
+def _(spark, sf):
+    return c.adjacent_overlap(pieces(spark, sf), F.col("content"))
+
+
 HEADED = f"""{PIECES}, h AS (SELECT document_id, chunk_index, CASE WHEN chunk_index % 5 <> 4 THEN 'Acme (SRC) 10-K | x' ELSE '' END AS header, content AS body FROM pieces)"""
 
 
@@ -131,6 +137,17 @@ def hits(spark, sf):
     return rows.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("document_id").alias("filing_id"), F.col("chunk_index").alias("position"), F.lit("Acme (SRC) 10-K | x").alias("header"), F.col("content").alias("text"), date.alias("filing_date"))
 
 
+# The same from all pieces of those documents: top ten by a hash, ids that hold any number of pieces.
+def all_hits(spark, sf):
+    from pyspark.sql import Window
+
+    top = r.bm25_topk(golden(spark, sf), chunks(spark, sf), 5).select("query_id", F.col("chunk_id").alias("document_id"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("document_id", "chunk_index"), "document_id", "chunk_index"))
+    rows = top.join(pieces(spark, sf), "document_id").withColumn("rank", order).filter("rank <= 10")
+    date = F.make_date(F.lit(2024) + (F.col("document_id") % 3).cast("int"), F.lit(1), F.lit(1))
+    return rows.select("query_id", "rank", (F.col("document_id") * 2**22 + F.col("chunk_index")).alias("chunk_id"), F.col("document_id").alias("filing_id"), F.col("chunk_index").alias("position"), F.lit("Acme (SRC) 10-K | x").alias("header"), F.col("content").alias("text"), date.alias("filing_date"))
+
+
 from lakeqa.plans.retrieval_queries import INDEX, bm25_sql  # noqa: E402
 
 HITS = f"""{INDEX}, {bm25_sql("top", 5)}, {PIECES},
@@ -164,6 +181,11 @@ def _(spark, sf):
     return a.join(b, "doc_id").select("doc_id", "other", k.near_duplicate(F.col("t"), F.col("u")).alias("duplicate"))
 
 
+@query("near_duplicate_blocks")
+def _(spark, sf):
+    return k.duplicate_pairs(all_hits(spark, sf))
+
+
 BUDGET = HITS + """, used AS (SELECT *, sum(length(text) + CASE WHEN rank = 1 THEN 0 ELSE 2 END) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM hits), kept AS (SELECT * FROM used WHERE rank = 1 OR used <= 3000)"""
 
 

@@ -111,3 +111,30 @@ def test_dense_scope(spark):
     got = retrieval.dense_topk(asked, vectors, 2, scope=True).orderBy("query_id", "rank").select("query_id", "chunk_id").collect()
     assert [tuple(r) for r in got] == [(7, 3), (7, 2), (8, 1), (8, 3)]
     assert retrieval.dense_topk(asked.filter(F.lit(False)), vectors, 2).collect() == []
+
+
+def test_duplicate_pairs_at_any_distance(spark):
+    words = ["north bridge river stone", "entirely other words here", "river stone bridge north", "one more passage now", "stone river north bridge today"]
+    hits = [(1, i + 1, 10 * i, i, 0, "", w, None) for i, w in enumerate(words)] + [(2, 1, 70, 7, 0, "", words[0], None), (2, 2, 80, 8, 0, "", "", None)]
+    got = {(r.query_id, r.number, r.other): r.duplicate for r in packing.duplicate_pairs(spark.createDataFrame(hits, HIT)).collect()}
+    sets = [set(w.split()) for w in words]
+    want = {(1, i + 1, j + 1): len(sets[i] & sets[j]) / len(sets[i]) >= 0.8 for i in range(5) for j in range(i)} | {(2, 2, 1): False}
+    assert got == want and [k for k, v in got.items() if v] and got[1, 3, 1] and got[1, 5, 1] and got[1, 5, 3]
+
+
+def test_overlap_of_chunks_apart(spark):
+    tail = "t" * 150
+    rows = [(1, 0, "a" + tail), (1, 1, tail + "b"), (1, 3, tail + "b"), (2, 4, "c"), (2, 5, "d")]
+    got = corpus.adjacent_overlap(spark.createDataFrame(rows, "document_id int, chunk_index int, content string"), F.col("content")).collect()
+    assert {(r.document_id, r.chunk_index): (r.adjacent, r.matches) for r in got} == {(1, 0): (False, False), (1, 1): (True, True), (1, 3): (False, False), (2, 4): (False, False), (2, 5): (True, False)}
+
+
+def test_all_pieces_count(spark):
+    import __spark_entry__
+    from lakeqa.plans import corpus_queries, feeds
+
+    sf = "/root/testdata/sf0.001"
+    rows = corpus_queries.all_hits(spark, sf).collect()
+    assert any(r.position >= 6 for r in rows) and all(r.chunk_id == (r.filing_id << 22) + r.position for r in rows)
+    assert any(r.duplicate for r in __spark_entry__.queries()["near_duplicate_blocks"](spark, sf).collect())
+    assert __spark_entry__.queries()["adjacent_overlap_all"](spark, sf).count() == feeds.pieces(spark, sf).count()
