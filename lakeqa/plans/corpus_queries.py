@@ -168,7 +168,7 @@ def _(spark, sf):
 
 @query("pack")
 def _(spark, sf):
-    return k.pack(hits(spark, sf))
+    return k.pack(all_hits(spark, sf))
 
 
 @query(

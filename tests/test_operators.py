@@ -138,3 +138,10 @@ def test_all_pieces_count(spark):
     assert any(r.position >= 6 for r in rows) and all(r.chunk_id == (r.filing_id << 22) + r.position for r in rows)
     assert any(r.duplicate for r in __spark_entry__.queries()["near_duplicate_blocks"](spark, sf).collect())
     assert __spark_entry__.queries()["adjacent_overlap_all"](spark, sf).count() == feeds.pieces(spark, sf).count()
+
+
+def test_pack_takes_late_pieces(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()["pack"](spark, "/root/testdata/sf0.001").collect()
+    assert any(i >> 22 > 0 and i % 2**22 >= 6 for r in rows for b in r.blocks for i in b.chunk_ids)
