@@ -14,35 +14,48 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, where that is unset, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and (not sc.master.startswith("local") or sc.master.startswith("local-")):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder: later plans start there, and a lost executor costs no recomputation."""
-    return Tables(df.sparkSession).cut(df)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path of any store, with all below."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Tables:
-    """Tables in the shared folder that lineage is cut with. They are compressed, and read by column."""
+    """Tables in the shared folder that lineage is cut with: later plans start there, and a lost executor costs no
+    recomputation. Used with ``with``: at its end, also after a failure, all are deleted but the result."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.path, self.n = spark, new_path(spark, "tables"), 0
 
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.path)
+
     def cut(self, df: DataFrame) -> DataFrame:
         """df written once, and read from there."""
         self.n += 1
-        path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        """Delete the tables; nothing may read them later."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return _stored(df, f"{self.path}/{self.n}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df written to a path of its own, which stays."""
+        return _stored(df, new_path(self.spark, "result"))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -11,11 +11,12 @@ is spread over as many tasks as its size asks for, and what range partitioning s
 short; names come from comparing the blocks themselves. Each task names what it holds; whether its first block goes on
 from the task before it is settled with a row for each task on the driver (two digests and a count).
 After the first level only names travel, not texts; a level halves the rows, and documents of one block
-are finished at once. Every level ends in a checkpoint, so a lost executor costs one level.
+are finished at once. Every level ends in a table in the shared folder, so a lost executor costs one
+level; these tables are deleted at the end, also after a failure.
 
 A null text counts as empty, so null and empty texts are equal. Repeated rows are members of the group
 like any other; of rows that tie in length and id one stays. Null ids come last. An empty table gives an
-empty result.
+empty result. Helper columns stand apart from those of the input, so no name of an id or other column clashes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeqa.llm.common import SPACE, clear_of, cut, read, text_of
+from lakeqa.llm.common import SPACE, Tables, clear_of, read, text_of
 
 #: Characters of a block.
 BLOCK = 8192
@@ -75,7 +76,7 @@ def _named(keys: list[str], fields: list[str]):
     return run
 
 
-def name_sorted(df: DataFrame, keys: list[str], row: list[str], leading: list[Column] | None = None) -> DataFrame:
+def name_sorted(df: DataFrame, keys: list[str], row: list[str], tables: Tables, leading: list[Column] | None = None) -> DataFrame:
     """df without keys, with a column name: an integer, the same for equal keys and rising with them.
 
     row: columns that tell the rows apart; they spread equal keys over several tasks. leading: short values made of the
@@ -85,7 +86,7 @@ def name_sorted(df: DataFrame, keys: list[str], row: list[str], leading: list[Co
     schema = T.StructType([*(df.schema[f] for f in fields), T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType()), T.StructField("first", T.BinaryType()), T.StructField("last", T.BinaryType())])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
     placed = df.repartitionByRange(*(leading or keys), *row).sortWithinPartitions(*(leading or []), *keys, *row)
-    ranked = cut(placed.mapInArrow(_named(keys, fields), schema))
+    ranked = tables.cut(placed.mapInArrow(_named(keys, fields), schema))
     # a row for each task: where its names start, given that its first keys may be the last ones of the task before
     offset, following, offsets = 0, None, []
     for r in sorted(ranked.filter("first IS NOT NULL").select("part", "rank", "first", "last").collect()):
@@ -98,12 +99,15 @@ def name_sorted(df: DataFrame, keys: list[str], row: list[str], leading: list[Co
     return named.select(*fields, (F.col("start") + F.col("rank")).alias("name"))
 
 
-def identities(df: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """df's columns without the text, with n_blocks and name: equal for equal normalised texts; n_chars, text_sha256, row."""
+def identities(df: DataFrame, tables: Tables, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """own (a struct of df's other columns, whatever their names), row, n_code_points, sha256, n_blocks, name.
+
+    n_blocks and name are the same for equal normalised texts.
+    """
     rest = [c for c in df.columns if c != text]
     normal = F.regexp_replace(text_of(text), SPACE, "")
     df = df.select(
-        *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)),
+        F.struct(*(F.col(c) for c in rest)).alias("own"),
         F.monotonically_increasing_id().alias("row"),
         F.length(text_of(text)).alias("n_code_points"),
         F.sha2(normal, 256).alias("sha256"),
@@ -111,8 +115,8 @@ def identities(df: DataFrame, text: str = "text", block: int = BLOCK) -> DataFra
     )
     blocks = F.when(F.col("normal") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("normal", F.lit(f"((?s).{{1,{block}}})"), F.lit(1)))
     df = df.withColumn("blocks", blocks).withColumn("n_blocks", F.size("blocks"))
-    kept = [f"c{i}" for i in range(len(rest))] + ["row", "n_code_points", "sha256", "n_blocks"]
-    level = name_sorted(df.select(*kept, F.posexplode("blocks").alias("place", "block")), ["block"], ["row", "place"], [F.unhex(F.sha2("block", 256))])
+    kept = ["own", "row", "n_code_points", "sha256", "n_blocks"]
+    level = name_sorted(df.select(*kept, F.posexplode("blocks").alias("place", "block")), ["block"], ["row", "place"], tables, [F.unhex(F.sha2("block", 256))])
     done, width = None, 1
     while True:
         single = level.filter(F.col("n_blocks") <= width).drop("place")
@@ -122,10 +126,9 @@ def identities(df: DataFrame, text: str = "text", block: int = BLOCK) -> DataFra
             break
         half = lambda k: F.max(F.when(F.col("place") % 2 == k, F.col("name")))
         pairs = level.groupBy(*kept, F.floor(F.col("place") / 2).cast("int").alias("half")).agg(half(0).alias("a"), F.coalesce(half(1), F.lit(-1)).alias("b"))
-        level = name_sorted(pairs.withColumnRenamed("half", "place"), ["a", "b"], ["row", "place"])
+        level = name_sorted(pairs.withColumnRenamed("half", "place"), ["a", "b"], ["row", "place"], tables)
         width *= 2
-    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(rest)]
-    return done.select(*names, "row", "n_code_points", "sha256", "n_blocks", "name")
+    return done.select("own", "row", "n_code_points", "sha256", "n_blocks", "name")
 
 
 def exact_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -135,18 +138,19 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", b
     key on the side of the documents only, in an equi-join that adaptive execution splits; the counts are summed up
     before the shuffle, and written, so that the join has a shuffle of its own.
     """
-    named = identities(df.select(id_column, text), text, block)
-    best = F.struct(
-        (-F.col("n_code_points")).alias("n"), F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("row").alias("row")
-    )
-    groups = cut(named.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best")))
-    return named.join(groups, ["n_blocks", "name"]).select(
-        F.col(id_column),
-        F.col("best.id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"),
-        F.col("sha256").alias("text_sha256"),
-    )
+    id_ = F.col("own").getField(id_column)
+    with Tables(df.sparkSession) as tables:
+        named = identities(df.select(id_column, text), tables, text, block)
+        best = F.struct((-F.col("n_code_points")).alias("n"), id_.isNull().alias("none"), id_.alias("id"), F.col("row").alias("row"))
+        groups = tables.cut(named.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best")))
+        out = named.join(groups, ["n_blocks", "name"]).select(
+            id_.alias(id_column),
+            F.col("best.id").alias("keep_id"),
+            "group_size",
+            (F.col("row") == F.col("best.row")).alias("kept"),
+            F.col("sha256").alias("text_sha256"),
+        )
+        return tables.result(out)
 
 
 def drop_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,35 +1,39 @@
 """Near-duplicates by DartMinHash (operator 10).
 
-A document is the set of its five-word shingles, or with ``weights="count"`` the multiset. Every element
-throws hashed darts at a plane of weight and rank: in each dyadic region of weights they arrive along the
-rank as a Poisson process that the element's hash alone decides. A document of total weight W keeps the
-darts below its elements' weights and below the rank DARTS / W, so about DARTS darts whatever its length.
-Each dart hits one of BANDS * ROWS coordinates; the earliest dart of a coordinate is its entry of the
-signature (documents with an empty coordinate go on to twice the rank). Two documents agree in a
+A document is the multiset of its five-word shingles, a shingle weighing as often as it occurs (with
+``weights="set"`` once). Every element throws hashed darts at a plane of weight and rank: in each dyadic region
+of weights they arrive along the rank as a Poisson process that the element's hash alone decides. A document of
+total weight W keeps the darts below its elements' weights and below the rank DARTS / W, so about DARTS darts
+whatever its length. Each dart hits one of BANDS * ROWS coordinates; the earliest dart of a coordinate is its
+entry of the signature (documents with an empty coordinate go on to twice the rank). Two documents agree in a
 coordinate with a chance equal to their weighted Jaccard similarity.
 
-Signatures are cut into bands; documents that share a band are candidates, and candidates are linked if
-their exact similarity is at least ``similarity``. Classes are the connected components of the links. With
-40 bands of 6 rows, a pair at 0.8 shares no band with a chance of 5e-6.
-
-No group is ever expanded into all pairs:
-
-* documents of equal shingle sets become one node first, with partial sums before the shuffle;
-* first, every bucket has one leader, the node with the most company in all its buckets, and a node is
-  compared with the two leaders that it shares the most buckets with; components are made of the links;
-* then buckets that still hold several components get a leader at random, and each node is compared with two
-  of those, again and again while that finds links;
-* buckets that hold several components even so get more leaders, by company again: 1, 3, 9 and so on,
-  compared with members of other components (if 240 two-bit coordinates of their signatures do not rule it
-  out by more than five deviations). This ends when each bucket either is one component or has had
-  all its members as leaders, so nothing is lost to the order of comparing.
-
-Joins on a hot bucket or a hot set have small rows and one side with one row a key, which adaptive
-execution splits. Components come from rounds of least labels with pointer jumping; all steps that are
-used twice are checkpointed. Nothing but counts reaches the driver.
+Signatures are cut into bands; documents that share a band lie in one bucket. Classes are the connected
+components of the links: pairs with a bucket in common whose exact similarity is at least ``similarity``. With
+32 bands of 8 rows a pair at 0.8 shares no bucket with a chance of 0.003, a pair at 0.85 of 6e-5.
+
+A bucket is never expanded into its pairs. Documents of equal multisets become one node first, with partial sums
+before the shuffle. Then, level by level:
+
+1. each bucket has a leader, its member with the most company in all buckets, and a center, a still better connected
+   node near the leader at the first level and the leader at the others; each member is compared with the leaders
+   and centers of its buckets, whole sets against whole sets, and components are made of the links found;
+2. a bucket whose members are all in one component is settled;
+3. in the others, take two members A and B and the center C. What they have in common outside C is at least what
+   a link needs of them, t / (1 + t) * (|A| + |B|), less the smaller of |A & C| and |B & C|. So either they share an
+   element outside C, or both overlap so much with C that sizes alone leave the link open. Each member is dealt to a
+   smaller bucket for each of its first elements outside C (a prefix as long as that bound asks for), and to one
+   more if it is of the second kind. These buckets, without those that are settled, are the next level.
+
+From the second level on, the node that leads all of its buckets is in none of the next level, so levels end; no pair
+with a bucket in common is left out. The rows of a level are at most a fifth of the elements of unsettled members, and
+mostly their differences from a center. Joins on a hot bucket, center or set have one side with one row a key, which
+adaptive execution splits. Components come from rounds of least labels with pointer jumping; what is used twice is
+written to the shared folder and deleted at the end, also after a failure. Nothing but counts reaches the driver.
 
 A text of one to four words is a single shingle; texts without words (null, empty) are equal to each other
-and to no other. Repeated rows are copies; null ids come last. An empty table gives an empty result.
+and to no other. Repeated rows are copies; null ids come last. An empty table gives an empty result. Other columns
+are not looked at by ``near_groups``, whatever their names, and pass through ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -40,18 +44,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeqa.llm.common import Tables, read
 from lakeqa.llm.exact_dedup import keep_rows
 
-WORDS, BANDS, ROWS = 5, 40, 6
+WORDS, BANDS, ROWS = 5, 32, 8
 #: Darts of a document, about: enough that few documents have an empty coordinate.
 DARTS = BANDS * ROWS * (np.log(BANDS * ROWS) + 2)
 CACHE = 300_000
-#: Elements that are worked on together.
-BATCH = 400_000
+#: Elements that are worked on together; darts that are thrown together.
+BATCH, WIDE = 100_000, 1 << 15
 
 U = np.uint64
 
@@ -59,14 +63,15 @@ U = np.uint64
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     x = x ^ (x >> U(31))
-    x = x * U(0x7FB5D329728EA185)
-    x = x ^ (x >> U(27))
-    x = x * U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> U(33))
+    x *= U(0x7FB5D329728EA185)
+    x ^= x >> U(27)
+    x *= U(0x81DADEF4BC2DD44D)
+    x ^= x >> U(33)
+    return x
 
 
 class Shingles:
-    """Sorted distinct 64-bit shingles of texts; hashes of words are kept."""
+    """Hashed shingles of texts; hashes of words are kept."""
 
     def __init__(self) -> None:
         self.cache: dict[bytes, int] = {}
@@ -79,24 +84,29 @@ class Shingles:
             self.cache[word] = h
         return h
 
-    def of(self, text: bytes, count: bool = False) -> np.ndarray:
+    def weighted(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles, rising, and how often each occurs."""
         get, word = self.cache.get, self._word
         ws = text.split()  # bytes split at U+0020 and U+0009 to U+000D
         h = np.fromiter([get(w) or word(w) for w in ws], U, len(ws))
         width = min(WORDS, len(h))
         if not width:
-            return h
+            return h, np.empty(0, np.int64)
         acc = np.full(len(h) - width + 1, width, U)
         for i in range(width):
             acc = acc * U(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i]
         s = np.sort(mix(acc))
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        if not count:
-            return s[first]
-        # the k-th occurrence of a shingle is an element of its own: similarity of multisets
-        starts = np.flatnonzero(first)
-        nth = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
-        return np.sort(mix(s + nth.astype(U) * U(0xD1B54A32D192ED03)) if nth.any() else mix(s))
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        return s[starts], np.diff(np.append(starts, len(s)))
+
+
+def numbered(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A multiset as a set, rising: the k-th occurrence of an element is an element of its own."""
+    if (weights == 1).all():
+        return elements
+    nth = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
+    more = np.repeat(elements, weights)
+    return np.sort(np.where(nth == 0, more, mix(more + nth.astype(U) * U(0xD1B54A32D192ED03))))
 
 
 @functools.lru_cache(maxsize=1)
@@ -105,54 +115,48 @@ def shingles() -> Shingles:
     return Shingles()
 
 
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1 from 64 bits each."""
+    return ((x >> U(11)).astype(float) + 0.5) * 2.0**-53
+
+
 def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, k: int = BANDS * ROWS, darts: float = DARTS) -> np.ndarray:
     """Signatures (n x k) of n weighted sets: elements and weights with the number of the set that owns each."""
-    out, filled = np.zeros((n, k), U), np.zeros((n, k), bool)
+    out, earliest = np.zeros(n * k, U), np.full(n * k, np.inf)
     total = np.bincount(owner, weights, n)
     todo, reach = np.flatnonzero(total > 0), darts
     while len(todo):
         mine = np.isin(owner, todo) if len(todo) < n else np.ones(len(owner), bool)
-        limit = reach / np.where(total > 0, total, 1.0)
-        marks, ranks, darts_hit = [], [], []
+        limits = reach / np.where(total > 0, total, 1.0)
         region = 0
-        while True:
+        while len(at := np.flatnonzero(mine & (weights > 2.0**region - 1))):
             low, rate = 2.0**region - 1, 2.0**region
-            at = np.flatnonzero(mine & (weights > low))
-            if not len(at):
-                break
             key = mix(elements[at] ^ mix(np.full(1, region + 1, U)))
-            rank, step = np.zeros(len(at)), 0
-            while len(at):
-                ahead = 1 if len(at) > 4096 else 64
-                steps = (np.arange(step, step + ahead).astype(U) + U(1)) * U(0xA24BAED4963EE407)
-                seeds = mix(key[:, None] + steps[None, :])
-                gaps = -np.log(((seeds >> U(11)).astype(float) + 0.5) * 2.0**-53) / rate
-                gaps[:, 0] += rank
-                arrivals = np.cumsum(gaps, axis=1)
-                inside = arrivals < limit[owner[at]][:, None]
-                i, j = np.nonzero(inside)
-                seed = seeds[i, j]
-                if weights is not None and region:
-                    below = low + rate * ((mix(seed ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(float) * 2.0**-53) < weights[at[i]]
-                    i, j, seed = i[below], j[below], seed[below]
-                elif len(i):
-                    w = weights[at[i]]
-                    if (w < 1).any():
-                        below = (mix(seed ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(float) * 2.0**-53 < w
-                        i, j, seed = i[below], j[below], seed[below]
+            own, limit, weight, rank, step = owner[at], limits[owner[at]], weights[at], np.zeros(len(at)), 0
+            while len(key):
+                ahead = min(64, max(1, WIDE // len(key)))  # darts of each element that are thrown together
+                seed = mix(key[:, None] + np.arange(step + 1, step + 1 + ahead).astype(U) * U(0xA24BAED4963EE407))
+                arrival = -np.log(_uniform(seed)) / rate
+                arrival[:, 0] += rank
+                arrival = np.cumsum(arrival, axis=1)
+                inside = arrival < limit[:, None]
+                hit = np.flatnonzero(inside)
+                thrower, seed, ranks = hit // ahead, seed.ravel()[hit], arrival.ravel()[hit]
+                if region or (weight < 1).any():  # else every dart of the region is below its element's weight
+                    below = low + rate * _uniform(mix(seed ^ U(0x5851F42D4C957F2D))) < weight[thrower]
+                    thrower, seed, ranks = thrower[below], seed[below], ranks[below]
                 dart = mix(seed ^ U(0x2545F4914F6CDD1D))
-                marks.append(owner[at[i]] * k + (dart % U(k)).astype(np.int64))
-                ranks.append(arrivals[i, j])
-                darts_hit.append(dart)
+                mark = own[thrower] * k + (dart % U(k)).astype(np.int64)
+                first = np.flatnonzero(ranks < earliest[mark])
+                mark, dart, ranks = mark[first], dart[first], ranks[first]
+                np.minimum.at(earliest, mark, ranks)
+                won = earliest[mark] == ranks
+                out[mark[won]] = dart[won]
                 on = inside[:, -1]
-                at, key, rank, step = at[on], key[on], arrivals[on, -1], step + ahead
+                key, own, limit, weight, rank, step = key[on], own[on], limit[on], weight[on], arrival[on, -1], step + ahead
             region += 1
-        mark, rank, dart = np.concatenate(marks), np.concatenate(ranks), np.concatenate(darts_hit)
-        order = np.argsort(-rank, kind="stable")
-        out.reshape(-1)[mark[order]] = dart[order]  # the earliest dart is written last
-        filled.reshape(-1)[mark] = True
-        todo, reach = todo[~filled[todo].all(1)], 2 * reach
-    return out
+        todo, reach = todo[~np.isfinite(earliest.reshape(n, k)[todo]).all(1)], 2 * reach
+    return out.reshape(n, k)
 
 
 def bands_of(signature: np.ndarray) -> np.ndarray:
@@ -164,93 +168,75 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-SKETCH = [f"{half}{i}" for half in ("lo", "hi") for i in range(4)]
-
-
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate (n x 8), in the order of SKETCH."""
-    out = []
-    for bit in (0, 1):
-        bits = np.packbits((signature >> U(bit) & U(1)).astype(np.uint8), axis=1)
-        out.append(np.pad(bits, ((0, 0), (0, 32 - bits.shape[1]))).view(np.int64))
-    return np.hstack(out)
-
-
-def close(a: str, b: str, similarity: float) -> Column:
-    """Whether two sketches (structs) may belong to sets that are similar enough: over 5 deviations of doubt count as yes.
-
-    Coordinates differ with a chance of 1 - similarity, their two bits then with 3/4.
-    """
-    k, p = BANDS * ROWS, 0.75 * (1 - similarity)
-    differ = sum(F.bit_count(F.col(f"{a}.lo{i}").bitwiseXOR(F.col(f"{b}.lo{i}")).bitwiseOR(F.col(f"{a}.hi{i}").bitwiseXOR(F.col(f"{b}.hi{i}")))) for i in range(4))
-    return differ <= k * p + 5.5 * (k * p * (1 - p)) ** 0.5
-
-
 def _signed(df: DataFrame, count: bool) -> DataFrame:
     """row, id, text_hash, and of the text: set_id, n_shingles, bands (empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shingles().of
+        of = shingles().weighted
         for batch in batches:
             texts = batch.column("body").cast(pa.binary())
             at = 0
             while at < batch.num_rows:
                 sets, size, begin = [], 0, at
                 while at < batch.num_rows and size < BATCH:
-                    sets.append(of(texts[at].as_py(), count))
-                    size, at = size + len(sets[-1]), at + 1
+                    elements, weights = of(texts[at].as_py())
+                    sets.append((elements, weights if count else np.ones(len(elements), np.int64)))
+                    size, at = size + len(elements), at + 1
                 n = len(sets)
-                elements = np.concatenate(sets)
-                owner = np.repeat(np.arange(n), [len(s) for s in sets])
-                signed = signatures(elements, np.ones(len(elements)), owner, n)
-                keys, marks = bands_of(signed), sketches(signed)
+                owner = np.repeat(np.arange(n), [len(e) for e, _ in sets])
+                keys = bands_of(signatures(np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]).astype(float), owner, n))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(begin, n) for c in ("row", "id", "text_hash")),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([x.tolist() if len(s) else [] for x, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
-                        pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(marks[:, i])) for i in range(8)], SKETCH),
+                        pa.array([hashlib.blake2b(numbered(e, w).tobytes(), digest_size=16).digest() for e, w in sets], pa.binary()),
+                        pa.array([int(w.sum()) for _, w in sets], pa.int32()),
+                        pa.array([x if len(e) else x[:0] for x, (e, _) in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
                     ],
-                    names=["row", "id", "text_hash", "set_id", "n_shingles", "bands", "sketch"],
+                    names=["row", "id", "text_hash", "set_id", "n_shingles", "bands"],
                 )
 
-    return df.mapInArrow(run, "row long, id long, text_hash long, set_id binary, n_shingles int, bands array<long>, sketch struct<" + ",".join(f"{x}:long" for x in SKETCH) + ">")
+    return df.mapInArrow(run, "row long, id long, text_hash long, set_id binary, n_shingles int, bands array<long>")
 
 
 def _sets(df: DataFrame, count: bool) -> DataFrame:
-    """node and the shingles of its text, as bytes."""
+    """node and the elements of its text, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shingles().of
+        of = shingles().weighted
         for batch in batches:
             texts = batch.column("body").cast(pa.binary())
             for at in range(0, batch.num_rows, 500):
-                part = texts.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, 500), pa.array([of(t.as_py(), count).tobytes() for t in part], pa.binary())], names=["node", "shingles"])
+                found = (of(t.as_py()) for t in texts.slice(at, 500))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, 500), pa.array([(numbered(e, w) if count else e).tobytes() for e, w in found], pa.binary())], names=["node", "elements"])
 
-    return df.mapInArrow(run, "node long, shingles binary")
+    return df.mapInArrow(run, "node long, elements binary")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted arrays without repeats."""
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return common / (len(both) - common) if len(both) else 1.0
+def compare(a: np.ndarray, leader: np.ndarray, t: float) -> tuple[bool, float, np.ndarray]:
+    """Of two sets, rising: whether they are linked; up to which size another set may be linked to a that shares nothing
+    with it outside the leader; and the elements of a outside the leader of which all others that are linked share one."""
+    inside = leader[np.minimum(np.searchsorted(leader, a), len(leader) - 1)] == a
+    common = int(inside.sum())
+    linked = common >= t * (len(a) + len(leader) - common) - 1e-9
+    outside = a[~inside]
+    needed = max(1, int(np.ceil(t * len(a) - common - 1e-9)))  # a partner has t * len(a) elements or more
+    return linked, common * (1 + t) / t - len(a) + 1e-6, outside[: max(0, len(outside) - needed + 1)]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. b may be a hot key: its side is joined last, and has one row a key."""
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, leader) with linked, reach and outside. The leader may be a hot key: its side is joined last, with one row a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
-            good = [jaccard(np.frombuffer(x[i].as_buffer(), U), np.frombuffer(y[i].as_buffer(), U)) >= similarity for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            found = [compare(np.frombuffer(x[i].as_buffer(), U), np.frombuffer(y[i].as_buffer(), U), similarity) for i in range(batch.num_rows)]
+            linked, reach, outside = zip(*found, strict=True) if found else ((), (), ())
+            columns = [pa.array(linked, pa.bool_()), pa.array(reach, pa.float64()), pa.array([e.view(np.int64) for e in outside], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leader"), *columns], names=["node", "leader", "linked", "reach", "outside"])
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = pairs.join(sets.select("node", F.col("elements").alias("x")), "node")
+    both = left.join(sets.select(F.col("node").alias("leader"), F.col("elements").alias("y")), "leader")
+    return both.select("node", "leader", "x", "y").mapInArrow(run, "node long, leader long, linked boolean, reach double, outside array<long>")
 
 
 def components(links: DataFrame, tables: Tables) -> DataFrame:
@@ -268,7 +254,46 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
         labels = new.select("node", F.col("new").alias("label"))
 
 
-def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text", weights: str = "set") -> DataFrame:
+def _several(rows: DataFrame) -> DataFrame:
+    """rows (key, node, n, label) of buckets with several nodes of several components, with size."""
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return rows.join(keys.filter("low < high").select("key", "size"), "key")
+
+
+def _led(buckets: DataFrame, tables: Tables, first: bool) -> DataFrame:
+    """buckets (key, node, n, size) with leader and center of each.
+
+    The leader is the member with the most company in all its buckets. The center is, at the first level, what is found
+    by going twice from a leader to the best leader that its own buckets have; later it is the leader.
+    """
+    degrees = buckets.join(buckets.groupBy("node").agg(F.sum("size").alias("degree")), "node")
+    leaders = degrees.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top"))
+    led = tables.cut(buckets.join(leaders, "key"))
+    if not first:
+        return led.select("key", "node", "n", (-F.col("top.minus")).alias("leader"), (-F.col("top.minus")).alias("center"))
+    best = tables.cut(led.groupBy("node").agg(F.max("top").alias("best")).select("node", (-F.col("best.minus")).alias("best")))
+    again = best.select(F.col("node").alias("best"), F.col("best").alias("center"))
+    centers = best.join(again, "best").select(F.col("node").alias("leader"), "center")
+    return led.select("key", "node", "n", (-F.col("top.minus")).alias("leader")).join(centers, "leader")
+
+
+def _narrower(led: DataFrame, compared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets of the next level: key, node, n, size. Buckets of one center are worked on together."""
+    named = led.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).filter("low < high").select("key", "least")
+    members = named.filter("node <> center").join(mixed, "key").join(compared.withColumnRenamed("leader", "center"), ["node", "center"])
+    shared = members.dropDuplicates(["node", "center"]).select("center", "node", "n", "label", F.explode("outside").alias("element"))
+    shared = shared.select(F.xxhash64("center", "element").alias("key"), "node", "n", "label")
+    # members that may be linked to another by what the center has alone; of the center's component those small enough
+    close = members.filter("reach >= least").join(labels.select(F.col("node").alias("center"), F.col("label").alias("led_by")), "center", "left")
+    own = F.coalesce(F.col("label") == F.col("led_by"), F.lit(False))
+    close = close.withColumn("own", own)
+    reaches = close.groupBy("key").agg(F.max(F.when(~F.col("own"), F.col("reach"))).alias("most"))
+    close = close.join(reaches, "key").filter(~F.col("own") | (F.col("n") <= F.col("most"))).select(F.xxhash64("center", F.lit("size")).alias("key"), "node", "n", "label").distinct()
+    return _several(shared.unionByName(close)).select("key", "node", "n", "size")
+
+
+def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text", weights: str = "count") -> DataFrame:
     """One row for each row of df: its id, class_id, class_size, kept, n_shingles, text_hash.
 
     class_id is the smallest id of the class; of each class the row with that id stays, of repeated rows one.
@@ -276,90 +301,45 @@ def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id
     if weights not in ("set", "count"):
         raise ValueError("weights: set or count")
     count = weights == "count"
-    tables, lasting = Tables(df.sparkSession), Tables(df.sparkSession)
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_column).cast("long").alias("id"), body.alias("body"), F.xxhash64(body).alias("text_hash"))
-    signed = lasting.cut(_signed(docs.withColumn("row", F.monotonically_increasing_id()), count))
-
-    best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("text_hash").alias("text_hash"))
-    nodes = signed.groupBy("set_id").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    nodes = tables.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-
-    # a node's degree is the size of all its buckets: what others were copied from comes first
-    rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    multi = tables.cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "key"))
-    multi = multi.join(multi.groupBy("node").agg(F.sum("size").alias("degree")), "node")
-    leaders = multi.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("top"))
-    leaders = leaders.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("leader_n"))
-    buckets = tables.cut(multi.join(leaders, "key"))
-    alike = lambda n, m: F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9
-    shared = buckets.filter((F.col("node") != F.col("leader")) & alike(F.col("n"), F.col("leader_n"))).groupBy("node", "leader").count()
-    first = Window.partitionBy("node").orderBy(F.desc("count"), "leader")  # at most one row a band
-    pairs = shared.withColumn("k", F.row_number().over(first)).filter("k <= 2").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
-    pairs = pairs.distinct().join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    pairs = tables.cut(pairs.filter(close("x", "y", similarity)).select("a", "b"))
-
-    # sets of all nodes in buckets; a text is found by the id and hash of the row that stands for the node
-    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("best.id").alias("id"), F.col("best.text_hash").alias("text_hash"), F.col("best.none").alias("none"))
-    found = wanted.join(docs.withColumnRenamed("id", "own"), (wanted["text_hash"] == docs["text_hash"]) & wanted["id"].eqNullSafe(F.col("own"))).select("node", "body")
-    sets = tables.cut(_sets(found.dropDuplicates(["node"]) if _repeats(wanted, signed) else found, count))
-
-    def open_rows(rows: DataFrame, done: int) -> DataFrame:
-        """Rows of buckets that still hold several components and had not all members as leaders, with label and sketch."""
-        named = rows.select("key", "node", "n", "size", "degree").filter(F.col("size") > done).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        return tables.cut(named.join(mixed, "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
-
-    def untried(heads: DataFrame) -> DataFrame:
-        """Rows of open_ with a head (key, b, m, other, mark) of their bucket that is in another component and may be similar."""
-        rows = open_.join(heads, "key").filter((F.col("label") != F.col("other")) & alike(F.col("n"), F.col("m")) & close("sketch", "mark", similarity))
-        return rows.select("node", "b")
-
-    def linked(more: DataFrame) -> DataFrame:
-        """The new links among pairs (node, b), each of which is tried once."""
-        nonlocal tried
-        more = more.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        more = tables.cut(more.join(tried, ["a", "b"], "left_anti"))
-        tried = tables.cut(tried.unionByName(more))
-        return tables.cut(_verified(more, sets, similarity))
-
-    tried = pairs
-    links = tables.cut(_verified(pairs, sets, similarity))
-    labels, salt = components(links, tables), 0
-    open_ = open_rows(buckets, 0)
-    while not open_.isEmpty():  # a leader at random for each bucket, two of them for each node, as long as that finds links
-        head = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "n", "label", "sketch")).alias("x"))
-        found = untried(head.select("key", F.col("x.node").alias("b"), F.col("x.n").alias("m"), F.col("x.label").alias("other"), F.col("x.sketch").alias("mark")))
-        found = found.groupBy("node", "b").count().withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "b"))).filter("k <= 2")
-        new = linked(found)
-        if new.isEmpty():
-            break
-        links, salt = tables.cut(links.unionByName(new)), salt + 1
-        labels = components(links, tables)
-        open_ = open_rows(open_, 0)
-    done, most = 0, 1
-    while not open_.isEmpty():  # then 1, 3, 9, ... leaders, until all members were
-        order = Window.partitionBy("key").orderBy(F.desc("degree"), "node")
-        heads = open_.withColumn("k", F.row_number().over(order)).filter((F.col("k") <= most) & (F.col("k") > done))
-        new = linked(untried(heads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("sketch").alias("mark"))))
-        if not new.isEmpty():
-            links = tables.cut(links.unionByName(new))
-            labels = components(links, tables)
-        done, most = most, 3 * most
-        open_ = open_rows(open_, done)
-
-    named = nodes.select("set_id", "node", "best", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = tables.cut(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size")))
-    of_set = lasting.cut(named.select("set_id", "label").join(classes, "label").select("set_id", "first", "class_size"))
-    tables.drop()
-    return signed.join(of_set, "set_id").select(
-        F.col("id").alias(id_column),
-        F.col("first.id").alias("class_id"),
-        "class_size",
-        (F.col("row") == F.col("first.row")).alias("kept"),
-        "n_shingles",
-        "text_hash",
-    )
+    with Tables(df.sparkSession) as tables:
+        body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        docs = df.select(F.col(id_column).cast("long").alias("id"), body.alias("body"), F.xxhash64(body).alias("text_hash"))
+        signed = tables.cut(_signed(docs.withColumn("row", F.monotonically_increasing_id()), count))
+
+        best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("text_hash").alias("text_hash"))
+        nodes = signed.groupBy("set_id").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+        nodes = tables.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+        rows = nodes.select("node", "n", F.explode("bands").alias("key"))
+        buckets = tables.cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "key"))
+
+        # sets of all nodes in buckets; a text is found by the id and hash of the row that stands for the node
+        wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("best.id").alias("id"), F.col("best.text_hash").alias("text_hash"))
+        found = wanted.join(docs.withColumnRenamed("id", "own"), (wanted["text_hash"] == docs["text_hash"]) & wanted["id"].eqNullSafe(F.col("own"))).select("node", "body")
+        sets = tables.cut(_sets(found.dropDuplicates(["node"]) if _repeats(signed) else found, count))
+
+        links, labels, level = None, df.sparkSession.createDataFrame([], "node long, label long"), 0
+        while not buckets.isEmpty():
+            led = tables.cut(_led(buckets, tables, first=level == 0))
+            pairs = led.select("node", "leader").union(led.select("node", "center")).filter("node <> leader").distinct()
+            compared = tables.cut(_compared(pairs, sets, similarity))
+            new = compared.filter("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+            if not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                labels = components(links, tables)
+            buckets, level = tables.cut(_narrower(led, compared, labels)), level + 1
+
+        named = nodes.select("set_id", "node", "best", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        classes = tables.cut(named.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("class_size")))
+        of_set = tables.cut(named.select("set_id", "label").join(classes, "label").select("set_id", "first", "class_size"))
+        out = signed.join(of_set, "set_id").select(
+            F.col("id").alias(id_column),
+            F.col("first.id").alias("class_id"),
+            "class_size",
+            (F.col("row") == F.col("first.row")).alias("kept"),
+            "n_shingles",
+            "text_hash",
+        )
+        return tables.result(out)
 
 
 def drop_near_copies(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -369,8 +349,8 @@ def drop_near_copies(df: DataFrame, similarity: float = 0.8, id_column: str = "d
     return keep_rows(df, groups.filter("kept").select(id_column, "text_hash"), id_column, F.xxhash64(body), F.length(body))
 
 
-def _repeats(wanted: DataFrame, signed: DataFrame) -> bool:
-    """Whether some row that stands for a node is there more than once (repeated rows of one id and text)."""
+def _repeats(signed: DataFrame) -> bool:
+    """Whether some row is there more than once (repeated rows of one id and text)."""
     return not signed.groupBy("id", "text_hash").count().filter("count > 1").isEmpty()
 
 

@@ -274,6 +274,10 @@ def test_exact_dedup(docs, none, spark):
             assert len(got) == len(data) and sum(r.kept for r in got) == len(groups)
             by = collections.Counter((r.keep_id, r.group_size) for r in got)
             assert by == collections.Counter({(None if min(g)[1] else min(g)[2], len(g)): len(g) for g in groups.values()})
+    # a column of the input, or the id, may have the name of any helper
+    for name in ("name", "row", "own"):
+        clash = docs.select(F.col("doc_id").alias(name), "text", F.lit(1).alias("x"))
+        assert sum(r.kept for r in exact_dedup.exact_groups(clash, id_column=name).collect()) == len(brute_groups([(r[0], r[1]) for r in ROWS]))
     assert exact_dedup.drop_copies(docs).count() == len(brute_groups([(r[0], r[1]) for r in ROWS]))
 
 
@@ -325,7 +329,8 @@ def brute_classes(rows, similarity=0.8):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+        seen = collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+        sets.append(frozenset((g, k) for g, n in seen.items() for k in range(n)))
     label = list(range(len(rows)))
 
     def root(x):
@@ -358,6 +363,110 @@ def test_near_dedup(docs, none, spark):
         sizes = collections.Counter(collections.Counter(r.class_id for r in got).values())
         assert sizes == brute_classes(data) and sum(r.kept for r in got) == sum(sizes.values())
     assert near_dedup.drop_near_copies(docs).count() == sum(brute_classes([(r[0], r[1]) for r in ROWS]).values())
+    clash = docs.withColumn("node", F.lit(1)).withColumn("leader", F.lit("x"))
+    assert set(near_dedup.drop_near_copies(clash).columns) == set(clash.columns)
+
+
+def star(n: int, width: int = 150, seed: int = 5) -> list[tuple[int, str]]:
+    """A hot group: a text, copies of it with 0 to 16 words replaced, and copies of some of those copies."""
+    rng, words = random.Random(seed), [f"s{i}" for i in range(20_000)]
+    base, rows = rng.choices(words, k=width), []
+    for i in range(n):
+        copy = list(base if i % 7 or not rows else rng.choice(rows)[1].split())
+        for _ in range(rng.randint(0, 16) if i % 7 else rng.randint(0, 2)):
+            copy[rng.randrange(width)] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def shingle_counts(text):
+    w = text.split()
+    return collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+
+
+def linked_pairs(rows, low=0.8):
+    """Pairs of rows at low or more, by brute force: common numbered shingles of all pairs by matrix products."""
+    place, data, n = {}, [], np.zeros(len(rows))
+    for i, (_, t) in enumerate(rows):
+        seen = shingle_counts(t)
+        n[i] = sum(seen.values())
+        data += [(i, place.setdefault((g, k), len(place))) for g, m in seen.items() for k in range(m)]
+    i, j = np.array(data).T
+    shared = np.flatnonzero(np.bincount(j) > 1)
+    column = np.full(len(place), -1)
+    column[shared] = np.arange(len(shared))
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    for start in range(0, len(shared), 2000):
+        inside = (column[j] >= start) & (column[j] < start + 2000)
+        m = np.zeros((len(rows), 2000), np.float32)
+        m[i[inside], column[j[inside]] - start] = 1
+        common += m @ m.T
+    a, b = np.nonzero(np.triu(common >= low * (n[:, None] + n - common) - 1e-6, 1))
+    return list(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def classes_of(n, pairs):
+    label = list(range(n))
+
+    def root(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    return [root(x) for x in range(n)]
+
+
+def test_near_dedup_hot(spark):
+    """A group of 5,000 near copies at 0.2 to 1 of each other: every link of the brute force is inside a class, and no class is larger."""
+    rows = star(5000)
+    pairs = linked_pairs(rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = classes_of(len(rows), pairs)
+    assert len(pairs) > 10_000 and sum(got[a] == got[b] for a, b in pairs) >= 0.999 * len(pairs)
+    assert all(want[d] == want[c] for d, c in got.items())
+
+
+def test_near_recall(spark):
+    """Pairs apart from each other, by similarity: at 0.8 and a little above at least 0.98 are found, and none below."""
+    rng, rows, words = random.Random(8), [], [f"p{i}" for i in range(50_000)]
+    for i in range(1500):
+        a = rng.choices(words, k=150)
+        b = list(a)
+        for _ in range(rng.randint(1, 5)):
+            b[rng.randrange(150)] = rng.choice(words)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = collections.Counter()
+    for i in range(1500):
+        a, b = (shingle_counts(rows[2 * i + k][1]) for k in (0, 1))
+        similarity = sum((a & b).values()) / sum((a | b).values())
+        found[0.0 if similarity < 0.8 else 0.8 if similarity < 0.84 else 0.84, got[2 * i] == got[2 * i + 1]] += 1
+    assert not found[0.0, True] and found[0.0, False] > 100 and found[0.8, True] > 100 and found[0.84, True] > 100
+    assert found[0.8, False] <= 0.02 * found[0.8, True] and found[0.84, False] <= 0.001 * found[0.84, True]
+
+
+def test_near_bound():
+    """What narrower buckets are made by: a linked pair shares an element that both are dealt by, or both reach each other's size."""
+    rng = np.random.default_rng(6)
+    seen = 0
+    for _ in range(20_000):
+        base = np.arange(int(rng.integers(8, 60)), dtype=np.uint64)
+
+        def near():
+            own = base[rng.random(len(base)) < rng.choice([0.8, 0.9, 1.0])]
+            return np.unique(np.append(own, rng.integers(100, 115, int(rng.integers(0, 6))).astype(np.uint64)))
+
+        a, b, leader = near(), near(), near()
+        common = len(np.intersect1d(a, b))
+        if min(len(a), len(b), len(leader)) and common >= 0.8 * (len(a) + len(b) - common):
+            (_, reach_a, out_a), (_, reach_b, out_b) = near_dedup.compare(a, leader, 0.8), near_dedup.compare(b, leader, 0.8)
+            assert len(np.intersect1d(out_a, out_b)) or (reach_a >= len(b) and reach_b >= len(a))
+            seen += 1
+    assert seen > 1000
 
 
 def test_signatures():
