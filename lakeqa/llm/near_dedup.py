@@ -16,20 +16,21 @@ A bucket is never expanded into its pairs. Documents of equal multisets become o
 before the shuffle. Then, level by level:
 
 1. each bucket has a leader, its member with the most company in all buckets, and a center, a still better connected
-   node near the leader at the first level and the leader at the others; each member is compared with the leaders
-   and centers of its buckets, whole sets against whole sets, and components are made of the links found;
-2. a bucket whose members are all in one component is settled;
+   node near the leader; each member is compared with the leaders and centers of its buckets, whole sets against whole
+   sets, and components are made of the links found; from the second level on, the center is the member
+   nearest to the center before and there are more leaders, 8, 64 and so on, with whom members of other components are compared, if sizes do not rule it out;
+2. a bucket whose members are all in one component is settled, and one that is not larger than its number of leaders;
 3. in the others, take two members A and B and the center C. What they have in common outside C is at least what
    a link needs of them, t / (1 + t) * (|A| + |B|), less the smaller of |A & C| and |B & C|. So either they share an
-   element outside C, or both overlap so much with C that sizes alone leave the link open. Each member is dealt to a
-   smaller bucket for each of its first elements outside C (a prefix as long as that bound asks for), and to one
-   more if it is of the second kind. These buckets, without those that are settled, are the next level.
+   element outside C, or both overlap so much with C that sizes alone leave the link open. Each member but the leaders
+   is dealt to a smaller bucket for each of its first elements outside C (a prefix as long as that bound asks for), and
+   to one more if it is of the second kind. These buckets, without those that are settled, are the next level.
 
-From the second level on, the node that leads all of its buckets is in none of the next level, so levels end; no pair
-with a bucket in common is left out. The rows of a level are at most a fifth of the elements of unsettled members, and
-mostly their differences from a center. Joins on a hot bucket, center or set have one side with one row a key, which
-adaptive execution splits. Components come from rounds of least labels with pointer jumping; what is used twice is
-written to the shared folder and deleted at the end, also after a failure. Nothing but counts reaches the driver.
+As the number of leaders grows, levels end after log8 of the largest bucket (three or four as a rule); no pair with a bucket in common is left out. The rows of a level are at most a fifth of the
+elements of unsettled members, and mostly their differences from a center. Joins on a hot bucket, center or set have
+one side with few rows a key, which adaptive execution splits. Components come from rounds of least labels with
+pointer jumping; what is used twice is written to the shared folder and deleted at the end, also after a failure.
+Nothing but counts reaches the driver.
 
 A text of one to four words is a single shingle; texts without words (null, empty) are equal to each other
 and to no other. Repeated rows are copies; null ids come last. An empty table gives an empty result. Other columns
@@ -44,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeqa.llm.common import Tables, read
@@ -54,6 +55,8 @@ WORDS, BANDS, ROWS = 5, 32, 8
 #: Darts of a document, about: enough that few documents have an empty coordinate.
 DARTS = BANDS * ROWS * (np.log(BANDS * ROWS) + 2)
 CACHE = 300_000
+#: Leaders of a bucket at the second level; at the third as many times more, and so on.
+LEADERS = 8
 #: Elements that are worked on together; darts that are thrown together.
 BATCH, WIDE = 100_000, 1 << 15
 
@@ -255,42 +258,57 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """rows (key, node, n, label) of buckets with several nodes of several components, with size."""
+    """rows (with key and label) of buckets with several nodes of several components, with size."""
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
     return rows.join(keys.filter("low < high").select("key", "size"), "key")
 
 
-def _led(buckets: DataFrame, tables: Tables, first: bool) -> DataFrame:
-    """buckets (key, node, n, size) with leader and center of each.
+def _led(buckets: DataFrame, tables: Tables) -> DataFrame:
+    """buckets (key, node, n, size) of the first level with the leader and the center of each.
 
-    The leader is the member with the most company in all its buckets. The center is, at the first level, what is found
-    by going twice from a leader to the best leader that its own buckets have; later it is the leader.
+    The leader is the member with the most company in all its buckets. The center is what is found by going twice from a
+    leader to the best leader that its own buckets have.
     """
     degrees = buckets.join(buckets.groupBy("node").agg(F.sum("size").alias("degree")), "node")
     leaders = degrees.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top"))
     led = tables.cut(buckets.join(leaders, "key"))
-    if not first:
-        return led.select("key", "node", "n", (-F.col("top.minus")).alias("leader"), (-F.col("top.minus")).alias("center"))
     best = tables.cut(led.groupBy("node").agg(F.max("top").alias("best")).select("node", (-F.col("best.minus")).alias("best")))
     again = best.select(F.col("node").alias("best"), F.col("best").alias("center"))
     centers = best.join(again, "best").select(F.col("node").alias("leader"), "center")
     return led.select("key", "node", "n", (-F.col("top.minus")).alias("leader")).join(centers, "leader")
 
 
+def _headed(buckets: DataFrame, tables: Tables, most: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of buckets (key, node, n, reach, label, size) of a later level: pairs (node, leader) to compare, and the rows that go on.
+
+    A bucket has up to most leaders, those nearest to the center before first; the first is its center. Members in another
+    component that sizes do not rule out are compared with all of them, so a bucket not larger than that is done with, and
+    leaders leave the others.
+    """
+    order = Window.partitionBy("key").orderBy(F.desc("reach"), "node")
+    heads = buckets.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    heads = tables.cut(heads.select("key", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("label").alias("other"), "place"))
+    rows = buckets.filter(F.col("size") > most).join(heads.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
+    rows = tables.cut(rows.join(heads.filter("place = 1").select("key", F.col("leader").alias("center")), "key").select("key", "node", "n", "center"))
+    alike = (F.col("label") != F.col("other")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+    pairs = buckets.join(heads, "key").filter((F.col("node") != F.col("leader")) & alike).select("node", "leader")
+    return pairs.union(rows.select("node", "center")).distinct(), rows
+
+
 def _narrower(led: DataFrame, compared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The buckets of the next level: key, node, n, size. Buckets of one center are worked on together."""
-    named = led.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """The buckets of the next level: key, node, n, reach, label, size. Buckets of one center are worked on together."""
+    named = led.select("key", "node", "n", "center").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).filter("low < high").select("key", "least")
     members = named.filter("node <> center").join(mixed, "key").join(compared.withColumnRenamed("leader", "center"), ["node", "center"])
-    shared = members.dropDuplicates(["node", "center"]).select("center", "node", "n", "label", F.explode("outside").alias("element"))
-    shared = shared.select(F.xxhash64("center", "element").alias("key"), "node", "n", "label")
+    shared = members.dropDuplicates(["node", "center"]).select("center", "node", "n", "reach", "label", F.explode("outside").alias("element"))
+    shared = shared.select(F.xxhash64("center", "element").alias("key"), "node", "n", "reach", "label")
     # members that may be linked to another by what the center has alone; of the center's component those small enough
     close = members.filter("reach >= least").join(labels.select(F.col("node").alias("center"), F.col("label").alias("led_by")), "center", "left")
     own = F.coalesce(F.col("label") == F.col("led_by"), F.lit(False))
     close = close.withColumn("own", own)
     reaches = close.groupBy("key").agg(F.max(F.when(~F.col("own"), F.col("reach"))).alias("most"))
-    close = close.join(reaches, "key").filter(~F.col("own") | (F.col("n") <= F.col("most"))).select(F.xxhash64("center", F.lit("size")).alias("key"), "node", "n", "label").distinct()
-    return _several(shared.unionByName(close)).select("key", "node", "n", "size")
+    close = close.join(reaches, "key").filter(~F.col("own") | (F.col("n") <= F.col("most"))).select(F.xxhash64("center", F.lit("size")).alias("key"), "node", "n", "reach", "label").distinct()
+    return _several(shared.unionByName(close))
 
 
 def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text", weights: str = "count") -> DataFrame:
@@ -319,8 +337,11 @@ def near_groups(df: DataFrame, similarity: float = 0.8, id_column: str = "doc_id
 
         links, labels, level = None, df.sparkSession.createDataFrame([], "node long, label long"), 0
         while not buckets.isEmpty():
-            led = tables.cut(_led(buckets, tables, first=level == 0))
-            pairs = led.select("node", "leader").union(led.select("node", "center")).filter("node <> leader").distinct()
+            if level == 0:
+                led = tables.cut(_led(buckets, tables))
+                pairs = led.select("node", "leader").union(led.select("node", "center")).filter("node <> leader").distinct()
+            else:
+                pairs, led = _headed(buckets, tables, LEADERS**level, similarity)
             compared = tables.cut(_compared(pairs, sets, similarity))
             new = compared.filter("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
             if not new.isEmpty():
