@@ -24,7 +24,8 @@ before the shuffle. Then, level by level:
    a link needs of them, t / (1 + t) * (|A| + |B|), less the smaller of |A & C| and |B & C|. So either they share an
    element outside C, or both overlap so much with C that sizes alone leave the link open. Each member but the leaders
    is dealt to a smaller bucket for each of its first elements outside C (a prefix as long as that bound asks for), and
-   to one more if it is of the second kind. These buckets, without those that are settled, are the next level.
+   to one more if it is of the second kind. These buckets, without those that are settled and but one of those with
+   the same members, are the next level.
 
 As the number of leaders grows, levels end after log8 of the largest bucket (three or four as a rule); no pair with a bucket in common is left out. The rows of a level are at most a fifth of the
 elements of unsettled members, and mostly their differences from a center. Joins on a hot bucket, center or set have
@@ -258,9 +259,12 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """rows (with key and label) of buckets with several nodes of several components, with size."""
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return rows.join(keys.filter("low < high").select("key", "size"), "key")
+    """rows (with key, node and label) of buckets with several components, with size; of buckets with the same members, told
+    by 128 bits, one stays."""
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in (0, 1)]
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), *members)
+    keys = keys.filter("low < high").groupBy("size", "members0", "members1").agg(F.min("key").alias("key"))
+    return rows.join(keys.select("key", "size"), "key")
 
 
 def _led(buckets: DataFrame, tables: Tables) -> DataFrame:
