@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -121,19 +123,42 @@ def section_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.groupBy("document_id", "span").agg(F.max("head.key").alias("key"), F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("lines"))
 
 
-def chunks_of(text: str | None, size: int = 800, overlap: int = 150) -> list[str]:
-    """Chunks of whole lines up to size, each beginning with the end of the one before; long lines are cut."""
-    out, now, fresh = [], "", False
-    for line in (text or "").split("\n"):
-        while len(line) > size:
-            out += ([now] if fresh else []) + [line[:size]]
-            now, fresh, line = "", False, line[size - overlap :]
-        if fresh and len(now) + 1 + len(line) > size:
-            out.append(now)
-            now, fresh = now[-overlap:], False
-        now, fresh = (now + "\n" + line if now else line), True
-    out += [now] if fresh else []
-    return [c for c in map(str.strip, out) if len(c) > 40]
+def _long_cuts(start: int, stop: int, size: int, overlap: int) -> list[int]:
+    """Where a line's windows of ``size`` characters begin, overlapping, and behind them where the rest begins that fits."""
+    step = size - overlap
+    windows = max(0, -(-(stop - start - size) // step))
+    return [start + step * i for i in range(windows + 1)]
+
+
+def chunk_spans(text: str, size: int = 800, overlap: int = 150) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of a text: as many whole lines as fit, begun ``overlap`` characters before the last end.
+
+    Lines longer than size are windows of their own; what is left of one begins the next chunk. A run of lines between
+    such windows is cut by looking up, among the ends of its lines, the last one within reach of the chunk's start.
+    """
+    spans: list[tuple[int, int]] = []
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
+    lines = list(zip([0, *(i + 1 for i in breaks)], [*breaks, len(text)], strict=True))
+    # a run begins at the text's start or at the rest of a long line
+    number = list(itertools.accumulate(int(b - a > size) for a, b in lines))
+    for _, run in itertools.groupby(zip(number, lines, strict=True), key=lambda x: x[0]):
+        run = [line for _, line in run]
+        *windows, first = _long_cuts(*run[0], size, overlap)
+        spans += [(w, w + size) for w in windows]
+        starts, ends = [first, *(a for a, _ in run[1:])], [b for _, b in run]
+        blank = next((i for i, (a, b) in enumerate(zip(starts, ends, strict=True)) if b > a), len(ends))
+        begin, at = (starts[blank] if blank < len(ends) else first), blank
+        while at < len(ends):
+            last = max(at, bisect.bisect_right(ends, begin + size) - 1)  # a chunk has one new line at least
+            spans.append((begin, ends[last]))
+            begin, at = max(begin, ends[last] - overlap), last + 1
+    return spans
+
+
+def chunks_of(text: str | None, size: int = 800, overlap: int = 150, least: int = 40) -> list[str]:
+    """The stripped texts of ``chunk_spans``, without those of least characters or fewer."""
+    text = text or ""
+    return [c for a, b in chunk_spans(text, size, overlap) if len(c := text[a:b].strip()) > least]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

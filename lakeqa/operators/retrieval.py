@@ -1,15 +1,18 @@
 """Retrieval over tables of questions and chunks: BM25, exact cosine search, rank fusion, reranking, and its evaluation.
 
-Texts are joined to finalists only; shuffles carry ids, ranks and scores. Ties end at the chunk id.
+Texts are joined to finalists only; shuffles carry ids, ranks and scores. Ties end at the chunk id. The BM25 index is made
+once of the tokenised chunks and may be stored: ``write_index`` and ``read_index``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeqa.functions.text import tokenize
@@ -23,95 +26,131 @@ def _top(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> Da
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+class Index(NamedTuple):
+    """postings: term, chunk_id, tf, dl. terms: term, df, raw (idf before the floor). size: one row of n, avgdl, mean (of raw)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    size: DataFrame
+
+
 def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
-    """term, chunk_id, tf, dl: a row for each term of a chunk, counted inside the row of the chunk."""
-    tokens = chunks.select("chunk_id", tokenize(F.col(content)).alias("tokens"))
-    return tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """term, chunk_id, tf, dl: a row for each term of a chunk, counted inside the chunk's row by sorting its tokens.
+
+    A chunk without tokens has one row without a term.
+    """
+    rows = chunks.select("chunk_id", F.array_sort(tokenize(F.coalesce(F.col(content), F.lit("")))).alias("tokens"))
+    n = F.size("tokens")
+    begins = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    rows = rows.select("chunk_id", n.alias("dl"), "tokens", begins.alias("begins"))
+    counted = F.transform("begins", lambda b, i: F.struct(F.get("tokens", b).alias("term"), (F.coalesce(F.get("begins", i + 1), F.col("dl")) - b).alias("tf")))
+    return rows.select("chunk_id", "dl", F.explode(counted).alias("t")).select("t.term", "chunk_id", F.col("t.tf").cast("long").alias("tf"), "dl")
+
+
+def _summed(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """terms and size of an index's postings."""
+    size = index.groupBy("chunk_id").agg(F.any_value("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    found = index.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size))
+    return found.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), size
+
+
+def build_index(chunks: DataFrame, content: str = "content") -> Index:
+    """The index as a plan, which each use computes; ``write_index`` stores it."""
+    index = postings(chunks, content)
+    terms, size = _summed(index)
+    return Index(index, terms, size.join(F.broadcast(terms.agg(F.avg("raw").alias("mean")))))
+
+
+def write_index(chunks: DataFrame, path: str, content: str = "content") -> Index:
+    """Tokenise the chunks once and store postings (by term, so that a reader skips what nobody asks for), terms and size."""
+    spark = chunks.sparkSession
+    postings(chunks, content).repartition("term", F.pmod("chunk_id", F.lit(8))).sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    terms, size = _summed(spark.read.parquet(f"{path}/postings"))
+    terms.write.parquet(f"{path}/terms")
+    size.join(F.broadcast(spark.read.parquet(f"{path}/terms").agg(F.avg("raw").alias("mean")))).write.parquet(f"{path}/size")
+    return read_index(spark, path)
 
 
-def corpus_size(chunks: DataFrame, content: str = "content") -> DataFrame:
-    """One row: n, avgdl."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenize(F.coalesce(F.col(content), F.lit(""))))).alias("avgdl"))
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index._fields))
 
 
-def bm25_stats(index: DataFrame, size: DataFrame, epsilon: float = 0.25) -> DataFrame:
+def bm25_stats(index: Index, epsilon: float = 0.25) -> DataFrame:
     """term, df, idf: negative idf is replaced by epsilon times the mean idf of the vocabulary."""
-    terms = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = terms.join(F.broadcast(size)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    return idf.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return index.terms.join(F.broadcast(index.size)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_topk(
-    queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, scope: DataFrame | None = None
+    queries: DataFrame, chunks: DataFrame | Index, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, scope: DataFrame | None = None
 ) -> DataFrame:
-    """query_id, chunk_id, score, rank. queries: query_id, question. scope: query_id, chunk_id that a query may return.
+    """query_id, chunk_id, score, rank. queries: query_id, question. chunks: a table, or its index. scope: query_id, chunk_id that a query may return.
 
-    Statistics come from all chunks, the scope is applied to the scores. A query with fewer than k scored chunks is
-    filled up with chunks of score 0 by chunk id: only the k + k smallest ids can be needed.
+    Statistics come from all chunks. Chunks without a term of the query have score 0 and are candidates too: each query
+    gets the 2 k smallest chunk ids with a score of 0 added to what they have. Of these at most k - 1 score above 0 where
+    they matter, so k of score 0 are among them; only if a floor below 0 makes scores negative (a mean idf below 0, of
+    a few chunks with the same words), all chunks are added.
     """
+    index = chunks if isinstance(chunks, Index) else build_index(chunks)
     asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    index, size = postings(chunks), corpus_size(chunks)
-    stats = bm25_stats(index, size, epsilon)
-    # the few terms asked for leave most postings behind before anything is summed
-    weights = asked.join(stats, "term")
-    hits = index.join(weights, "term").join(F.broadcast(size))
+    hits = index.postings.join(asked.join(bm25_stats(index, epsilon), "term"), "term").join(F.broadcast(index.size))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    scores = scores.join(scope, ["query_id", "chunk_id"], "left_semi") if scope is not None else scores
-    scores = scores.withColumn("score", F.round("score", 6))
-    best = _top(scores, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
-    short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("got")), "query_id", "left").filter(F.coalesce("got", F.lit(0)) < k).select("query_id")
+    mean = index.size.head()["mean"]
+    negative = mean is not None and mean * epsilon < 0
     if scope is None:
-        spare = short.join(F.broadcast(chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)))
+        ids = index.postings.select("chunk_id").distinct()
+        spare = queries.select("query_id").join(F.broadcast(ids if negative else ids.orderBy("chunk_id").limit(2 * k)))
     else:
-        spare = _top(scope.join(short, "query_id", "left_semi"), "query_id", [F.asc("chunk_id")], 2 * k).select("query_id", "chunk_id")
-    spare = spare.join(scores, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
-    return _top(best.select("query_id", "chunk_id", "score").unionByName(spare), "query_id", [F.desc("score"), F.asc("chunk_id")], k)
+        spare = scope if negative else _top(scope, "query_id", [F.asc("chunk_id")], 2 * k)
+    rows = hits.select("query_id", "chunk_id", part.alias("part")).unionByName(spare.select("query_id", "chunk_id", F.lit(0.0).alias("part")))
+    scores = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    scores = scores.join(scope, ["query_id", "chunk_id"], "left_semi") if scope is not None else scores
+    return _top(scores, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def _blocks(df: DataFrame, id_column: str, scope: bool, rows: int) -> DataFrame:
+    """df's vectors of unit length in blocks of up to rows: ids, vectors (float64, as bytes), scopes."""
+    df = df.select(F.col(id_column).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), (F.col("scope").cast("string") if scope else F.lit(None).cast("string")).alias("scope"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                x = np.array(part.column("embedding").to_pylist(), float)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                values = [part.column("id").to_pylist(), x.tobytes(), part.column("scope").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())), strict=True)], names=["ids", "vectors", "scopes"])
+
+    return df.mapInArrow(run, "ids array<long>, vectors binary, scopes array<string>")
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: bool = False) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: bool = False, rows: int = 2048) -> DataFrame:
     """query_id, chunk_id, distance, rank by cosine distance, exact. Both: id, embedding (and scope, to be equal; null asks for all).
 
-    Query vectors are collected in rounds of QUERY_BYTES and broadcast; every batch of chunks is one matrix product, and
-    a task passes on k rows a query and batch.
+    Both sides are packed into blocks of rows, each pair of blocks is one matrix product, and k rows of a query go on from
+    each. Query blocks are broadcast where QUERY_BYTES hold all of them, else pairs of blocks are dealt to tasks.
     """
-    dim = vectors.select(F.size("embedding")).head()
-    per_round = max(1, QUERY_BYTES // (8 * max(1, dim[0] if dim else 1)))
-    asked = queries.select("query_id", "embedding", (F.col("scope") if scope else F.lit(None)).alias("scope"))
-    rows = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // per_round)))))
-    out = None
-    for part in range(max(1, -(-asked.count() // per_round))):
-        got = rows.filter(F.col("part") == part).collect()
-        if not got:
-            continue
-        matrix = np.array([r["embedding"] for r in got], float)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        ids, scopes = np.array([r["query_id"] for r in got]), [r["scope"] for r in got]
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, scopes, matrix))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, scopes, matrix = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.array(batch["embedding"].tolist(), float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                distance = np.round(1 - matrix @ x.T, 6)
+    dim = queries.select(F.size("embedding")).head()
+    small = dim is not None and queries.limit(QUERY_BYTES // (8 * max(1, dim[0])) + 1).count() <= QUERY_BYTES // (8 * max(1, dim[0]))
+    asked = _blocks(queries, "query_id", scope, rows).toDF("asked", "matrix", "wanted")
+    pairs = _blocks(vectors, "chunk_id", scope, rows).crossJoin(F.broadcast(asked) if small else asked)  # blocks, not rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk, query = np.array(row["ids"]), np.array(row["asked"])
+                x, q = np.frombuffer(row["vectors"]).reshape(len(chunk), -1), np.frombuffer(row["matrix"]).reshape(len(query), -1)
+                distance = np.round(1 - q @ x.T, 6) + 0.0  # no negative zero
                 if scope:
-                    own = batch["scope"].to_numpy()
-                    distance[[[s is not None and s != o for o in own] for s in scopes]] = np.inf
-                chunk = batch["chunk_id"].to_numpy()
-                for i in range(len(ids)):
-                    best = np.lexsort((chunk, distance[i]))[:k]
-                    best = best[np.isfinite(distance[i][best])]
-                    yield pd.DataFrame({"query_id": ids[i], "chunk_id": chunk[best], "distance": distance[i][best]})
+                    wanted, own = np.array(row["wanted"], object), np.array(row["scopes"], object)
+                    distance[(wanted[:, None] != own[None, :]) & np.not_equal(wanted, None)[:, None]] = np.inf
+                order = np.argsort(chunk, kind="stable")  # ties go to the smaller id
+                best = order[np.argsort(distance[:, order], axis=1, kind="stable")[:, :k]]
+                found = np.take_along_axis(distance, best, 1)
+                i, j = np.nonzero(np.isfinite(found))
+                yield pa.RecordBatch.from_arrays([pa.array(query[i]), pa.array(chunk[best[i, j]]), pa.array(found[i, j])], names=["query_id", "chunk_id", "distance"])
 
-        found = vectors.mapInPandas(run, "query_id long, chunk_id long, distance double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, distance double, rank int")
-    return _top(out, "query_id", [F.asc("distance"), F.asc("chunk_id")], k)
+    found = pairs.mapInArrow(run, "query_id long, chunk_id long, distance double")
+    return _top(found, "query_id", [F.asc("distance"), F.asc("chunk_id")], k)
 
 
 def rrf_fuse(lists: list[DataFrame], chunks: DataFrame, k: int = 10, c: int = 60, key: str = "prefix") -> DataFrame:
@@ -194,6 +233,19 @@ def retrieval_metrics(ranks: DataFrame, by: str | None = None) -> DataFrame:
     return ranks.groupBy(by).agg(*metrics, F.array_sort(F.collect_list(F.when(F.col("rank").isNull(), F.col("query_id")))).alias("missed"))
 
 
+def evaluate(golden: DataFrame, chunks: DataFrame, lists: dict[str, DataFrame], k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ranks (mode, query_id, type, rank), metrics (mode and those of retrieval_metrics, with the ids missed) and not_found
+    (mode, query_id, score, start) of the ranked lists of several modes. Metrics are of the entries that have an answer."""
+    answerable, ranks, blank = golden.filter("type <> 'not_found'"), None, None
+    for mode, hits in lists.items():
+        of_mode = first_hit_rank(hits, answerable, chunks, k).withColumn("mode", F.lit(mode))
+        ranks = of_mode if ranks is None else ranks.unionByName(of_mode)
+        scored = hits if "score" in hits.columns else hits.withColumn("score", F.lit(None).cast("double"))
+        top = not_found_top_scores(scored, golden, chunks).withColumn("mode", F.lit(mode))
+        blank = top if blank is None else blank.unionByName(top)
+    return ranks, retrieval_metrics(ranks, "mode"), blank
+
+
 def not_found_top_scores(hits: DataFrame, golden: DataFrame, chunks: DataFrame, length: int = 150) -> DataFrame:
     """Of each unanswerable entry the best score and the beginning of its chunk."""
     best = hits.filter("rank = 1").join(chunks.select("chunk_id", "content"), "chunk_id")

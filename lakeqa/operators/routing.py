@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeqa.functions.text import extract_years
+from lakeqa.functions.text import extract_years, strip
 
 
 def latest_filings(listing: DataFrame, form: str = "10-K", n: int = 2) -> DataFrame:
@@ -23,7 +23,7 @@ def explode_listing(responses: DataFrame) -> DataFrame:
 
 def validate_requests(requests: DataFrame, tickers: list[str], shortest: int = 3, longest: int = 1000) -> DataFrame:
     """requests with a trimmed question, an upper-case ticker (blank: null) and the reason why it is refused, or null."""
-    rows = requests.withColumn("question", F.trim("question")).withColumn("ticker", F.nullif(F.upper(F.trim("ticker")), F.lit("")))
+    rows = requests.withColumn("question", strip(F.col("question"))).withColumn("ticker", F.nullif(F.upper(strip(F.col("ticker"))), F.lit("")))
     length = F.length(F.coalesce("question", F.lit("")))
     reason = F.when(length < shortest, "question too short").when(length > longest, "question too long").when(F.col("ticker").isNotNull() & ~F.col("ticker").isin(tickers), "unknown ticker")
     return rows.withColumn("reason", reason)
@@ -88,11 +88,15 @@ def resolve_filing_dates(queries: DataFrame, registry: DataFrame) -> DataFrame:
 def detect_ticker(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """query_id, ticker, status (single, zero, multiple) by whole-word aliases. queries: query_id, question; aliases: ticker, alias.
 
-    The aliases are a small registry of companies; each question's words are looked at in place.
+    An alias is looked for in questions that have its first run of letters and digits: a join on that word, whatever the
+    number of aliases.
     """
     text = F.lower(F.coalesce("question", F.lit("")))
     alias = F.concat(F.lit("(?<![a-z0-9])\\Q"), F.lower("alias"), F.lit("\\E(?![a-z0-9])"))
-    hits = queries.select("query_id", "question").join(F.broadcast(aliases), F.expr("true") & F.regexp_like(text, alias)).groupBy("query_id").agg(F.collect_set("ticker").alias("found"))
+    words = F.array_distinct(F.array_append(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), F.lit("")))
+    asked = queries.select("query_id", "question", F.explode(words).alias("word"))
+    known = aliases.select("ticker", "alias", F.regexp_extract(F.lower("alias"), "[a-z0-9]+", 0).alias("word"))
+    hits = asked.join(known, "word").filter(F.regexp_like(text, alias)).groupBy("query_id").agg(F.collect_set("ticker").alias("found"))
     rows = queries.select("query_id").join(hits, "query_id", "left")
     n = F.coalesce(F.size("found"), F.lit(0))
     status = F.when(n == 1, "single").when(n > 1, "multiple").otherwise("zero")

@@ -6,7 +6,7 @@ from lakeqa.functions import text as t
 from lakeqa.operators import answers as a
 from lakeqa.operators import logs as g
 from lakeqa.operators import retrieval as r
-from lakeqa.plans.feeds import ANSWERS, LOGS, answers, chunks, golden, logs, table
+from lakeqa.plans.feeds import ANSWERS, LOGS, answers, chunks, golden, index, kept, logs, table
 from lakeqa.plans.retrieval_queries import INDEX, bm25_sql
 
 QUERIES, ORACLES = {}, {}
@@ -24,7 +24,7 @@ def query(name, sql=None):
 
 def hits(spark, sf, k=3):
     c = chunks(spark, sf)
-    top = r.bm25_topk(golden(spark, sf), c, k).join(c, "chunk_id")
+    top = kept(r.bm25_topk(golden(spark, sf), index(spark, sf), k)).join(c, "chunk_id")
     section = F.concat(F.lit("Item 7 | "), "ticker", F.lit(" | 31"))
     return top.select("query_id", "rank", "chunk_id", "ticker", "filing_date", section.alias("section"), "content", "score")
 

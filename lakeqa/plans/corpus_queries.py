@@ -6,7 +6,7 @@ from lakeqa.functions import text as t
 from lakeqa.operators import corpus as c
 from lakeqa.operators import packing as k
 from lakeqa.operators import retrieval as r
-from lakeqa.plans.feeds import CHUNKS, GOLDEN, PIECES, chunks, golden, pieces, table, tokens_sql
+from lakeqa.plans.feeds import CHUNKS, GOLDEN, PIECES, chunks, golden, index, kept, pieces, table, tokens_sql
 from lakeqa.plans.retrieval_queries import METRICS
 
 QUERIES, ORACLES = {}, {}
@@ -126,7 +126,7 @@ def _(spark, sf):
 
 # Hits: the first six pieces of the five documents that BM25 ranks highest, in an order by hash.
 def hits(spark, sf):
-    top = r.bm25_topk(golden(spark, sf), chunks(spark, sf), 5).select("query_id", F.col("chunk_id").alias("document_id"))
+    top = kept(r.bm25_topk(golden(spark, sf), index(spark, sf), 5)).select("query_id", F.col("chunk_id").alias("document_id"))
     p = pieces(spark, sf).filter("chunk_index < 6")
     rows = top.join(p, "document_id").withColumn("id", F.col("document_id") * 100 + F.col("chunk_index"))
     from pyspark.sql import Window
@@ -141,7 +141,7 @@ def hits(spark, sf):
 def all_hits(spark, sf):
     from pyspark.sql import Window
 
-    top = r.bm25_topk(golden(spark, sf), chunks(spark, sf), 5).select("query_id", F.col("chunk_id").alias("document_id"))
+    top = kept(r.bm25_topk(golden(spark, sf), index(spark, sf), 5)).select("query_id", F.col("chunk_id").alias("document_id"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("document_id", "chunk_index"), "document_id", "chunk_index"))
     rows = top.join(pieces(spark, sf), "document_id").withColumn("rank", order).filter("rank <= 10")
     date = F.make_date(F.lit(2024) + (F.col("document_id") % 3).cast("int"), F.lit(1), F.lit(1))
@@ -227,10 +227,10 @@ def _(spark, sf):
     return k.snippet_audit(entries(spark, sf), chunks(spark, sf))
 
 
-def ranks(spark, sf, b=0.75):
+def ranks(spark, sf, b=0.75, ix=None):
     q, ch = golden(spark, sf), chunks(spark, sf)
     e = q.filter("type <> 'not_found'").select("query_id", "type", F.array("snippet").alias("snippets"), F.lit(None).cast("date").alias("filing_date"))
-    return r.first_hit_rank(r.bm25_topk(q, ch, 10, b=b), e, ch)
+    return kept(r.first_hit_rank(r.bm25_topk(q, index(spark, sf) if ix is None else ix, 10, b=b), e, ch))
 
 
 def ranks_sql(name, b):
@@ -242,7 +242,8 @@ COMPARED = f"WITH {INDEX}, {ranks_sql('base', 0.75)}, {ranks_sql('other', 0.0)}"
 
 @query("compare_runs", f"{COMPARED} SELECT query_id, b.rank AS base_rank, o.rank AS other_rank, o.rank - b.rank AS delta, b.query_id IS NOT NULL AND o.query_id IS NOT NULL AS in_both FROM base b FULL JOIN (SELECT * FROM other WHERE query_id % 5 <> 0) o USING (query_id)")
 def _(spark, sf):
-    return k.compare_runs(ranks(spark, sf), ranks(spark, sf, 0.0).filter("query_id % 5 <> 0"))
+    ix = index(spark, sf)
+    return k.compare_runs(ranks(spark, sf, ix=ix), ranks(spark, sf, 0.0, ix).filter("query_id % 5 <> 0"))
 
 
 @query(

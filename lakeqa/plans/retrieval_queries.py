@@ -1,10 +1,13 @@
-"""Queries of retrieval and its evaluation. The second ranked list is BM25 without length normalisation."""
+"""Queries of retrieval and its evaluation. The second ranked list is BM25 without length normalisation.
+
+Each query writes the BM25 index of its chunks once and reads it from there; lists that are used twice are written too.
+"""
 
 from pyspark.sql import functions as F
 
 from lakeqa.operators import retrieval as r
 from lakeqa.operators.corpus import embed
-from lakeqa.plans.feeds import CHUNKS, GOLDEN, chunks, golden, table, tokens_sql
+from lakeqa.plans.feeds import CHUNKS, GOLDEN, chunks, golden, index, kept, table, tokens_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -37,13 +40,12 @@ def bm25_sql(name: str, k: int, b: float = 0.75) -> str:
 
 @query("bm25_stats", f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def _(spark, sf):
-    c = chunks(spark, sf)
-    return r.bm25_stats(r.postings(c), r.corpus_size(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return r.bm25_stats(index(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {INDEX}, {bm25_sql('l', 10)} SELECT * FROM l")
 def _(spark, sf):
-    return r.bm25_topk(golden(spark, sf), chunks(spark, sf), 10)
+    return r.bm25_topk(golden(spark, sf), index(spark, sf), 10)
 
 
 @query(
@@ -53,7 +55,7 @@ def _(spark, sf):
 def _(spark, sf):
     q, c = golden(spark, sf), chunks(spark, sf)
     scope = q.select("query_id", F.pmod("query_id", F.lit(100)).alias("m")).join(c.select("chunk_id", F.pmod("chunk_id", F.lit(100)).alias("m")), "m").drop("m")
-    return r.bm25_topk(q, c, 10, scope=scope)
+    return r.bm25_topk(q, index(spark, sf), 10, scope=scope)
 
 
 def vectors(spark, sf):
@@ -62,24 +64,24 @@ def vectors(spark, sf):
 
 DENSE = """SELECT query_id, chunk_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id)::INT AS rank
   FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance
-    FROM embeddings q JOIN embeddings e ON {on} WHERE q.vec_id < 20)) WHERE rank <= 10"""
+    FROM embeddings q JOIN embeddings e ON {on} WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"""
 
 
 @query("dense_topk", DENSE.format(on="true"))
 def _(spark, sf):
     v = vectors(spark, sf)
-    return r.dense_topk(v.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id"), v, 10)
+    return r.dense_topk(v.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v, 10)
 
 
 @query("dense_topk_scoped", DENSE.format(on="q.label = e.label"))
 def _(spark, sf):
     v = vectors(spark, sf)
-    return r.dense_topk(v.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id"), v, 10, scope=True)
+    return r.dense_topk(v.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v, 10, scope=True)
 
 
 def lists(spark, sf, k=50):
-    q, c = golden(spark, sf), chunks(spark, sf)
-    return q, c, [r.bm25_topk(q, c, k), r.bm25_topk(q, c, k, b=0.0)]
+    q, i = golden(spark, sf), index(spark, sf)
+    return q, chunks(spark, sf), [kept(r.bm25_topk(q, i, k)), kept(r.bm25_topk(q, i, k, b=0.0))]
 
 
 LISTS = f"""WITH {INDEX}, {bm25_sql("l0", 50)}, {bm25_sql("l1", 50, 0.0)},
@@ -158,7 +160,7 @@ METRICS = """count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE
 
 def bm25_ranks(spark, sf):
     c = chunks(spark, sf)
-    return r.first_hit_rank(r.bm25_topk(golden(spark, sf), c, 10), entries(spark, sf), c)
+    return r.first_hit_rank(r.bm25_topk(golden(spark, sf), index(spark, sf), 10), entries(spark, sf), c)
 
 
 @query("first_hit_rank", f"{BM25_RANKS} SELECT * FROM ranks")
@@ -186,12 +188,8 @@ SELECT mode, {METRICS} FROM ranks GROUP BY mode""",
 )
 def _(spark, sf):
     q, c, (first, second) = lists(spark, sf)
-    e, out = entries(spark, sf).filter("type <> 'not_found'"), None
-    for mode in ("first", "bm25", "hybrid", "rerank"):
-        hits = r.search(q, c, first, {"first": "dense"}.get(mode, mode), 10, 50, bm25=second)
-        ranks = r.first_hit_rank(hits, e, c).withColumn("mode", F.lit(mode))
-        out = ranks if out is None else out.unionByName(ranks)
-    return r.retrieval_metrics(out, "mode").drop("missed")
+    hits = {mode: r.search(q, c, first, {"first": "dense"}.get(mode, mode), 10, 50, bm25=second) for mode in ("first", "bm25", "hybrid", "rerank")}
+    return r.evaluate(entries(spark, sf), c, hits)[1].drop("missed")
 
 
 @query(
@@ -200,7 +198,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     c, g = chunks(spark, sf), golden(spark, sf)
-    return r.not_found_top_scores(r.bm25_topk(g, c, 10), g, c)
+    return r.not_found_top_scores(r.bm25_topk(g, index(spark, sf), 10), g, c)
 
 
 @query(
@@ -212,7 +210,7 @@ SELECT query_id, pool, count(*) FILTER (match) AS matches, (min(rank) FILTER (ma
 )
 def _(spark, sf):
     q, c, both = lists(spark, sf)
-    fused = r.rrf_fuse(both, c, 100, key="chunk_id")
+    fused = kept(r.rrf_fuse(both, c, 100, key="chunk_id"))
     return r.pool_sweep(fused, r.rerank_topk(fused, q, c, 100), q.select("query_id", F.col("snippet").alias("needle")), c, (10, 30, 60))
 
 
@@ -223,7 +221,18 @@ FROM hits JOIN chunks USING (chunk_id) GROUP BY query_id""",
 )
 def _(spark, sf):
     c, g = chunks(spark, sf), golden(spark, sf)
-    return r.top_sections_report(r.bm25_topk(g, c, 5), c.select("chunk_id", "content", F.concat("ticker", F.lit("\n"), "content").alias("section")))
+    return r.top_sections_report(r.bm25_topk(g, index(spark, sf), 5), c.select("chunk_id", "content", F.concat("ticker", F.lit("\n"), "content").alias("section")))
+
+
+@query(
+    "evaluate_not_found",
+    f"""{LISTS}, n AS (SELECT 'bm25' AS mode, * FROM l1 UNION ALL SELECT 'first', * FROM l0)
+SELECT m.mode, g.query_id, n.score, replace(left(content, 150), chr(10), ' ') AS start FROM golden g CROSS JOIN (SELECT unnest(['bm25', 'first']) AS mode) m
+LEFT JOIN n ON n.query_id = g.query_id AND n.mode = m.mode AND n.rank = 1 LEFT JOIN chunks USING (chunk_id) WHERE type = 'not_found'""",
+)
+def _(spark, sf):
+    _, c, (first, second) = lists(spark, sf)
+    return r.evaluate(entries(spark, sf), c, {"first": first, "bm25": second})[2]
 
 
 @query("embed")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lakeqa.operators import corpus
 from lakeqa.plans.answer_queries import ORACLES as BATCH
 from lakeqa.plans.answer_queries import cached
-from lakeqa.plans.feeds import LOGS, logs, table
+from lakeqa.plans.feeds import LOGS, logs, place, table
 from lakeqa.sources import tables as s
 from lakeqa.streaming import jobs as j
 
@@ -27,44 +24,46 @@ def query(name, sql=None):
     return add
 
 
-def place(spark, name: str) -> str:
-    """A new path in the shared folder; a folder of our own where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_of(spark, df, order: str, files: int = 4):
-    """df as a stream of files, in order."""
+    """df as a stream of files, a file a micro-batch, in order: they are written one after another."""
     path = place(spark, "stream")
-    df.repartitionByRange(files, order).write.parquet(path)
+    timed = dict(df.dtypes)[order].startswith("timestamp")
+    at = (F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)).cast("double")
+    bounds = df.select(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).head()[0] or []
+    low = [None, *sorted(set(bounds))]
+    for a, b in zip(low, [*low[1:], None], strict=True):
+        rows = df if a is None else df.filter(at >= a)
+        (rows if b is None else rows.filter((at < b) | at.isNull())).coalesce(1).write.mode("append").parquet(path)
     return j.replay(spark, path, df.schema)
 
 
-def to_table(spark, stream, mode="append"):
-    name = place(spark, "table") if mode == "append" else f"t{uuid.uuid4().hex}"
-    return j.run_to_table(stream, name, place(spark, "checkpoint"), mode)
+def in_time(spark, df):
+    """df as a stream in order of time, some million rows a file at most, three files at least."""
+    return stream_of(spark, df, "created_at", 3 + df.count() // 2_000_000)
+
+
+def to_table(spark, stream, keys=None):
+    return j.run_to_table(stream, place(spark, "table"), place(spark, "checkpoint"), keys)
 
 
 @query("stream_rate_limit", BATCH["rate_limit"])
 def _(spark, sf):
-    return to_table(spark, j.stream_rate_limit(stream_of(spark, logs(spark, sf), "created_at", 1), 2, 43_200.0))
+    return to_table(spark, j.stream_rate_limit(in_time(spark, logs(spark, sf)), 2, 43_200.0))
 
 
 @query("stream_answer_cache", BATCH["answer_cache_replay"].replace("SELECT id, key AS cache_key, outcome, cost FROM r", "SELECT id, key AS cache_key, outcome FROM r"))
 def _(spark, sf):
-    return to_table(spark, j.stream_answer_cache(stream_of(spark, cached(spark, sf), "created_at", 1)))
+    return to_table(spark, j.stream_answer_cache(in_time(spark, cached(spark, sf)), "60 days"))
 
 
 @query("stream_daily_counts", f"WITH {LOGS} SELECT created_at::DATE AS day, count(*) AS requests, count(*) >= 330 AS capped FROM logs GROUP BY ALL")
 def _(spark, sf):
-    return to_table(spark, j.stream_daily_counts(stream_of(spark, logs(spark, sf), "created_at"), 330, "30 days"), "complete")
+    return to_table(spark, j.stream_daily_counts(stream_of(spark, logs(spark, sf), "created_at"), 330, "30 days"), ["day"])
 
 
 @query("stream_request_stats", BATCH["windowed_stats"])
 def _(spark, sf):
-    return to_table(spark, j.stream_request_stats(stream_of(spark, logs(spark, sf), "created_at"), "1 hour", "30 days"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return to_table(spark, j.stream_request_stats(stream_of(spark, logs(spark, sf), "created_at"), "1 hour", "30 days"), ["start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def manifest(spark, sf):
@@ -78,7 +77,7 @@ def manifest(spark, sf):
 def _(spark, sf):
     pages = table(spark, sf, "pages").select(F.concat("url", F.lit(" "), F.col("page_id").cast("string")).alias("source_path"), "html")
     path = place(spark, "corpus")
-    j.stream_ingest(stream_of(spark, pages, "source_path", 2), manifest(spark, sf), path, place(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    j.stream_ingest(stream_of(spark, pages.withColumn("page_id", F.element_at(F.split("source_path", " "), -1).cast("long")), "page_id", 2), manifest(spark, sf), path, place(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return s.read_corpus(spark, path)[1].select("document_id", "chunk_index", "section", "content")
 
 
@@ -86,8 +85,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = place(spark, "manifest")
     rows = manifest(spark, sf).drop("document_id")
-    # a file for each ticker, in the object form
-    rows.groupBy("ticker").agg(F.collect_list(F.struct(*rows.columns)).alias("filings")).select("filings").write.option("maxRecordsPerFile", 1).json(path)
+    # the object form: a file for each block of a hundred filings of a ticker
+    block = F.floor(F.split("source_path", " ").getItem(1).cast("long") / 500)
+    rows.groupBy("ticker", block.alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("filings")).select("filings").write.option("maxRecordsPerFile", 1).json(path)
     return s.read_manifest(spark, path).select("company", "ticker", "source_path", "filing_date")
 
 
@@ -101,12 +101,13 @@ def _(spark, sf):
     return s.read_golden(spark, path).select("id", "question", "evidence_snippet")
 
 
-@query("write_corpus", "SELECT page_id AS document_id, 'SRC' || (page_id % 5) AS ticker, url || ' ' || page_id AS source_path FROM pages")
+@query("write_corpus", "SELECT page_id AS document_id, 'SRC' || (page_id % 5) AS ticker, url || ' ' || page_id AS source_path, 0 AS chunk_index, left(html, 20) AS content FROM pages")
 def _(spark, sf):
     path, m = place(spark, "corpus"), manifest(spark, sf)
-    s.write_corpus(m, m.select("document_id", "ticker", F.lit(0).alias("chunk_index")), path)
+    html = table(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.left("html", F.lit(20)).alias("content"))
+    s.write_corpus(m, m.select("document_id", "ticker", F.lit(0).alias("chunk_index")).join(html, "document_id"), path)
     docs, chunks = s.read_corpus(spark, path)
-    return docs.join(chunks.select("document_id"), "document_id").select("document_id", "ticker", "source_path")
+    return docs.join(chunks.select("document_id", "chunk_index", "content"), "document_id").select("document_id", "ticker", "source_path", "chunk_index", "content")
 
 
 @query("read_raw_html", "SELECT page_id, replace(html, chr(10), ' ') AS html FROM pages")

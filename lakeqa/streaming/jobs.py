@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lakeqa.operators.corpus import build_corpus
 from lakeqa.operators.logs import TTL_ANSWER, allowed, daily_request_counts, replayed, windowed_stats
@@ -17,20 +19,21 @@ from lakeqa.sources.tables import write_corpus
 def stream_ingest(pages: DataFrame, manifest: DataFrame, path: str, checkpoint: str):
     """Append the corpus of new filings under path. pages: stream of source_path, html; a filing is loaded once.
 
-    Each micro-batch leaves out what is loaded already, so a batch that runs again after a failure adds nothing twice.
+    Each micro-batch leaves out what others have loaded and is written under a name made of the checkpoint and its number,
+    so one that runs again after a failure writes the same again.
     """
 
-    def batch(frame: DataFrame, _: int) -> None:
-        spark = frame.sparkSession
+    def batch(frame: DataFrame, number: int) -> None:
+        spark, name = frame.sparkSession, f"b{zlib.crc32(checkpoint.encode()):08x}-{number}"
         try:
-            loaded = spark.read.parquet(f"{path}/documents").select("source_path")
+            loaded = spark.read.parquet(f"{path}/documents").filter(F.col("batch") != name).select("source_path")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             loaded = spark.createDataFrame([], "source_path string")
         fresh = manifest.join(frame.select("source_path").distinct(), "source_path", "left_semi")
         fresh = fresh.join(loaded, "source_path", "left_anti")
-        write_corpus(fresh, build_corpus(fresh, frame.dropDuplicates(["source_path"])), path)
+        write_corpus(fresh, build_corpus(fresh, frame.dropDuplicates(["source_path"])), path, name)
 
     return pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
 
@@ -74,7 +77,10 @@ def stream_rate_limit(requests: DataFrame, per: int = 10, seconds: float = 60.0,
 
 
 def stream_answer_cache(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """id, cache_key, outcome for a stream of requests (id, cache_key, created_at, cacheable, refused). State: when the kept answer expires."""
+    """id, cache_key, outcome for a stream of requests (id, cache_key, created_at, cacheable, refused). State: when the kept answer expires.
+
+    Once the watermark is past that, the state is dropped and a later request counts as a miss, not as expired.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -96,12 +102,21 @@ def replay(spark, path: str, schema: str, files_per_batch: int = 1) -> DataFrame
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that a bounded stream yields, as a Parquet table (append) or as a table in memory (complete, for aggregates)."""
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """All that a bounded stream yields, as a Parquet table under path.
+
+    keys: of an aggregate, whose rows change. Each micro-batch writes the rows that changed in it, and the newest row of
+    each key counts.
+    """
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", name).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(name)
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    if keys is None:
+        stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+
+    def batch(frame: DataFrame, number: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{path}/number={number}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema, StructField("number", LongType())])).parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "number").alias("row"))
+    return newest.select("row.*")
