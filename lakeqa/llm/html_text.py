@@ -1,10 +1,11 @@
 """Main text of HTML pages (operator 9).
 
 A page is read as a flat row of text blocks. Each block has its number of words, its link density (words
-inside links / words), the same two of the block before and the block behind, and three marks of its
-place: inside page furniture (by element, role, or a word of class or id), inside article or main, a
-heading. A decision tree over these features, trained on a small labelled table of blocks, says which
-blocks are the main text.
+inside links / words), and the same two of the block before and the block behind. Four marks say where it stands:
+inside an element whose role is page furniture (nav, footer, aside, form and the like, or such a role attribute),
+inside an element that a word of its class or id calls so, inside article or main, a heading. A decision tree over these
+features, trained on a labelled table of blocks, says which blocks are the main text; where several features split the
+table alike, counts and densities of the block and its neighbours come before marks.
 
 The labelled table comes from SAMPLES, short pages written for this purpose, whose blocks start with +
 (main text) or - (not). ``train`` takes at most ``max_rows`` blocks and runs on the driver in
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -56,7 +58,10 @@ OWN = frozenset("article post entry story".split())
 #: A name with one of these says what an element has or how it stands, not what it is.
 STATES = frozenset("no not with without has have open opened closed collapsed expanded fixed sticky".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+|[^>]*)>|<[!?][^>]*>""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
+#: Attributes up to the tag's end, with quoted values that may hold it; it fails at the next tag's beginning at the latest.
+ATTRIBUTES = re.compile(r"""((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>""")
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ATTRIBUTE = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 IS_MAIN = re.compile(r"""(?i)\b(?:id|role)\s*=\s*["']?main(?=["'\s]|$)""")
 HIDDEN = re.compile(r"""(?i)\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
@@ -66,11 +71,57 @@ class Block(NamedTuple):
     text: str
     words: int
     linked: int
-    furniture: bool
+    role: bool
+    named: bool
     main: bool
     heading: bool
 
 
+def markup(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """Tags of a page, in time that grows with its length: name (empty at the end), closing, attributes, and the text before.
+
+    Elements of SKIPPED go with all they hold. A sign that begins no tag is text; a comment without an end goes on to the
+    end of the page.
+    """
+    text: list[str] = []
+    at, end, next_end = 0, len(page), -1
+    while at < end:
+        sign = page.find("<", at)
+        if sign < 0:
+            text.append(page[at:])
+            break
+        text.append(page[at:sign])
+        at = sign + 1
+        if page.startswith("!--", at):
+            close = page.find("-->", at + 3)
+            at = end if close < 0 else close + 3
+            continue
+        name = NAME.match(page, at)
+        if name is None and page[at : at + 1] not in ("!", "?"):
+            text.append("<")
+            continue
+        start = at if name is None else name.end()
+        whole = ATTRIBUTES.match(page, start)
+        if whole is None:
+            if next_end < start:  # looked for once for all tags before it
+                next_end = page.find(">", start)
+                next_end = end if next_end < 0 else next_end
+            if next_end == end:
+                text.append("<")
+                continue
+        attributes, at = (whole[1], whole.end()) if whole else (page[start:next_end], next_end + 1)
+        if name is None:
+            continue
+        tag, closing = name[2].lower(), bool(name[1])
+        if tag in SKIPPED and not closing:
+            close = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
+            at = end if close is None else close.start() if close[0][1] != "/" else close.end()
+            continue
+        yield tag, closing, attributes, "".join(text)
+        text = []
+    yield "", False, "", "".join(text)
+
+
 def _place(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool, bool]:
     """Whether an element is page furniture for sure, furniture unless it holds the main part, main, and hidden."""
     marks: set[str] = set()
@@ -90,92 +141,103 @@ def _place(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool, b
     return furniture, by_words or name == "form", name in MAIN or "main" in marks, hidden
 
 
+class _Open(NamedTuple):
+    """An open element: its name, whether it is inside furniture by role, the innermost element around it that is furniture
+    by name (a number, or -1), whether it is inside the main part, and whether it is hidden."""
+
+    name: str
+    role: bool
+    named: int
+    main: bool
+    hidden: bool
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
-    out: list[tuple[Block, frozenset[int]]] = []
-    stack: list[tuple[str, bool, frozenset[int], bool]] = []  # element, inside furniture, inside which furniture by words, inside main
-    by_words = 0  # elements that are furniture by words so far
-    parts: dict[str, frozenset[int]] = {}  # those around and at the first main, the first article in it, the first article
+    out: list[tuple[Block, int]] = []
+    stack: list[_Open] = []
+    open_names: Counter[str] = Counter()
+    outer: list[int] = []  # of each element that is furniture by name, the next such element around it
+    parts: dict[str, int] = {}  # the innermost such element around the first main, the first article in it, the first article
     pieces: list[str] = []
     linked, links, heading = 0, 0, False
+    veil, depth = "", 0  # a hidden element inside a block, and how often its name is open inside it
+    ground = _Open("", False, -1, False, False)
+
+    def top() -> _Open:
+        return stack[-1] if stack else ground
+
+    def pop() -> str:
+        name = stack.pop().name
+        open_names[name] -= 1
+        return name
 
     def flush() -> None:
         nonlocal pieces, linked
-        if pieces:
-            words = "".join(pieces).split()
-            if words:
-                _, furniture, worded, main = stack[-1] if stack else ("", False, frozenset(), False)
-                out.append((Block(" ".join(words), len(words), min(linked, len(words)), furniture, main, heading), worded))
+        words = "".join(pieces).split()
+        if words:
+            own = top()
+            out.append((Block(" ".join(words), len(words), min(linked, len(words)), own.role, False, own.main, heading), own.named))
         pieces, linked = [], 0
 
-    def say(raw: str) -> None:
-        nonlocal linked
-        if raw:
+    for name, closing, attributes, raw in markup(page):
+        if raw and not depth and not top().hidden:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
-            if links:
-                linked += len(text.split())
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TAG.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        name, closing, attributes = m[2].lower(), bool(m[1]), m[3]
+            linked += len(text.split()) if links else 0
         leaf, container = name in LEAVES, name in CONTAINERS
         if leaf or container:
             flush()
-            links, heading = 0, name in HEADINGS and not closing
-            while stack and stack[-1][0] in LEAVES and (container or not closing or stack[-1][0] == name):
-                stack.pop()
+            links, depth, heading = 0, 0, name in HEADINGS and not closing
+            while stack and stack[-1].name in LEAVES and (container or not closing or stack[-1].name == name):
+                pop()
+        if name == veil and depth:
+            depth += -1 if closing else 1
         if name == "a":
             links = 0 if closing else 1
         elif name == "br":
             pieces.append(" ")
         if closing:
-            if container and any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+            if container and open_names[name]:
+                while pop() != name:
                     pass
             continue
-        _, inside_furniture, worded, inside_main = stack[-1] if stack else ("", False, frozenset(), False)
-        furniture, maybe, main, hidden = _place(name, attributes, inside_main)
-        if name in SKIPPED or hidden and (leaf or container):
-            close = re.compile(rf"</{re.escape(name)}\s*>" + (r"|<body\b" if name == "head" else ""), re.I).search(page, at)
-            if name in SKIPPED:
-                at = end if close is None else close.start() if close[0][1] != "/" else close.end()
-                continue
-            if close:  # nested elements of the same name end with it
-                at = close.end()
-                continue
+        around = top()
+        role, worded, main, hidden = _place(name, attributes, around.main)
+        if hidden and not (leaf or container or depth or name in VOID):
+            veil, depth = name, 1
         if leaf or container and not attributes.rstrip().endswith("/"):
-            if maybe:
-                worded, by_words = worded | {by_words}, by_words + 1
-            if not (inside_furniture or furniture):
+            named = around.named
+            if worded:
+                outer.append(named)
+                named = len(outer) - 1
+            if not (around.role or role or around.hidden or hidden):
                 if name == "main" or container and IS_MAIN.search(attributes):
-                    parts.setdefault("main", worded)
+                    parts.setdefault("main", named)
                 elif name == "article":
-                    parts.setdefault("first", worded)
-                    if "main" in parts and inside_main:
-                        parts.setdefault("article", worded)
-            stack.append((name, inside_furniture or furniture, worded, inside_main or main))
+                    parts.setdefault("first", named)
+                    if "main" in parts and around.main:
+                        parts.setdefault("article", named)
+            stack.append(_Open(name, around.role or role, named, around.main or main, around.hidden or hidden))
+            open_names[name] += 1
     flush()
-    around = parts["main"] | parts.get("article", frozenset()) if "main" in parts else parts.get("first", frozenset())
-    return [b._replace(furniture=b.furniture or bool(worded - around)) for b, worded in out]
+    excused = {-1}  # what stands around the main part is no furniture
+    for part in ("main", "article") if "main" in parts else ("first",):
+        named = parts.get(part, -1)
+        while named not in excused:
+            excused.add(named)
+            named = outer[named]
+    return [b._replace(named=named not in excused) for b, named in out]
 
 
 #: Names of the features, for reports and tests.
-FEATURES = ("words", "density", "words before", "density before", "words behind", "density behind", "furniture", "main", "heading")
+FEATURES = ("words", "density", "words before", "density before", "words behind", "density behind", "role", "named", "main", "heading")
 
 
 def features_of(blocks: list[Block]) -> list[tuple[float, ...]]:
     own = [(float(b.words), b.linked / b.words) for b in blocks]
     around = [(0.0, 0.0), *own, (0.0, 0.0)]
-    return [(*own[i], *around[i], *around[i + 2], float(b.furniture), float(b.main), float(b.heading)) for i, b in enumerate(blocks)]
+    return [(*own[i], *around[i], *around[i + 2], float(b.role), float(b.named), float(b.main), float(b.heading)) for i, b in enumerate(blocks)]
 
 
 _LONG = "the council met on tuesday to discuss the new bridge and voted to fund repairs over three years after a long debate"
@@ -203,10 +265,10 @@ SAMPLES = (
 )
 
 
-def labelled_blocks() -> list[tuple[tuple[float, ...], int]]:
+def labelled_blocks(pages: tuple[str, ...] = SAMPLES) -> list[tuple[tuple[float, ...], int]]:
     """The labelled table: features of a block, 1 for main text."""
     rows = []
-    for page in SAMPLES:
+    for page in pages:
         blocks = blocks_of(page)
         rows += [(f, int(b.text[0] == "+")) for f, b in zip(features_of(blocks), blocks, strict=True)]
     return rows
@@ -222,8 +284,8 @@ def train(rows: list[tuple[tuple[float, ...], int]], depth: int = 6, max_rows: i
         if depth == 0 or y.min() == y.max():
             return float(y.mean())
         best = None
-        # marks come before counts where both split alike
-        for f in (6, 7, 1, 0, 8, 3, 5, 2, 4):
+        # counts and densities come before marks where both split alike
+        for f in range(x.shape[1]):
             values = np.unique(x[:, f])
             for t in (values[1:] + values[:-1]) / 2:
                 low = x[:, f] < t
