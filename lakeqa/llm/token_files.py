@@ -1,10 +1,10 @@
 """Token ids in binary files, compressed by Re-Pair grammars (operator 6).
 
 Documents are range-sorted by id and tokenised; each document ends with an end id. A task cuts its run of
-documents into shards of about SHARD ids and compresses each shard by a grammar: frequent pairs of
-neighbouring ids are replaced by new symbols, round by round, until no pair is frequent enough or the
-symbols run out. Replacing a round's most frequent pairs together keeps the rounds few; where chosen
-pairs overlap, the more frequent one wins.
+documents into shards of about SHARD ids and compresses each shard by a grammar: pairs of neighbouring ids are
+replaced by new symbols, the most frequent ones first, until no pair is left that occurs LEAST times, which is where a
+rule costs more bytes than it saves. The pairs of a round are those about a quarter as frequent as the most frequent one or more;
+where they overlap, the more frequent one wins, and counts are taken anew after each round.
 
 File format: Parquet, written and read by Spark, so it may lie in any store. A row is a shard:
 
@@ -24,6 +24,7 @@ their own. An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -37,131 +38,182 @@ from pyspark.sql import functions as F
 
 from lakeqa.llm.common import new_path, read
 
-#: Ids of a shard, about; rules of a shard at most (with 49,408 ids, symbols take two bytes); occurrences that a pair needs; rounds.
-SHARD, MAX_RULES, LEAST, ROUNDS = 1 << 20, 16_000, 12, 4
-CACHE = 400_000
+#: Ids of a shard, about; occurrences that a pair needs: a rule takes 12 bytes and saves 2 or 4 at each.
+SHARD, LEAST = 1 << 18, 12
+#: Units whose ids a worker keeps.
+CACHE = 600_000
 #: Bytes of text that are worked on together.
 STRETCH = 8 << 20
 END = 2
 FORMAT = "part int, shard int, doc_ids array<long>, lengths array<long>, base long, rules binary, expansions binary, width int, symbols binary"
 
 #: Letters that lower-casing and composition treat one by one, then marks that the splitting pattern keeps apart from letters.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!]*)")
+PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:;=?@\[-`{}~]*)$"
+STEM = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How the byte-level alphabet writes the letters beyond ASCII that STEM has: a letter for each of their UTF-8 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
 class Words:
-    """Ids of texts by the tokenizers library. White space always ends a token, so words are encoded apart and kept."""
+    """Ids of texts by the tokenizers library. White space always ends a token, so words are encoded apart.
+
+    A word of plain letters is cut into its letters in lower case and the marks behind them, which are encoded apart too:
+    these and all other words are the units whose ids are kept. Units of letters go through the library's model many at a
+    time, without its splitting and normalising, which leave them as they are.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that end a word
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that end a unit
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _plain(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that are one token for the splitting pattern each: many in one text, cut where a word ends."""
-        out: list[bytes] = []
-        groups = [parts[i : i + 500] for i in range(0, len(parts), 500)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(group) else self._library(group)
-        return out
-
-    def _new(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words that are not kept yet; those of as many as there is room for are kept."""
-        known = self.parts
-        pieces = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))}
-        missing = sorted({p for x in pieces.values() for p in x if p and p not in known})
-        fresh = dict(zip(missing, self._plain(missing), strict=True)) | {"": b""}
-        found = {w: (fresh[a] if a in fresh else known[a]) + (fresh[b] if b in fresh else known[b]) for w, (a, b) in pieces.items()}
-        odd = [w for w in new if w not in pieces]
-        found.update(zip(odd, self._library(odd), strict=True))
-        if len(known) < CACHE:
-            known.update(fresh)
-        if len(self.words) < CACHE:
-            self.words.update(found)
-        return found
+        self.letters = _byte_letters()
+        self.place: dict[str, int] = {"": 0}
+        self.ids, self.begins, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of letters, in a row, and how many each has: cut where a unit ends."""
+        joined = " ".join(stems)
+        ids = np.array(self.bare.encode_batch_fast([joined if joined.isascii() else joined.translate(self.letters)], add_special_tokens=False)[0].ids, np.uint32)
+        lengths = np.diff(np.append(0, np.flatnonzero(self.ends[ids]) + 1))
+        if len(lengths) == len(stems):
+            return ids, lengths
+        found = self._library(stems)
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def _learn(self, units: list[str]) -> None:
+        """Put new units behind those that are known."""
+        stems, odd = [], []
+        for u in units:
+            (stems if STEM.fullmatch(u) else odd).append(u)
+        parts, lengths = [self.ids], [self.lengths]
+        if stems:
+            ids, many = self._stems(stems)
+            parts.append(ids)
+            lengths.append(many)
+        if odd:
+            found = self._library(odd)
+            parts += found
+            lengths.append(np.array([len(x) for x in found], np.int64))
+        self.ids, self.lengths = np.concatenate(parts), np.concatenate(lengths)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        n = len(self.place)
+        self.place.update(zip(stems, range(n, n + len(stems)), strict=True))
+        self.place.update(zip(odd, range(n + len(stems), n + len(units)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text ends. Each distinct word is looked up once."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        distinct, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        found = list(map(self.words.get, distinct))
-        open_ = [i for i, x in enumerate(found) if x is None]
-        new = self._new([distinct[i] for i in open_])
-        for i in open_:
-            found[i] = new[distinct[i]]
-        table = np.frombuffer(b"".join(found), "<u4")
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        words, places = coded.dictionary, coded.indices.to_numpy()
+        found = pc.extract_regex(words, PLAIN)
+        stems, tails = pc.utf8_lower(pc.struct_field(found, "stem")), pc.fill_null(pc.struct_field(found, "tail"), "")
+        units = pa.concat_arrays([pc.coalesce(stems, words), tails]).dictionary_encode()
+        if len(self.place) > CACHE:  # begin anew: the frequent ones are soon back
+            self.place = {"": 0}
+            self.ids, self.begins, self.lengths = self.ids[:0], self.begins[:1], self.lengths[:1]
+        names = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = list(map(self.place.get, names))
+        new = [u for u, i in zip(names, at, strict=True) if i is None]
+        if new:
+            self._learn(new)
+            at = list(map(self.place.__getitem__, names))
+        # ids of each word: its first unit, then its tail
+        pairs = np.array(at, np.int64)[units.indices.to_numpy()].reshape(2, -1).T
+        table, ends = self._gathered(pairs.ravel())
+        lengths = self.lengths[pairs].sum(1)
         begins = np.cumsum(lengths) - lengths
         many = lengths[places]
         ends = np.cumsum(many)
         ids = table[np.repeat(begins[places] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, np.append(0, ends)[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
 
+    def _gathered(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units in a row, and where each ends."""
+        many = self.lengths[units]
+        ends = np.cumsum(many)
+        return self.ids[np.repeat(self.begins[units] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
 
 @functools.lru_cache(maxsize=2)
 def words(path: str) -> Words:
     return Words(path)
 
 
-def compress(ids: np.ndarray, base: int, max_rules: int = MAX_RULES, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (k x 2) of a sequence of ids below base."""
-    small = base + max_rules <= 1 << 16
-    kind, half = (np.uint32, 16) if small else (np.uint64, 32)
-    s, rules = ids.astype(kind), np.empty((0, 2), kind)
-    for _ in range(rounds):
-        room = max_rules - len(rules)
-        if len(s) < 2 * least or room <= 0:
-            break
-        codes = (s[:-1] << kind(half)) | s[1:]
-        pairs = np.sort(codes)
-        starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+def _slots(codes: np.ndarray) -> np.ndarray:
+    """A slot of 18 bits for each code."""
+    bits = 8 * codes.dtype.itemsize
+    kind = codes.dtype.type
+    return (codes * kind(0x9E3779B1 if bits == 32 else 0x9E3779B97F4A7C15)) >> kind(bits - 18)
+
+
+def _frequent(codes: np.ndarray, slots: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a round, rising, and their ranks by frequency: those that occur at least a quarter as often as the
+    fullest slot counts, or the most frequent of the others, and least times. Slots leave out most places before the sort."""
+    full = np.bincount(slots, minlength=1 << 18)
+    bound = max(least, int(full.max()) // 4)
+    while True:
+        pairs = np.sort(codes[full[slots] >= bound])
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1]]))
         counts = np.diff(np.append(starts, len(pairs)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        often = np.flatnonzero(counts >= bound)
+        if len(often) or bound == least:
+            rank = np.empty(len(often), np.int64)
+            rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(often))
+            return pairs[starts[often]], rank
+        bound = max(least, bound // 4)
+
+
+def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and rules (k x 2) of a sequence of ids below base, in which no pair occurs least times."""
+    s, rules, n, kind, half = ids.astype(np.uint32), [], 0, np.uint32, 16
+    while len(s) >= 2:
+        if base + n + len(s) // least >= 1 << 16:  # new symbols may take more than two bytes from now on
+            kind, half = np.uint64, 32
+        codes = (s[:-1].astype(kind) << kind(half)) | s[1:].astype(kind)
+        slots = _slots(codes)
+        chosen, order = _frequent(codes, slots, least)
+        if not len(chosen):
             break
-        # a share of the room at a time: pairs of new symbols come in later rounds
-        best = often[np.argsort(-counts[often], kind="stable")][: max(1, room // 2)]
-        chosen = pairs[starts[best]]
-        order = np.argsort(chosen)
-        ascending = chosen[order]
-        # a table of hashes leaves out most places before the search
-        slot = lambda c: (c * kind(0x9E3779B1)) >> kind(2 * half - 20)
-        table = np.zeros(1 << 20, bool)
-        table[slot(chosen)] = True
-        places = np.flatnonzero(table[slot(codes)])
-        at = np.minimum(np.searchsorted(ascending, codes[places]), len(chosen) - 1)
-        right = ascending[at] == codes[places]
+        table = np.zeros(1 << 18, bool)
+        table[_slots(chosen)] = True
+        places = np.flatnonzero(table[slots])
+        at = np.minimum(np.searchsorted(chosen, codes[places]), len(chosen) - 1)
+        right = chosen[at] == codes[places]
         places, rank = places[right], order[at[right]]
         # of chosen pairs that overlap, the more frequent one; of a run of one pair, every second
         near = np.diff(places) == 1
         lower = np.concatenate([[False], near & (rank[1:] > rank[:-1])])
         higher = np.concatenate([near & (rank[:-1] > rank[1:]), [False]])
         number = np.arange(len(places))
-        opens = np.concatenate([np.ones(min(1, len(places)), bool), ~(near & (rank[1:] == rank[:-1]))])
+        opens = np.concatenate([[True], ~(near & (rank[1:] == rank[:-1]))])
         free = ~(lower | higher) & ((number - np.maximum.accumulate(np.where(opens, number, 0))) % 2 == 0)
         taken, rank = places[free], rank[free]
-        number = np.zeros(len(chosen), np.int64)
         used = np.flatnonzero(np.bincount(rank, minlength=len(chosen)))
+        number = np.zeros(len(chosen), np.int64)
         number[used] = np.arange(len(used))
-        s[taken] = (base + len(rules) + number[rank]).astype(kind)
-        rules = np.concatenate([rules, np.stack([chosen[used] >> kind(half), chosen[used] & kind((1 << half) - 1)], 1)])
+        by_rank = np.empty_like(chosen)
+        by_rank[order] = chosen
+        s[taken] = base + n + number[rank]
+        rules.append(np.stack([by_rank[used] >> kind(half), by_rank[used] & kind((1 << half) - 1)], 1).astype(np.uint32))
+        n += len(used)
         left = np.ones(len(s), bool)
         left[taken + 1] = False
         s = s[left]
-    return s, rules
+    return s, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
