@@ -1,12 +1,14 @@
 """Secret scans over a ledger of blobs (operator 5), with DataFrame functions only.
 
-Every version of a text is a blob, named by the SHA-256 of its content. The ledger holds a row for each
-(blob, rule version) already scanned: blob, rule_version, spans. A scan
+Every version of a text is a blob, named by the SHA-256 of its content. The ledger is a table with a row for each
+(blob, rule version) already scanned: blob, rule_version, spans. ``record`` adds what a table of documents brings:
 
-1. reduces the documents to distinct blobs, whatever the number of copies;
-2. drops the pairs of blob and rule version that the ledger has (anti join on the keys);
-3. scans the rest, rule version by rule version, inside the row;
-4. joins the findings back to all documents that hold the blob.
+1. the documents are reduced to distinct blobs, whatever the number of copies;
+2. pairs of blob and rule version that the ledger has are left out;
+3. the rest is scanned, rule version by rule version, inside the row, and appended to the ledger.
+
+``findings`` joins the ledger back to all documents that hold a blob. The query records the documents in two batches,
+those of even ids as an earlier version of the corpus, and looks all of them up in the ledger.
 
 Positions come from splitting: the parts between the matches of a rule and the matches themselves, in
 turn, add up to the offsets. So matches are leftmost and do not overlap for each rule; offsets are code
@@ -18,12 +20,13 @@ an empty result. Only the named columns are used, so clashing names of others do
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeqa.llm.common import read, text_of
+from lakeqa.llm.common import new_path, read, text_of
 
 #: Rules in the order in which spans at one place are listed: kind, pattern, group that is measured, its least length.
 #: The first three are the base (fixed values); for the runs of access and hex the length stands in the pattern, which
@@ -72,11 +75,12 @@ def _versions(rules: dict) -> Column:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES, text: str = "text") -> DataFrame:
     """New rows of the ledger: blob, rule_version, spans, for each blob of docs and rule version that the ledger lacks."""
     blobs = docs.select(F.sha2(text_of(text), 256).alias("blob"), text_of(text).alias("body"))
-    if ledger is not None:
+    blobs = blobs.groupBy("blob").agg(F.any_value("body").alias("body"))
+    if ledger is None:
+        blobs = blobs.withColumn("seen", F.lit(None).cast("array<string>"))
+    else:  # by the key that the blobs are dealt by already; those with nothing left to scan go
         seen = ledger.filter(F.col("rule_version").isin(*rules)).groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
-        blobs = blobs.groupBy("blob").agg(F.any_value("body").alias("body")).join(seen, "blob", "left")
-    else:
-        blobs = blobs.groupBy("blob").agg(F.any_value("body").alias("body")).withColumn("seen", F.lit(None).cast("array<string>"))
+        blobs = blobs.join(seen, "blob", "left").filter(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
     fresh = lambda v: ~F.coalesce(F.array_contains("seen", v), F.lit(False))
     found = [
         F.when(fresh(v), F.struct(F.lit(v).alias("rule_version"), reduce(F.concat, [spans_of(F.col("body"), *rule) for rule in rules[v]]).alias("spans")))
@@ -86,6 +90,24 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES,
     return rows.select("blob", "row.rule_version", "row.spans")
 
 
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of the ledger under path."""
+    return spark.read.schema(LEDGER).parquet(f"{path}/*")
+
+
+def record(docs: DataFrame, path: str, rules: dict = RULES, text: str = "text") -> int:
+    """Scan what the ledger under path lacks and append it, as a batch of its own; how many rows that were."""
+    spark = docs.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    batch = f"{path}/{uuid.uuid4().hex}"
+    scan(docs, read_ledger(spark, path) if known else None, rules, text).write.parquet(batch)
+    return spark.read.schema(LEDGER).parquet(batch).count()
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: dict = RULES, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Each row of docs with the spans of all rule versions, in order: the id column, blob, spans.
 
@@ -106,7 +128,10 @@ def written(spans: Column) -> Column:
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings(docs, scan(docs))
+    path, older = new_path(spark, "ledger"), F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    record(docs.filter(older), path)
+    record(docs.filter(~older), path)
+    found = findings(docs, read_ledger(spark, path))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
