@@ -8,6 +8,7 @@ QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op2_training_order": mixing.op2_training_order,
     "op3_url_filters": urls.op3_url_filters,
+    "op3_url_rules": urls.op3_url_rules,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLES = {"op1_quality_rules": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_url_rules": urls.OP3_RULES_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
