@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeqa.functions.text import tokenize
+from lakeqa.operators.retrieval import first_hit_rank, retrieval_metrics
 
 OVERLAP, DUPLICATE, SEPARATOR = 150, 0.80, "\n\n"
 
@@ -121,6 +122,22 @@ def snippet_audit(golden: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("query_id", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("dates", F.array().cast("array<date>")).alias("dates"), status.alias("status"))
 
 
+def audit_counts(audit: DataFrame) -> DataFrame:
+    """One row: entries, ok, broken, skipped of a snippet audit."""
+    return audit.agg(F.count(F.lit(1)).alias("entries"), *(F.count_if(F.col("status") == status).alias(name) for status, name in (("OK", "ok"), ("BROKEN", "broken"), ("SKIP", "skipped"))))
+
+
+def packed_vs_control(golden: DataFrame, hits: DataFrame, budget: int = 6000, base: DataFrame | None = None, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The systems BASE (if given, other hits), PROD (hits as they are), CONTROL (whole chunks within the budget) and PACKED
+    (packed within the budget): metrics with a row for each, and ranks (system, query_id, type, rank)."""
+    chunks = hits.select("chunk_id", F.col("text").alias("content"), "filing_date").dropDuplicates(["chunk_id"])
+    ranked = {"PROD": hits, "CONTROL": take_within_budget(hits, budget)} | ({} if base is None else {"BASE": base})
+    ranks = block_ranks(pack(hits, budget), golden).withColumn("system", F.lit("PACKED"))
+    for system, rows in ranked.items():
+        ranks = ranks.unionByName(first_hit_rank(rows, golden, chunks, k).withColumn("system", F.lit(system)))
+    return retrieval_metrics(ranks, "system").drop("missed"), ranks
+
+
 def compare_runs(base: DataFrame, other: DataFrame) -> DataFrame:
     """query_id, base_rank, other_rank, delta, in_both: two runs by query; queries of one run only stay, marked."""
     a = base.select("query_id", F.col("rank").alias("base_rank"), F.lit(True).alias("in_base"))

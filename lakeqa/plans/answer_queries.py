@@ -156,9 +156,9 @@ def _(spark, sf):
     return a.answer_suite_summary(judged(spark, sf))
 
 
-@query("run_consistency", f"WITH {JUDGED} SELECT left(question, 2) AS question, count(*) AS runs, count(*) FILTER (refused) AS refusals, count(DISTINCT answer) AS answers, round(avg((reason = '')::INT), 6) AS pass_share FROM judged GROUP BY ALL")
+@query("run_consistency", f"WITH {JUDGED} SELECT question, count(*) AS runs, count(*) FILTER (refused) AS refusals, count(DISTINCT answer) AS answers, round(avg((reason = '')::INT), 6) AS pass_share FROM judged GROUP BY ALL")
 def _(spark, sf):
-    return a.run_consistency(judged(spark, sf).withColumn("question", F.left("question", F.lit(2))))
+    return a.run_consistency(judged(spark, sf))
 
 
 @query("answer_batch")

@@ -95,10 +95,10 @@ def _(spark, sf):
     return c.build_corpus(manifest, pages)
 
 
-@query("adjacent_overlap", f"""WITH {PIECES}, w AS (SELECT document_id, chunk_index, left(content, 150) AS head, lag(chunk_index) OVER o AS before, lag(right(content, 150)) OVER o AS tail FROM pieces WHERE chunk_index % 7 <> 5 WINDOW o AS (PARTITION BY document_id ORDER BY chunk_index))
+@query("adjacent_overlap", f"""WITH {PIECES}, w AS (SELECT document_id, chunk_index, left(content, 150) AS head, lag(chunk_index) OVER o AS before, lag(right(content, 150)) OVER o AS tail FROM pieces WINDOW o AS (PARTITION BY document_id ORDER BY chunk_index))
 SELECT document_id, chunk_index, coalesce(before = chunk_index - 1, false) AS adjacent, coalesce(before = chunk_index - 1, false) AND tail = head AS matches FROM w""")
 def _(spark, sf):
-    return c.adjacent_overlap(pieces(spark, sf).filter("chunk_index % 7 <> 5"), F.col("content"))
+    return c.adjacent_overlap(pieces(spark, sf), F.col("content"))
 
 
 @query("adjacent_overlap_all", f"""WITH {PIECES}, w AS (SELECT document_id, chunk_index, left(content, 150) AS head, lag(chunk_index) OVER o AS before, lag(right(content, 150)) OVER o AS tail FROM pieces WINDOW o AS (PARTITION BY document_id ORDER BY chunk_index))
@@ -124,36 +124,24 @@ def _(spark, sf):
     return c.chunk_counts(pieces(spark, sf))
 
 
-# Hits: the first six pieces of the five documents that BM25 ranks highest, in an order by hash.
+# Hits: ten of all pieces of the five documents that BM25 ranks highest, in an order by hash; ids hold any number of pieces.
 def hits(spark, sf):
-    top = kept(r.bm25_topk(golden(spark, sf), index(spark, sf), 5)).select("query_id", F.col("chunk_id").alias("document_id"))
-    p = pieces(spark, sf).filter("chunk_index < 6")
-    rows = top.join(p, "document_id").withColumn("id", F.col("document_id") * 100 + F.col("chunk_index"))
     from pyspark.sql import Window
 
+    top = kept(r.bm25_topk(golden(spark, sf), index(spark, sf), 5)).select("query_id", F.col("chunk_id").alias("document_id"))
+    rows = top.join(pieces(spark, sf), "document_id").withColumn("id", F.col("document_id") * 2**22 + F.col("chunk_index"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("id") * 7919) % 1009, "id"))
-    rows = rows.withColumn("rank", rank).filter("rank <= 10")
+    rows = kept(rows.withColumn("rank", rank).filter("rank <= 10"))
     date = F.make_date(F.lit(2024) + (F.col("document_id") % 3).cast("int"), F.lit(1), F.lit(1))
     return rows.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("document_id").alias("filing_id"), F.col("chunk_index").alias("position"), F.lit("Acme (SRC) 10-K | x").alias("header"), F.col("content").alias("text"), date.alias("filing_date"))
 
 
-# The same from all pieces of those documents: top ten by a hash, ids that hold any number of pieces.
-def all_hits(spark, sf):
-    from pyspark.sql import Window
-
-    top = kept(r.bm25_topk(golden(spark, sf), index(spark, sf), 5)).select("query_id", F.col("chunk_id").alias("document_id"))
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("document_id", "chunk_index"), "document_id", "chunk_index"))
-    rows = top.join(pieces(spark, sf), "document_id").withColumn("rank", order).filter("rank <= 10")
-    date = F.make_date(F.lit(2024) + (F.col("document_id") % 3).cast("int"), F.lit(1), F.lit(1))
-    return rows.select("query_id", "rank", (F.col("document_id") * 2**22 + F.col("chunk_index")).alias("chunk_id"), F.col("document_id").alias("filing_id"), F.col("chunk_index").alias("position"), F.lit("Acme (SRC) 10-K | x").alias("header"), F.col("content").alias("text"), date.alias("filing_date"))
-
-
 from lakeqa.plans.retrieval_queries import INDEX, bm25_sql  # noqa: E402
 
 HITS = f"""{INDEX}, {bm25_sql("top", 5)}, {PIECES},
 hits AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY (id * 7919) % 1009, id)::INT AS rank, id AS chunk_id, document_id AS filing_id, chunk_index AS position, text,
     make_date(2024 + (document_id % 3)::INT, 1, 1) AS filing_date
-  FROM (SELECT query_id, p.document_id, chunk_index, content AS text, p.document_id * 100 + chunk_index AS id FROM top JOIN pieces p ON p.document_id = top.chunk_id WHERE chunk_index < 6)) WHERE rank <= 10)"""
+  FROM (SELECT query_id, p.document_id, chunk_index, content AS text, p.document_id * 4194304 + chunk_index AS id FROM top JOIN pieces p ON p.document_id = top.chunk_id)) WHERE rank <= 10)"""
 RUNS = HITS + """,
 opens AS (SELECT *, coalesce(position <> lag(position) OVER o + 1, true)::INT AS opens FROM hits WINDOW o AS (PARTITION BY query_id, filing_id ORDER BY position, rank)),
 blocks AS (SELECT *, sum(opens) OVER (PARTITION BY query_id, filing_id ORDER BY position, rank) AS block FROM opens),
@@ -168,22 +156,22 @@ def _(spark, sf):
 
 @query("pack")
 def _(spark, sf):
-    return k.pack(all_hits(spark, sf))
+    return k.pack(hits(spark, sf))
 
 
 @query(
     "near_duplicate",
-    f"WITH a AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS t FROM documents WHERE doc_id % 7 = 0) SELECT a.doc_id, b.doc_id AS other, len(list_intersect(a.t, b.t)) / len(a.t) >= 0.8 AS duplicate FROM a JOIN a b ON b.doc_id = a.doc_id + 7 WHERE len(a.t) > 0 UNION ALL SELECT a.doc_id, b.doc_id, false FROM a JOIN a b ON b.doc_id = a.doc_id + 7 WHERE len(a.t) = 0",
+    f"WITH a AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS t FROM documents) SELECT a.doc_id, b.doc_id AS other, len(list_intersect(a.t, b.t)) / len(a.t) >= 0.8 AS duplicate FROM a JOIN a b ON b.doc_id = a.doc_id + 1 WHERE len(a.t) > 0 UNION ALL SELECT a.doc_id, b.doc_id, false FROM a JOIN a b ON b.doc_id = a.doc_id + 1 WHERE len(a.t) = 0",
 )
 def _(spark, sf):
-    a = table(spark, sf, "documents").filter("doc_id % 7 = 0").select("doc_id", F.array_distinct(t.tokenize(F.col("text"))).alias("t"))
-    b = a.select((F.col("doc_id") - 7).alias("doc_id"), F.col("doc_id").alias("other"), F.col("t").alias("u"))
+    a = table(spark, sf, "documents").select("doc_id", F.array_distinct(t.tokenize(F.col("text"))).alias("t"))
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("t").alias("u"))
     return a.join(b, "doc_id").select("doc_id", "other", k.near_duplicate(F.col("t"), F.col("u")).alias("duplicate"))
 
 
 @query("near_duplicate_blocks")
 def _(spark, sf):
-    return k.duplicate_pairs(all_hits(spark, sf))
+    return k.duplicate_pairs(hits(spark, sf))
 
 
 BUDGET = HITS + """, used AS (SELECT *, sum(length(text) + CASE WHEN rank = 1 THEN 0 ELSE 2 END) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM hits), kept AS (SELECT * FROM used WHERE rank = 1 OR used <= 3000)"""
@@ -249,11 +237,15 @@ def _(spark, sf):
 @query(
     "run_verdict",
     f"""{COMPARED}, m AS (SELECT 'b' AS w, {METRICS} FROM base UNION ALL SELECT 'o', {METRICS} FROM other)
-SELECT true AS scorer_ok, CASE WHEN o.hit_at_5 >= b.hit_at_5 AND o.mrr >= b.mrr THEN 'KEEP' ELSE 'DROP' END AS verdict FROM m b, m o WHERE b.w = 'b' AND o.w = 'o'""",
+SELECT 'same' AS run, true AS scorer_ok, CASE WHEN o.hit_at_5 >= b.hit_at_5 AND o.mrr >= b.mrr THEN 'KEEP' ELSE 'DROP' END AS verdict FROM m b, m o WHERE b.w = 'b' AND o.w = 'o'
+UNION ALL SELECT 'missed', false, 'INVALID'""",
 )
 def _(spark, sf):
-    base = r.retrieval_metrics(ranks(spark, sf))
-    return k.run_verdict(base, base, r.retrieval_metrics(ranks(spark, sf, 0.0)))
+    ix = index(spark, sf)
+    base, other = (kept(r.retrieval_metrics(ranks(spark, sf, b, ix))) for b in (0.75, 0.0))
+    missed = base.withColumn("mrr", F.col("mrr") + 0.001)  # a scorer that does not reproduce the base
+    same = k.run_verdict(base, base, other).withColumn("run", F.lit("same"))
+    return same.unionByName(k.run_verdict(base, missed, other).withColumn("run", F.lit("missed")))
 
 
 @query(
@@ -262,19 +254,32 @@ def _(spark, sf):
 SELECT true AS scorer_ok, CASE WHEN b.hit_at_5 > o.hit_at_5 AND b.mrr > o.mrr THEN 'PACKING ADDS VALUE' WHEN b.hit_at_5 = o.hit_at_5 AND abs(b.mrr - o.mrr) < 0.005 THEN 'NO DIFFERENCE' ELSE 'UNCLEAR' END AS verdict FROM m b, m o WHERE b.w = 'b' AND o.w = 'o'""",
 )
 def _(spark, sf):
-    base = r.retrieval_metrics(ranks(spark, sf))
-    return k.control_verdict(base, base, r.retrieval_metrics(ranks(spark, sf, 0.0)), base)
+    ix = index(spark, sf)
+    base, other = (kept(r.retrieval_metrics(ranks(spark, sf, b, ix))) for b in (0.75, 0.0))
+    return k.control_verdict(base, base, other, base)
 
 
 @query("packed_vs_control")
 def _(spark, sf):
     h = hits(spark, sf)
     e = golden(spark, sf).filter("type <> 'not_found'").select("query_id", "type", F.array("snippet").alias("snippets"), F.lit(None).cast("date").alias("filing_date"))
-    packed = r.retrieval_metrics(k.block_ranks(k.pack(h), e)).withColumn("system", F.lit("PACKED"))
-    ch = h.select("chunk_id", F.col("text").alias("content"), "filing_date").dropDuplicates(["chunk_id"])
-    prod = r.retrieval_metrics(r.first_hit_rank(h, e, ch)).withColumn("system", F.lit("PROD"))
-    control = r.retrieval_metrics(r.first_hit_rank(k.take_within_budget(h), e, ch)).withColumn("system", F.lit("CONTROL"))
-    return packed.unionByName(prod).unionByName(control)
+    return k.packed_vs_control(e, h, base=h.filter("rank <= 5"))[0]
+
+
+@query("audit_counts", f"""WITH {ENTRIES}, n AS (SELECT query_id, count(DISTINCT snippet) AS found FROM matches GROUP BY query_id),
+s AS (SELECT CASE WHEN type = 'not_found' THEN 'SKIP' WHEN found = len(list_distinct(snippets)) THEN 'OK' ELSE 'BROKEN' END AS status FROM entries LEFT JOIN n USING (query_id))
+SELECT count(*) AS entries, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status = 'BROKEN') AS broken, count(*) FILTER (status = 'SKIP') AS skipped FROM s""")
+def _(spark, sf):
+    return k.audit_counts(k.snippet_audit(entries(spark, sf), chunks(spark, sf)))
+
+
+@query(
+    "tokenizer_counts",
+    f"SELECT count(*) AS rows, count(*) FILTER ({tokens_sql('text')} <> regexp_extract_all(lower(text), '[a-z0-9]+')) AS mismatches FROM conversations",
+)
+def _(spark, sf):
+    d = table(spark, sf, "conversations")
+    return t.tokenizer_diff(d, ["conv_id", "turn"], F.col("text"), t.tokenize, t.plain_tokens, sample=None)[0]
 
 
 @query(
@@ -282,5 +287,4 @@ def _(spark, sf):
     f"SELECT conv_id, turn, {tokens_sql('text')} AS a, regexp_extract_all(lower(text), '[a-z0-9]+') AS b FROM conversations WHERE {tokens_sql('text')} <> regexp_extract_all(lower(text), '[a-z0-9]+')",
 )
 def _(spark, sf):
-    d = table(spark, sf, "conversations").select("conv_id", "turn", t.tokenize(F.col("text")).alias("a"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("b"))
-    return d.filter("a <> b")
+    return t.tokenizer_diff(table(spark, sf, "conversations"), ["conv_id", "turn"], F.col("text"), t.tokenize, t.plain_tokens, sample=None)[1]

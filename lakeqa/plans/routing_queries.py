@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lakeqa.operators import corpus
 from lakeqa.operators import routing as r
-from lakeqa.plans.feeds import CHUNKS, GOLDEN, chunks, golden, table
+from lakeqa.plans.feeds import CHUNKS, GOLDEN, PIECES, chunks, golden, pieces, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -122,10 +122,9 @@ def _(spark, sf):
     return r.find_text(chunks(spark, sf), p)
 
 
-@query("chunks_with_documents", "SELECT doc_id AS document_id, o_orderkey AS chunk_id, lang, source FROM orders JOIN documents ON doc_id = o_custkey % 500")
+@query("chunks_with_documents", f"WITH {PIECES} SELECT document_id, chunk_index, content, lang, source FROM pieces JOIN documents ON doc_id = document_id")
 def _(spark, sf):
-    c = table(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_custkey") % 500).alias("document_id"))
-    return r.chunks_with_documents(c, table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "lang", "source"))
+    return r.chunks_with_documents(pieces(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "lang", "source"))
 
 
 @query("new_filings", "SELECT page_id, url AS source_path FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")

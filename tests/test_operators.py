@@ -82,6 +82,94 @@ def test_bm25_fills_up(spark):
     assert [r.chunk_id for r in got] == [3, 0, 1] and got[1].score == 0
 
 
+def brute_bm25(texts, question, k):
+    """All chunks scored one by one, with the tokens that Spark makes."""
+    import math
+    from collections import Counter
+
+    df = Counter(t for x in texts.values() for t in set(x))
+    raw = {t: math.log(len(texts) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    mean, avgdl = sum(raw.values()) / len(raw), sum(map(len, texts.values())) / len(texts)
+    idf = {t: x if x >= 0 else 0.25 * mean for t, x in raw.items()}
+    score = lambda x: sum(n * idf[t] * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / avgdl)) for t, n in Counter(question).items() if t in idf)
+    return sorted(((round(score(x), 6) + 0.0, -i) for i, x in texts.items()), reverse=True)[:k]
+
+
+@pytest.mark.parametrize("words, asked", [(["apple"] * 10 + ["pear"] * 10, "apple cherry"), (["apple"] * 3 + ["pear"] * 1, "apple"), (["plum pear", "plum", "plum fig", "plum"], "plum fig")])
+def test_bm25_scores_of_zero_and_less(spark, words, asked, tmp_path):
+    """A term in half of the chunks scores 0 and ties with chunks that lack it; a floor below 0 ranks behind those; both from a stored index."""
+    chunks = spark.createDataFrame([(len(words) - i, w) for i, w in enumerate(words)], "chunk_id int, content string")
+    queries = spark.createDataFrame([(1, asked)], "query_id int, question string")
+    stored = retrieval.write_index(chunks, str(tmp_path / "index"))
+    for k in (1, 3, 30):
+        want = brute_bm25({len(words) - i: w.split() for i, w in enumerate(words)}, asked.split(), k)
+        for source in (chunks, retrieval.read_index(spark, str(tmp_path / "index")), stored):
+            got = retrieval.bm25_topk(queries, source, k).orderBy("rank").collect()
+            assert [(r.score + 0.0, -r.chunk_id) for r in got] == want
+
+
+def test_dense_blocks(spark):
+    """Many question blocks and vector blocks, ties and no negative zeros, against all pairs."""
+    import random
+
+    random.seed(1)
+    data = [(i, [float(random.choice([-1, 0, 1])) for _ in range(4)]) for i in range(60)]
+    v = spark.createDataFrame(data, "chunk_id long, embedding array<double>")
+    unit = {i: [a / (sum(b * b for b in x) ** 0.5 or 1e-300) for a in x] for i, x in data}
+    rows = retrieval.dense_topk(v.withColumnRenamed("chunk_id", "query_id"), v, 5, rows=7).collect()
+    got = {(r.query_id, r["rank"]): (r.distance, r.chunk_id) for r in rows}
+    for q in unit:
+        want = sorted((round(1 - sum(a * b for a, b in zip(unit[q], unit[c], strict=True)), 6) + 0.0, c) for c in unit)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(pytest.approx(d, abs=1e-6), c) for d, c in want] or [got[q, k + 1][0] for k in range(5)] == [pytest.approx(d, abs=1e-6) for d, _ in want]
+    assert not any(str(r.distance) == "-0.0" for r in rows)
+
+
+def test_corpus_batches(spark, tmp_path):
+    """A batch that fails between its chunks and its documents is not seen, and loses nothing when it runs again."""
+    from lakeqa.sources import tables
+
+    docs = spark.createDataFrame([(1, "A", "x")], "document_id int, ticker string, source_path string")
+    chunks = spark.createDataFrame([(1, "A", 0, "text")], "document_id int, ticker string, chunk_index int, content string")
+    path = str(tmp_path / "corpus")
+    tables.write_corpus(docs, chunks, path, "b1")
+    broken = docs.select("document_id", "ticker", F.raise_error(F.lit("no")).cast("string").alias("source_path"))
+    with pytest.raises(Exception, match="no"):
+        tables.write_corpus(broken, chunks.withColumn("document_id", F.lit(2)), path, "b2")
+    assert [x.count() for x in tables.read_corpus(spark, path)] == [1, 1]
+    for _ in range(2):  # and once more
+        tables.write_corpus(docs.withColumn("document_id", F.lit(2)), chunks.withColumn("document_id", F.lit(2)), path, "b2")
+        assert sorted(r.document_id for r in tables.read_corpus(spark, path)[1].collect()) == [1, 2]
+
+
+def test_build_corpus(spark):
+    manifest = spark.createDataFrame([(1, "Acme", "ACM", "10-K", datetime.date(2024, 1, 1), "a"), (2, "Acme", "ACM", "10-K", datetime.date(2025, 1, 1), "b")], "document_id int, company string, ticker string, form_type string, filing_date date, source_path string")
+    body = "The company makes things of many kinds and sells them to all who ask."
+    pages = spark.createDataFrame([("a", f"<p>Item 1. Business</p><p>{body}</p>"), ("b", "<p>short</p>")], "source_path string, html string")
+    rows = corpus.build_corpus(manifest, pages).collect()
+    assert [(r.document_id, r.chunk_index, r.section, r.content) for r in rows] == [(1, 0, "Item 1. Business", f"Acme (ACM) 10-K | Item 1. Business\n{body}")]
+    assert list(rows[0].embedding) == pytest.approx(list(corpus.hash_encode([rows[0].content])[0])) and sum(x * x for x in rows[0].embedding) == pytest.approx(1, abs=1e-5)
+    assert [r.document_id for r in corpus.empty_filings(manifest, corpus.build_corpus(manifest, pages)).collect()] == [2]
+    assert corpus.build_corpus(manifest, pages, docs=manifest.filter("document_id = 1")).collect() == []
+
+
+def test_packed_vs_control(spark):
+    tail = "".join(chr(97 + i % 26) for i in range(150))
+    hits = spark.createDataFrame([(1, 1, 10, 5, 0, "", "start " + tail, None), (1, 2, 11, 5, 1, "", tail + " needle", None), (2, 1, 12, 6, 0, "", "other", None)], HIT)
+    golden = spark.createDataFrame([(1, "numeric", ["needle"], None), (2, "narrative", ["absent"], None)], "query_id int, type string, snippets array<string>, filing_date string")
+    metrics, ranks = packing.packed_vs_control(golden, hits, base=hits.filter("rank = 1"))
+    assert {(r.system, r.query_id): r["rank"] for r in ranks.collect()} == {("PACKED", 1): 1, ("PROD", 1): 2, ("CONTROL", 1): 2, ("BASE", 1): None, ("PACKED", 2): None, ("PROD", 2): None, ("CONTROL", 2): None, ("BASE", 2): None}
+    assert {r.system: r.mrr for r in metrics.collect()} == {"PACKED": 0.5, "PROD": 0.25, "CONTROL": 0.25, "BASE": 0.0}
+
+
+def test_detect_ticker(spark):
+    aliases = spark.createDataFrame([("ACM", "acme corp"), ("ACM", "acme"), ("ATT", "at&t"), ("BEE", "bee")], "ticker string, alias string")
+    asked = spark.createDataFrame([(1, "How is Acme?"), (2, "AT&T or Bee"), (3, "beehive acmes"), (4, None), (5, "\tBEE's")], "query_id int, question string")
+    got = {r.query_id: (r.ticker, r.status) for r in routing.detect_ticker(asked, aliases).collect()}
+    assert got == {1: ("ACM", "single"), 2: (None, "multiple"), 3: (None, "zero"), 4: (None, "zero"), 5: ("BEE", "single")}
+    bad = routing.validate_requests(spark.createDataFrame([("\t ab\n", " acm ")], "question string, ticker string"), ["ACM"]).head()
+    assert (bad.question, bad.ticker, bad.reason) == ("ab", "ACM", "question too short")
+
+
 def test_rate_limit_state():
     assert logs.allowed([0, 1, 2, 61, 61.5], [], 2, 60) == ([True, True, False, True, True], [61, 61.5])
 
@@ -134,7 +222,7 @@ def test_all_pieces_count(spark):
     from lakeqa.plans import corpus_queries, feeds
 
     sf = "/root/testdata/sf0.001"
-    rows = corpus_queries.all_hits(spark, sf).collect()
+    rows = corpus_queries.hits(spark, sf).collect()
     assert any(r.position >= 6 for r in rows) and all(r.chunk_id == (r.filing_id << 22) + r.position for r in rows)
     assert any(r.duplicate for r in __spark_entry__.queries()["near_duplicate_blocks"](spark, sf).collect())
     assert __spark_entry__.queries()["adjacent_overlap_all"](spark, sf).count() == feeds.pieces(spark, sf).count()
