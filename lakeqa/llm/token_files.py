@@ -3,7 +3,7 @@
 Documents are range-sorted by id and tokenised; each document ends with an end id. A task cuts its run of
 documents into shards of about SHARD ids and compresses each shard by a grammar: pairs of neighbouring ids are
 replaced by new symbols, the most frequent ones first, until no pair is left that occurs LEAST times, which is where a
-rule costs more bytes than it saves. The pairs of a round are those about a quarter as frequent as the most frequent one or more;
+rule costs more bytes than it saves. The pairs of a round are those about an eighth as frequent as the most frequent one or more;
 where they overlap, the more frequent one wins, and counts are taken anew after each round.
 
 File format: Parquet, written and read by Spark, so it may lie in any store. A row is a shard:
@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from lakeqa.llm.common import new_path, read
 
 #: Ids of a shard, about; occurrences that a pair needs: a rule takes 12 bytes and saves 2 or 4 at each.
-SHARD, LEAST = 1 << 18, 12
+SHARD, LEAST = 1 << 17, 12
 #: Units whose ids a worker keeps.
-CACHE = 600_000
+CACHE = 300_000
 #: Bytes of text that are worked on together.
 STRETCH = 8 << 20
 END = 2
@@ -79,7 +79,7 @@ class Words:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.letters = _byte_letters()
         self.place: dict[str, int] = {"": 0}
-        self.ids, self.begins, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.begins, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -99,7 +99,7 @@ class Words:
         stems, odd = [], []
         for u in units:
             (stems if STEM.fullmatch(u) else odd).append(u)
-        parts, lengths = [self.ids], [self.lengths]
+        parts, lengths = [self.ids], [self.lengths.astype(np.int64)]
         if stems:
             ids, many = self._stems(stems)
             parts.append(ids)
@@ -108,8 +108,8 @@ class Words:
             found = self._library(odd)
             parts += found
             lengths.append(np.array([len(x) for x in found], np.int64))
-        self.ids, self.lengths = np.concatenate(parts), np.concatenate(lengths)
-        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.ids, self.lengths = np.concatenate(parts), np.concatenate(lengths).astype(np.int32)
+        self.begins = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         n = len(self.place)
         self.place.update(zip(stems, range(n, n + len(stems)), strict=True))
         self.place.update(zip(odd, range(n + len(stems), n + len(units)), strict=True))
@@ -132,20 +132,20 @@ class Words:
             self._learn(new)
             at = list(map(self.place.__getitem__, names))
         # ids of each word: its first unit, then its tail
-        pairs = np.array(at, np.int64)[units.indices.to_numpy()].reshape(2, -1).T
-        table, ends = self._gathered(pairs.ravel())
-        lengths = self.lengths[pairs].sum(1)
-        begins = np.cumsum(lengths) - lengths
-        many = lengths[places]
-        ends = np.cumsum(many)
-        ids = table[np.repeat(begins[places] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        pairs = np.array(at, np.int32)[units.indices.to_numpy()].reshape(2, -1).T
+        table, _ = _gathered(self.ids, self.begins, self.lengths, pairs.ravel())
+        lengths = self.lengths[pairs].sum(1, dtype=np.int32)
+        ids, ends = _gathered(table, np.cumsum(lengths, dtype=np.int32) - lengths, lengths, places)
         return ids, np.append(0, ends)[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
 
-    def _gathered(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units in a row, and where each ends."""
-        many = self.lengths[units]
-        ends = np.cumsum(many)
-        return self.ids[np.repeat(self.begins[units] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+def _gathered(ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of units in a row, and where each ends. Numbers of ids fit 32 bits: there are fewer than bytes of an Arrow column."""
+    many = lengths[units]
+    ends = np.cumsum(many, dtype=np.int32)
+    at = np.repeat(begins[units] - ends + many, many)
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at], ends
 
 
 @functools.lru_cache(maxsize=2)
@@ -161,10 +161,10 @@ def _slots(codes: np.ndarray) -> np.ndarray:
 
 
 def _frequent(codes: np.ndarray, slots: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a round, rising, and their ranks by frequency: those that occur at least a quarter as often as the
+    """The pairs of a round, rising, and their ranks by frequency: those that occur at least an eighth as often as the
     fullest slot counts, or the most frequent of the others, and least times. Slots leave out most places before the sort."""
     full = np.bincount(slots, minlength=1 << 18)
-    bound = max(least, int(full.max()) // 4)
+    bound = max(least, int(full.max()) // 8)
     while True:
         pairs = np.sort(codes[full[slots] >= bound])
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1]]))
@@ -174,7 +174,7 @@ def _frequent(codes: np.ndarray, slots: np.ndarray, least: int) -> tuple[np.ndar
             rank = np.empty(len(often), np.int64)
             rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(often))
             return pairs[starts[often]], rank
-        bound = max(least, bound // 4)
+        bound = max(least, bound // 8)
 
 
 def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
