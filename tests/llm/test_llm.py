@@ -47,7 +47,7 @@ def none(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df, want = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLES[name])
     key = lambda columns, row: repr([(c, round(v, 6) if isinstance(v, float) else v) for c, v in sorted(zip(columns, row, strict=True))])
