@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeqa.functions.text import clean_section_label, context_header, parse_item_heading, with_header
+from lakeqa.operators.selection import exact_percentiles
 
 
 class _Text(HTMLParser):
@@ -261,4 +262,5 @@ def section_report(sections: DataFrame, key_items: tuple[str, ...] = ("1", "1A",
 def chunk_counts(chunks: DataFrame, share: float = 0.25) -> DataFrame:
     """document_id, n_chunks, median, low: filings with far fewer chunks than the median filing."""
     counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.percentile("n_chunks", F.lit(0.5)).alias("median")))).withColumn("low", F.col("n_chunks") < share * F.col("median"))
+    (median,) = exact_percentiles(counts, "n_chunks", [0.5])
+    return counts.withColumn("median", F.lit(median).cast("double")).withColumn("low", F.col("n_chunks") < share * F.col("median"))

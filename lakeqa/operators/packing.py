@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeqa.functions.text import tokenize
 from lakeqa.operators.retrieval import first_hit_rank, retrieval_metrics
+from lakeqa.operators.substrings import substring_join
 
 OVERLAP, DUPLICATE, SEPARATOR = 150, 0.80, "\n\n"
 
@@ -101,17 +102,16 @@ def block_ranks(packed: DataFrame, golden: DataFrame) -> DataFrame:
     return golden.select("query_id", "type").join(rows.filter(hit).groupBy("query_id").agg(F.min("number").alias("rank")), "query_id", "left")
 
 
-def snippet_match(golden: DataFrame, chunks: DataFrame) -> DataFrame:
+def snippet_match(golden: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """query_id, snippet, chunk_id, filing_date: chunks that hold a snippet, in the entry's ticker and filing date (null: any).
 
-    golden: query_id, ticker, filing_date, snippets. Entries with a ticker are joined on it; the few others, which look
-    at all chunks, are sent to the chunks.
+    golden: query_id, ticker, filing_date, snippets. Chunks are found by q-grams of the snippets, whatever their number;
+    index: a stored ``gram_index`` of the chunks with scope ticker and filing_date.
     """
-    g = golden.select("query_id", "ticker", F.col("filing_date").alias("only"), F.explode("snippets").alias("snippet"))
-    match = F.contains(F.col("content"), F.col("snippet")) & (F.col("only").isNull() | (F.col("only") == F.col("filing_date")))
-    scoped = chunks.join(g.filter("ticker IS NOT NULL"), "ticker").filter(match)
-    free = chunks.join(g.filter("ticker IS NULL").drop("ticker"), match)
-    return scoped.select("query_id", "snippet", "chunk_id", "filing_date").unionByName(free.select("query_id", "snippet", "chunk_id", "filing_date"))
+    asked = golden.select("query_id", F.col("ticker").alias("of"), F.col("filing_date").alias("only"), F.explode("snippets").alias("needle"))
+    fits = (F.col("of").isNull() | (F.col("of") == F.col("ticker"))) & (F.col("only").isNull() | (F.col("only") == F.col("filing_date")))
+    rows = substring_join(asked, chunks, scope=("ticker", "filing_date"), condition=fits, index=index)
+    return rows.select("query_id", F.col("needle").alias("snippet"), "chunk_id", "filing_date")
 
 
 def snippet_audit(golden: DataFrame, chunks: DataFrame) -> DataFrame:

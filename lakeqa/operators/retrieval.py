@@ -1,7 +1,8 @@
 """Retrieval over tables of questions and chunks: BM25, exact cosine search, rank fusion, reranking, and its evaluation.
 
 Texts are joined to finalists only; shuffles carry ids, ranks and scores. Ties end at the chunk id. The BM25 index is made
-once of the tokenised chunks and may be stored: ``write_index`` and ``read_index``.
+once of the tokenised chunks and may be stored: ``write_index`` and ``read_index``. It holds blocks of postings with their
+greatest impact, in a folder for each bucket of terms, so a search reads the buckets and skips the blocks that it can.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from lakeqa.functions.text import tokenize
 
 #: Bytes of question vectors that are sent to every task at once; more are worked off in several rounds.
 QUERY_BYTES = 64 << 20
+#: Postings of a block, folders of a stored index's postings.
+BLOCK, BUCKETS = 128, 64
 
 
 def _top(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> DataFrame:
@@ -27,52 +30,76 @@ def _top(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> Da
 
 
 class Index(NamedTuple):
-    """postings: term, chunk_id, tf, dl. terms: term, df, raw (idf before the floor). size: one row of n, avgdl, mean (of raw)."""
+    """postings: bucket, term, block, top_tf, least_dl, n, postings (minus_tf, dl, chunk_id, cell). terms: term, df, raw (idf before the
+    floor). chunks: chunk_id, cell, dl. size: one row of n, avgdl, mean (of raw)."""
 
     postings: DataFrame
     terms: DataFrame
+    chunks: DataFrame
     size: DataFrame
 
 
-def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
-    """term, chunk_id, tf, dl: a row for each term of a chunk, counted inside the chunk's row by sorting its tokens.
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    A chunk without tokens has one row without a term.
-    """
-    rows = chunks.select("chunk_id", F.array_sort(tokenize(F.coalesce(F.col(content), F.lit("")))).alias("tokens"))
-    n = F.size("tokens")
-    begins = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
-    rows = rows.select("chunk_id", n.alias("dl"), "tokens", begins.alias("begins"))
-    counted = F.transform("begins", lambda b, i: F.struct(F.get("tokens", b).alias("term"), (F.coalesce(F.get("begins", i + 1), F.col("dl")) - b).alias("tf")))
-    return rows.select("chunk_id", "dl", F.explode(counted).alias("t")).select("t.term", "chunk_id", F.col("t.tf").cast("long").alias("tf"), "dl")
 
+def postings(chunks: DataFrame, content: str = "content", buckets: int = BUCKETS, group: int = 65_536) -> DataFrame:
+    """Blocks of postings: bucket (of the term), term, block, top_tf, least_dl, n, postings (minus_tf, dl, chunk_id, cell).
 
-def _summed(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """terms and size of an index's postings."""
-    size = index.groupBy("chunk_id").agg(F.any_value("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    found = index.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size))
-    return found.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), size
+    A term's chunks are dealt to groups of about ``group`` chunks of the corpus, so a term that all chunks have is spread
+    over many tasks. In a group postings stand by falling tf (which is stored negated, as it sorts) and rising length, cut into
+    blocks of BLOCK; each block says its largest tf and its shortest length. Rows without a term list all chunks, those without tokens too. chunks may have a
+    cell, the number of their filing (``routing.cell_of``).
+    """
+    cell = F.col("cell") if "cell" in chunks.columns else F.lit(0).cast("long").alias("cell")
+    n, tasks = chunks.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
+    groups, cores = max(1, n // group), chunks.sparkSession.sparkContext.defaultParallelism
+    rows = chunks if tasks >= cores else chunks.repartition(cores)  # a few row groups would keep most cores idle
+    rows = rows.select("chunk_id", cell, tokenize(F.coalesce(F.col(content), F.lit(""))).alias("tokens"))
+    rows = rows.select("chunk_id", "cell", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(None).cast("string"))).alias("term"))
+    rows = rows.withColumns({"bucket": _bucket(F.col("term"), buckets), "group": F.pmod(F.xxhash64("chunk_id"), F.lit(groups))})
+    # one shuffle: both aggregations keep what it deals together
+    rows = rows.repartition("bucket", "group").groupBy("bucket", "group", "term", "chunk_id", "dl", "cell").agg((-F.count(F.lit(1))).alias("minus_tf"))
+    rows = rows.groupBy("bucket", "group", "term").agg(F.sort_array(F.collect_list(F.struct("minus_tf", "dl", "chunk_id", "cell"))).alias("all"))
+    rows = rows.select("bucket", "term", "all", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int"))).alias("block"))
+    rows = rows.withColumn("some", F.slice("all", F.col("block") * BLOCK + 1, BLOCK))
+    return rows.select("bucket", "term", "block", (-F.get("some", F.lit(0))["minus_tf"]).alias("top_tf"), F.array_min("some.dl").alias("least_dl"), F.size("some").alias("n"), F.col("some").alias("postings"))
+
+
+def _summed(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """terms, chunks and size (without mean) of an index's postings."""
+    chunks = blocks.filter(F.col("term").isNull() & (F.col("bucket") == _bucket(F.lit(None).cast("string"), buckets))).select(F.explode("postings").alias("p")).select("p.chunk_id", "p.cell", "p.dl")
+    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    found = blocks.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df")).join(F.broadcast(size))  # one row
+    return found.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), chunks, size
 
 
 def build_index(chunks: DataFrame, content: str = "content") -> Index:
     """The index as a plan, which each use computes; ``write_index`` stores it."""
-    index = postings(chunks, content)
-    terms, size = _summed(index)
-    return Index(index, terms, size.join(F.broadcast(terms.agg(F.avg("raw").alias("mean")))))
+    index = postings(chunks, content, 1)
+    terms, listed, size = _summed(index, 1)
+    return Index(index, terms, listed, size.join(F.broadcast(terms.agg(F.avg("raw").alias("mean")))))
 
 
-def write_index(chunks: DataFrame, path: str, content: str = "content") -> Index:
-    """Tokenise the chunks once and store postings (by term, so that a reader skips what nobody asks for), terms and size."""
+def write_index(chunks: DataFrame, path: str, content: str = "content", buckets: int = BUCKETS) -> Index:
+    """Tokenise the chunks once and store postings in a folder for each bucket of terms, so that a search reads the buckets
+    of its terms and, in their files, the rows of these terms; and terms, chunks and size."""
     spark = chunks.sparkSession
-    postings(chunks, content).repartition("term", F.pmod("chunk_id", F.lit(8))).sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
-    terms, size = _summed(spark.read.parquet(f"{path}/postings"))
-    terms.write.parquet(f"{path}/terms")
-    size.join(F.broadcast(spark.read.parquet(f"{path}/terms").agg(F.avg("raw").alias("mean")))).write.parquet(f"{path}/size")
+    postings(chunks, content, buckets).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    terms, listed, size = _summed(_read_postings(spark, path), buckets)
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    listed.write.mode("overwrite").parquet(f"{path}/chunks")
+    size = spark.read.parquet(f"{path}/chunks").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    size.join(F.broadcast(spark.read.parquet(f"{path}/terms").agg(F.avg("raw").alias("mean")))).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/size")
     return read_index(spark, path)
 
 
+def _read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/postings")
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index._fields))
+    return Index(_read_postings(spark, path), *(spark.read.parquet(f"{path}/{name}") for name in Index._fields[1:]))
 
 
 def bm25_stats(index: Index, epsilon: float = 0.25) -> DataFrame:
@@ -81,27 +108,71 @@ def bm25_stats(index: Index, epsilon: float = 0.25) -> DataFrame:
 
 
 def bm25_topk(
-    queries: DataFrame, chunks: DataFrame | Index, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, scope: DataFrame | None = None
+    queries: DataFrame,
+    chunks: DataFrame | Index,
+    k: int = 10,
+    k1: float = 1.5,
+    b: float = 0.75,
+    epsilon: float = 0.25,
+    scope: DataFrame | None = None,
+    cells: DataFrame | None = None,
+    prune: bool = False,
 ) -> DataFrame:
-    """query_id, chunk_id, score, rank. queries: query_id, question. chunks: a table, or its index. scope: query_id, chunk_id that a query may return.
+    """query_id, chunk_id, score, rank. queries: query_id, question. chunks: a table, or its index. scope: query_id, chunk_id
+    that a query may return. cells: query_id, cells that a query may return chunks of (null: all), from ``cells_of``.
 
     Statistics come from all chunks. Chunks without a term of the query have score 0 and are candidates too: each query
     gets the 2 k smallest chunk ids with a score of 0 added to what they have. Of these at most k - 1 score above 0 where
     they matter, so k of score 0 are among them; only if a floor below 0 makes scores negative (a mean idf below 0, of
     a few chunks with the same words), all chunks are added.
+
+    prune: skip blocks that cannot matter. The first blocks of all terms give sums that k chunks of a query reach at least.
+    A block is left out where its greatest part and the greatest parts of the query's other terms together stay below
+    that, since then so do all its chunks. This reads the bounds of all blocks before, which pays for short questions over
+    many chunks; with dozens of terms in a question hardly a block can be left out. Results are the same.
     """
     index = chunks if isinstance(chunks, Index) else build_index(chunks)
-    asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = index.postings.join(asked.join(bm25_stats(index, epsilon), "term"), "term").join(F.broadcast(index.size))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    mean = index.size.head()["mean"]
+    size = index.size.head()
+    buckets, mean, avgdl = (size["buckets"] if "buckets" in index.size.columns else 1), size["mean"], size["avgdl"] or 1.0
     negative = mean is not None and mean * epsilon < 0
+    # the filter is what lets Spark prune the buckets of postings by the terms asked for
+    asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).filter(F.length("term") > 0)
+    asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(bm25_stats(index, epsilon), "term")
+    asked = asked.select("query_id", "term", _bucket(F.col("term"), buckets).alias("bucket"), (F.col("qtf") * F.col("idf")).alias("weight"))
+    if cells is not None:
+        asked = asked.join(cells.select("query_id", "cells"), "query_id")
+    hits = asked.join(index.postings, ["bucket", "term"])
+    part = lambda tf, dl: F.col("weight") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / avgdl))
+
+    def summed(blocks: DataFrame) -> DataFrame:
+        rows = blocks.withColumn("p", F.explode("postings"))
+        if cells is not None:
+            rows = rows.filter(F.col("cells").isNull() | F.array_contains("cells", F.col("p.cell")))
+        rows = rows.select("query_id", "weight", "p.*")
+        return rows.withColumn("tf", -F.col("minus_tf")).select("query_id", "chunk_id", part("tf", "dl").alias("part"))
+
+    if prune and not negative:
+        first = summed(hits.filter("block = 0")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+        first = first if scope is None else first.join(scope, ["query_id", "chunk_id"], "left_semi")
+        reached = _top(first, "query_id", [F.desc("score")], k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+        most = hits.groupBy("query_id", "term").agg(F.max(part("top_tf", "least_dl")).alias("most"))
+        total = most.groupBy("query_id").agg(F.sum("most").alias("total")).join(reached, "query_id", "left")
+        bounds = most.join(total, "query_id").select("query_id", "term", (F.col("total") - F.col("most")).alias("others"), "reached")
+        hits = hits.join(bounds, ["query_id", "term"])
+        hits = hits.filter(part("top_tf", "least_dl") + F.col("others") >= F.coalesce(F.col("reached"), F.lit(0.0)) - 1e-5)  # scores are rounded
     if scope is None:
-        ids = index.postings.select("chunk_id").distinct()
-        spare = queries.select("query_id").join(F.broadcast(ids if negative else ids.orderBy("chunk_id").limit(2 * k)))
+        listed = index.chunks.select("chunk_id", "cell")
+        least = listed if negative else listed.orderBy("chunk_id").limit(2 * k)
+        if cells is None:
+            spare = queries.select("query_id").join(least if negative else F.broadcast(least))
+        else:
+            wanted = queries.select("query_id").join(cells, "query_id")
+            of_cell = listed if negative else _top(listed, "cell", [F.asc("chunk_id")], 2 * k)
+            spare = wanted.filter("cells IS NULL").join(least if negative else F.broadcast(least))
+            spare = spare.select("query_id", "chunk_id").unionByName(wanted.select("query_id", F.explode(F.array_distinct("cells")).alias("cell")).join(of_cell, "cell").select("query_id", "chunk_id"))
     else:
         spare = scope if negative else _top(scope, "query_id", [F.asc("chunk_id")], 2 * k)
-    rows = hits.select("query_id", "chunk_id", part.alias("part")).unionByName(spare.select("query_id", "chunk_id", F.lit(0.0).alias("part")))
+    rows = summed(hits).unionByName(spare.select("query_id", "chunk_id", F.lit(0.0).alias("part")))
     scores = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     scores = scores.join(scope, ["query_id", "chunk_id"], "left_semi") if scope is not None else scores
     return _top(scores, "query_id", [F.desc("score"), F.asc("chunk_id")], k)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeqa.functions.text import extract_years, strip
+from lakeqa.operators.substrings import substring_join
 
 
 def latest_filings(listing: DataFrame, form: str = "10-K", n: int = 2) -> DataFrame:
@@ -38,14 +39,16 @@ def filter_scope(chunks: DataFrame, ticker: str | None = None, dates: list | Non
 def find_text(chunks: DataFrame, phrases: DataFrame, limit: int = 10, around: int = 150) -> DataFrame:
     """phrase_id, total, rank, filing_date, chunk_id, snippet: chunks of a ticker that hold a phrase in any case, newest filing first.
 
-    phrases: phrase_id, ticker, phrase, filing_date (null: any). The join is on the ticker; the total is summed apart, so
-    the window keeps limit rows a task.
+    phrases: phrase_id, ticker, phrase, filing_date (null: any). Chunks are found by q-grams in lower case; snippets are cut
+    from those only. The total is summed apart, so the window keeps limit rows a task.
     """
-    p = F.broadcast(phrases.withColumnRenamed("filing_date", "only")) if phrases.isLocal() else phrases.withColumnRenamed("filing_date", "only")
-    rows = chunks.join(p, "ticker").withColumn("pos", F.expr("instr(lower(content), lower(phrase))"))
-    rows = rows.filter((F.col("pos") > 0) & (F.col("only").isNull() | (F.col("only") == F.col("filing_date"))))
+    asked = phrases.select("phrase_id", F.col("ticker").alias("of"), F.col("filing_date").alias("only"), F.lower("phrase").alias("needle"))
+    fits = (F.col("of") == F.col("ticker")) & (F.col("only").isNull() | (F.col("only") == F.col("filing_date")))
+    lowered = chunks.withColumn("lowered", F.lower("content"))
+    rows = substring_join(asked, lowered, "lowered", ("ticker", "filing_date"), fits, ("content",))
+    rows = rows.withColumn("pos", F.expr("instr(lower(content), needle)"))
     begin = F.greatest(F.lit(1), F.col("pos") - around)
-    snippet = F.translate(F.substr("content", begin, F.col("pos") - begin + F.length("phrase") + around), "\n", " ")
+    snippet = F.translate(F.substr("content", begin, F.col("pos") - begin + F.length("needle") + around), "\n", " ")
     found = rows.select("phrase_id", "filing_date", "chunk_id", snippet.alias("snippet"))
     order = Window.partitionBy("phrase_id").orderBy(F.desc("filing_date"), F.asc("chunk_id"))
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -57,18 +60,45 @@ def chunks_with_documents(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.join(docs, "document_id")
 
 
+def cell_of(ticker: str, filing_date: str) -> Column:
+    """The cell of a chunk: a 64-bit number for its ticker and filing date, either of which may be null."""
+    return F.xxhash64(F.struct(F.col(ticker), F.col(filing_date).isNull(), F.col(filing_date)), F.col(ticker).isNull())
+
+
+def cell_dictionary(chunks: DataFrame) -> DataFrame:
+    """cell, ticker, filing_date: a row for each filing that chunks come from."""
+    return chunks.select("ticker", "filing_date").distinct().select(cell_of("ticker", "filing_date").alias("cell"), "ticker", "filing_date")
+
+
+def cells_of(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """query_id, cells: the cells that each query's ticker and dates allow; null for a query without any restriction.
+
+    queries: query_id, ticker, dates (null: any). Queries meet cells, of which there is one for each filing, never chunks.
+    Each kind of restriction is an equi-join of its own.
+    """
+    q = queries.select("query_id", "ticker", "dates").withColumn("date", F.explode_outer(F.array_distinct("dates")))
+    dated = F.col("dates").isNotNull()
+    c = dictionary.select("cell", F.col("ticker").alias("own"), F.col("filing_date").alias("filed"))
+    both = q.filter(dated & F.col("ticker").isNotNull()).join(c, (F.col("ticker") == F.col("own")) & (F.col("date") == F.col("filed")))
+    ticker = q.filter(~dated & F.col("ticker").isNotNull()).join(c, F.col("ticker") == F.col("own"))
+    date = q.filter(dated & F.col("ticker").isNull()).join(c, F.col("date") == F.col("filed"))
+    found = both.unionByName(ticker).unionByName(date).groupBy("query_id").agg(F.collect_set("cell").alias("found"))
+    free = F.col("ticker").isNull() & F.col("dates").isNull()
+    rows = queries.select("query_id", "ticker", "dates").join(found, "query_id", "left")
+    return rows.select("query_id", F.when(~free, F.coalesce("found", F.array().cast("array<bigint>"))).alias("cells"))
+
+
 def scope_join(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id for the chunks that each query's ticker and dates allow; null allows all.
 
-    queries: query_id, ticker, dates. Queries without any restriction make a branch of their own: for them every chunk is
-    wanted, so the (few) queries are sent to the chunks.
+    A table of all pairs, for those who want one; ``bm25_topk`` and ``dense_topk`` take the cells of queries instead.
+    Queries are joined with the dictionary of cells, those without a restriction to all of it, and cells with chunks.
     """
-    q, c = queries.select("query_id", "ticker", "dates"), chunks.select("chunk_id", "ticker", "filing_date")
-    dated = q.filter("ticker IS NOT NULL AND dates IS NOT NULL").select("query_id", "ticker", F.explode(F.array_distinct("dates")).alias("filing_date"))
-    undated = q.filter("ticker IS NOT NULL AND dates IS NULL").select("query_id", "ticker")
-    any_ticker = q.filter("ticker IS NULL").select("query_id", "dates")
-    free = c.join(any_ticker, F.col("dates").isNull() | F.array_contains("dates", F.col("filing_date")))
-    return dated.join(c, ["ticker", "filing_date"]).select("query_id", "chunk_id").unionByName(undated.join(c, "ticker").select("query_id", "chunk_id")).unionByName(free.select("query_id", "chunk_id"))
+    dictionary = cell_dictionary(chunks)
+    cells = cells_of(queries, dictionary)
+    free = cells.filter("cells IS NULL").select("query_id", F.lit(True).alias("free")).join(dictionary.select("cell", F.lit(True).alias("free")), "free")
+    asked = cells.select("query_id", F.explode("cells").alias("cell")).unionByName(free.select("query_id", "cell"))
+    return asked.join(chunks.select(cell_of("ticker", "filing_date").alias("cell"), "chunk_id"), "cell").select("query_id", "chunk_id")
 
 
 def resolve_filing_dates(queries: DataFrame, registry: DataFrame) -> DataFrame:

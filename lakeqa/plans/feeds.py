@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeqa.functions import text as t
-from lakeqa.operators.retrieval import Index, write_index
+from lakeqa.operators.retrieval import Index, read_index, write_index
+from lakeqa.operators.routing import cell_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +52,23 @@ CHUNKS = """chunks AS (SELECT doc_id AS chunk_id, doc_id AS document_id, upper(s
   make_date(2024 + (doc_id % 3)::INT, 1, 1) AS filing_date, text AS content FROM documents)"""
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """A name for the files under a path as they are now: changes with any file's name, length or time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [at] if fs.getFileStatus(at).isFile() else [x.getPath() for x in fs.listStatus(at)]
+    known = sorted((str(x), y.getLen(), y.getModificationTime()) for x in files for y in [fs.getFileStatus(x)])
+    return hashlib.sha256(repr(known).encode()).hexdigest()[:20]
+
+
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The BM25 index of the chunks, written once and read by the terms asked for."""
-    return write_index(chunks(spark, sf_dir).select("chunk_id", "content"), place(spark, "index"))
+    """The BM25 index of the chunks, with a cell for each filing; written once for a version of their table."""
+    path = f"{place(spark, '').rsplit('/', 1)[0]}/index-{version(spark, f'{sf_dir}/documents.parquet')}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/size/_SUCCESS")  # what is written last
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return read_index(spark, path)
+    c = chunks(spark, sf_dir)
+    return write_index(c.select("chunk_id", "content", cell_of("ticker", "filing_date").alias("cell")), path)
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
