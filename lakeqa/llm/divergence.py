@@ -34,7 +34,7 @@ from lakeqa.llm.common import Tables, read, text_of
 
 SCALE = 1_000_000_000
 #: Entries that a task sums up before it passes them on.
-FLUSH = 300_000
+FLUSH = 600_000
 #: Bytes of a text in UTF-8 as they stand in a term, A-Z in lower case; all others part terms. Code points above 127 are letters.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -97,8 +97,7 @@ def audit(docs: DataFrame, top: int = 200, least: int = 3, text: str = "text", l
     """lang, source, part, item, value, rank: each group against the other sources of its language (part pair), and the
     terms that it has more of than its language, up to rank ``top`` (part term)."""
     with Tables(docs.sparkSession) as tables:
-        counts = tables.cut(term_counts(docs, text, lang, source))
-        kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("all_n"), F.collect_list(F.struct("source", "n")).alias("found"))
+        kept = term_counts(docs, text, lang, source).groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("all_n"), F.collect_list(F.struct("source", "n")).alias("found"))
         kept = tables.cut(kept.filter(F.col("in_docs") >= least).drop("in_docs"))
         langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all_n").alias("lang_total"))
         rows = kept.select("lang", "term", "all_n", F.inline("found"))
