@@ -129,9 +129,14 @@ def hits(spark, sf):
     from pyspark.sql import Window
 
     top = kept(r.bm25_topk(golden(spark, sf), index(spark, sf), 5)).select("query_id", F.col("chunk_id").alias("document_id"))
-    rows = top.join(pieces(spark, sf), "document_id").withColumn("id", F.col("document_id") * 2**22 + F.col("chunk_index"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    # ranks are settled by numbers of pieces; texts are joined and cut for ten of them
+    counts = docs.select("document_id", piece_count().alias("n"))
+    rows = top.join(counts, "document_id").select("query_id", "document_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk_index"))
+    rows = rows.withColumn("id", F.col("document_id") * 2**22 + F.col("chunk_index"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("id") * 7919) % 1009, "id"))
-    rows = kept(rows.withColumn("rank", rank).filter("rank <= 10"))
+    rows = rows.withColumn("rank", rank).filter("rank <= 10").join(docs, "document_id")
+    rows = kept(rows.withColumn("content", F.substr("text", 650 * F.col("chunk_index") + 1, F.lit(800))).drop("text"))
     date = F.make_date(F.lit(2024) + (F.col("document_id") % 3).cast("int"), F.lit(1), F.lit(1))
     return rows.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("document_id").alias("filing_id"), F.col("chunk_index").alias("position"), F.lit("Acme (SRC) 10-K | x").alias("header"), F.col("content").alias("text"), date.alias("filing_date"))
 

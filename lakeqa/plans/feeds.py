@@ -6,7 +6,7 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeqa.functions import text as t
@@ -87,11 +87,15 @@ GOLDEN = """golden AS (SELECT item_id AS query_id, text AS question, left(text,
   CASE WHEN item_id % 10 = 9 THEN 'not_found' WHEN item_id % 2 = 0 THEN 'numeric' ELSE 'narrative' END AS type FROM benchmark)"""
 
 
+def piece_count() -> Column:
+    """How many pieces a document has."""
+    return 1 + F.greatest(F.lit(0), F.floor((F.length("text") - 151) / 650).cast("int"))
+
+
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by a fixed stride: piece k of a document has 800 characters from 650 k on. document_id, chunk_index, content."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 151) / 650).cast("int"))))
-    d = d.select("doc_id", "text", index.alias("chunk_index"))
+    d = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), piece_count() - 1)).alias("chunk_index"))
     return d.select(F.col("doc_id").alias("document_id"), "chunk_index", F.substr("text", 650 * F.col("chunk_index") + 1, F.lit(800)).alias("content"))
 
 
