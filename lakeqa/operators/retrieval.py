@@ -178,32 +178,45 @@ def bm25_topk(
     return _top(scores, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def _blocks(df: DataFrame, id_column: str, scope: bool, rows: int) -> DataFrame:
-    """df's vectors of unit length in blocks of up to rows: ids, vectors (float64, as bytes), scopes."""
-    df = df.select(F.col(id_column).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), (F.col("scope").cast("string") if scope else F.lit(None).cast("string")).alias("scope"))
+def _blocks(df: DataFrame, id_column: str, scopes: Column, rows: int) -> DataFrame:
+    """df's vectors of unit length in blocks of up to rows: ids, vectors (float64, as bytes), scopes (a list a row, or null)."""
+    df = df.select(F.col(id_column).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), scopes.cast("array<string>").alias("scopes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                x = np.array(part.column("embedding").to_pylist(), float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                values = [part.column("id").to_pylist(), x.tobytes(), part.column("scope").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())), strict=True)], names=["ids", "vectors", "scopes"])
+                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                values = [part.column("id").to_pylist(), x.tobytes(), part.column("scopes").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.list_(pa.int64()), pa.binary(), pa.list_(pa.list_(pa.string()))), strict=True)], names=["ids", "vectors", "scopes"])
 
-    return df.mapInArrow(run, "ids array<long>, vectors binary, scopes array<string>")
+    return df.mapInArrow(run, "ids array<long>, vectors binary, scopes array<array<string>>")
+
+
+def _allowed(wanted: list, own: list) -> np.ndarray:
+    """Which rows (one scope each) each query (some scopes, or null for any) may see."""
+    names = [scopes[0] if scopes else None for scopes in own]
+    code = {name: i for i, name in enumerate(sorted({n for n in names if n is not None}))}
+    table = np.zeros((len(wanted), len(code) + 1), bool)  # the last column: rows without a scope
+    for i, scopes in enumerate(wanted):
+        table[i, [code[n] for n in scopes if n in code] if scopes is not None else slice(None)] = True
+    return table[:, [code.get(n, len(code)) for n in names]]
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: bool = False, rows: int = 2048) -> DataFrame:
-    """query_id, chunk_id, distance, rank by cosine distance, exact. Both: id, embedding (and scope, to be equal; null asks for all).
+    """query_id, chunk_id, distance, rank by cosine distance, exact. Both: id, embedding, and with scope=True scope: of a row
+    its ticker, cell or the like, of a query the one or the array of those that it asks for (null asks for all).
 
     Both sides are packed into blocks of rows, each pair of blocks is one matrix product, and k rows of a query go on from
     each. Query blocks are broadcast where QUERY_BYTES hold all of them, else pairs of blocks are dealt to tasks.
     """
     dim = queries.select(F.size("embedding")).head()
     small = dim is not None and queries.limit(QUERY_BYTES // (8 * max(1, dim[0])) + 1).count() <= QUERY_BYTES // (8 * max(1, dim[0]))
-    asked = _blocks(queries, "query_id", scope, rows).toDF("asked", "matrix", "wanted")
-    pairs = _blocks(vectors, "chunk_id", scope, rows).crossJoin(F.broadcast(asked) if small else asked)  # blocks, not rows
+    one = lambda: F.when(F.col("scope").isNotNull(), F.array("scope")) if scope else F.lit(None)
+    many = scope and dict(queries.dtypes)["scope"].startswith("array")
+    asked = _blocks(queries, "query_id", F.col("scope") if many else one(), rows).toDF("asked", "matrix", "wanted")
+    pairs = _blocks(vectors, "chunk_id", one(), rows).crossJoin(F.broadcast(asked) if small else asked)  # blocks, not rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +225,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: bool
                 x, q = np.frombuffer(row["vectors"]).reshape(len(chunk), -1), np.frombuffer(row["matrix"]).reshape(len(query), -1)
                 distance = np.round(1 - q @ x.T, 6) + 0.0  # no negative zero
                 if scope:
-                    wanted, own = np.array(row["wanted"], object), np.array(row["scopes"], object)
-                    distance[(wanted[:, None] != own[None, :]) & np.not_equal(wanted, None)[:, None]] = np.inf
+                    distance[~_allowed(row["wanted"], row["scopes"])] = np.inf
                 order = np.argsort(chunk, kind="stable")  # ties go to the smaller id
                 best = order[np.argsort(distance[:, order], axis=1, kind="stable")[:, :k]]
                 found = np.take_along_axis(distance, best, 1)

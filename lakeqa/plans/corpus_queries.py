@@ -6,7 +6,7 @@ from lakeqa.functions import text as t
 from lakeqa.operators import corpus as c
 from lakeqa.operators import packing as k
 from lakeqa.operators import retrieval as r
-from lakeqa.plans.feeds import CHUNKS, GOLDEN, PIECES, chunks, golden, index, kept, pieces, table, tokens_sql
+from lakeqa.plans.feeds import CHUNKS, GOLDEN, PIECES, chunks, golden, index, kept, piece_count, pieces, table, tokens_sql
 from lakeqa.plans.retrieval_queries import METRICS
 
 QUERIES, ORACLES = {}, {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeqa.operators import retrieval as r
 from lakeqa.operators.corpus import embed
+from lakeqa.operators.routing import cell_dictionary, cells_of
 from lakeqa.plans.feeds import CHUNKS, GOLDEN, chunks, golden, index, kept, table, tokens_sql
 
 QUERIES, ORACLES = {}, {}
@@ -58,6 +59,19 @@ def _(spark, sf):
     return r.bm25_topk(q, index(spark, sf), 10, scope=scope)
 
 
+@query(
+    "bm25_topk_cells",
+    f"""WITH {INDEX}, {bm25_sql('l', 10)} SELECT query_id, chunk_id, score, rank FROM (SELECT l_a.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM l_a JOIN chunks USING (chunk_id)
+WHERE (query_id % 4 = 3 OR ticker = 'SRC' || (query_id % 21)) AND (query_id % 3 <> 0 OR filing_date IN (DATE '2024-01-01', DATE '2025-01-01'))) WHERE rank <= 10""",
+)
+def _(spark, sf):
+    i, q = F.col("query_id"), golden(spark, sf)
+    ticker = F.when(i % 4 != 3, F.concat(F.lit("SRC"), (i % 21).cast("string")))
+    dates = F.when(i % 3 == 0, F.array(F.lit("2024-01-01").cast("date"), F.lit("2025-01-01").cast("date")))
+    cells = cells_of(q.select("query_id", ticker.alias("ticker"), dates.alias("dates")), cell_dictionary(chunks(spark, sf)))
+    return r.bm25_topk(q, index(spark, sf), 10, cells=cells)
+
+
 def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("scope"))
 
@@ -79,6 +93,13 @@ def _(spark, sf):
     return r.dense_topk(v.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v, 10, scope=True)
 
 
+@query("dense_topk_cells", DENSE.format(on="e.label IN (q.label, (q.label + 3) % 10) OR q.vec_id % 3 = 0"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    wanted = F.when(F.col("chunk_id") % 3 != 0, F.array("scope", (F.col("scope") + 3) % 10))
+    return r.dense_topk(v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", wanted.alias("scope")), v, 10, scope=True)
+
+
 def lists(spark, sf, k=50):
     q, i = golden(spark, sf), index(spark, sf)
     return q, chunks(spark, sf), [kept(r.bm25_topk(q, i, k)), kept(r.bm25_topk(q, i, k, b=0.0))]
@@ -240,7 +261,34 @@ def _(spark, sf):
     return embed(chunks(spark, sf).select("chunk_id", "content"))
 
 
+def dense_list(spark, sf, k=50):
+    """The real dense list: questions and chunks through the default encoder."""
+    q = embed(golden(spark, sf).select("query_id", F.col("question").alias("content")))
+    return r.dense_topk(q, embed(chunks(spark, sf).select("chunk_id", "content")), k)
+
+
 @query("search_dense")
 def _(spark, sf):
-    q = embed(golden(spark, sf).select("query_id", F.col("question").alias("content")))
-    return r.dense_topk(q, embed(chunks(spark, sf).select("chunk_id", "content")), 10)
+    return dense_list(spark, sf, 10)
+
+
+@query("search_hybrid_dense")
+def _(spark, sf):
+    """Dense and BM25 lists, fused in one plan."""
+    q, c = golden(spark, sf), chunks(spark, sf)
+    return r.search(q, c, dense_list(spark, sf), "hybrid", 10, 50, bm25=r.bm25_topk(q, index(spark, sf), 50))
+
+
+@query("search_rerank_dense")
+def _(spark, sf):
+    q, c = golden(spark, sf), chunks(spark, sf)
+    return r.search(q, c, dense_list(spark, sf), "rerank", 10, 50, bm25=r.bm25_topk(q, index(spark, sf), 50))
+
+
+@query("evaluate_dense")
+def _(spark, sf):
+    """The four modes with a real dense list: both lists are made once, and each mode is derived from them."""
+    q, c = golden(spark, sf), chunks(spark, sf)
+    dense, bm25 = kept(dense_list(spark, sf)), kept(r.bm25_topk(q, index(spark, sf), 50))
+    hits = {mode: r.search(q, c, dense, mode, 10, 50, bm25=bm25) for mode in ("dense", "bm25", "hybrid", "rerank")}
+    return r.evaluate(entries(spark, sf), c, hits)[1].drop("missed")

@@ -54,6 +54,13 @@ def _(spark, sf):
     return r.scope_join(r.resolve_filing_dates(asked(spark, sf), registry(spark, sf)), chunks(spark, sf))
 
 
+@query("cells_of", f"WITH {DATES} SELECT q.query_id, CASE WHEN ticker IS NULL AND dates IS NULL THEN NULL ELSE (SELECT count(*) FROM registry r WHERE (q.ticker IS NULL OR q.ticker = r.ticker) AND (q.dates IS NULL OR list_contains(q.dates, r.filing_date))) END AS n_cells FROM resolved q")
+def _(spark, sf):
+    routed = r.resolve_filing_dates(asked(spark, sf), registry(spark, sf))
+    cells = r.cells_of(routed, r.cell_dictionary(chunks(spark, sf)))
+    return cells.select("query_id", F.when(F.col("cells").isNotNull(), F.size("cells")).cast("long").alias("n_cells"))
+
+
 ALIASES = "aliases AS (SELECT DISTINCT upper(source) AS ticker, unnest([source, replace(source, 'src', 'source ')]) AS alias FROM documents)"
 DETECTED = rf"""{ASKED}, {ALIASES}, h AS (SELECT query_id, list_distinct(list(aliases.ticker)) AS found FROM asked JOIN aliases ON regexp_matches(lower(question), '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)') GROUP BY query_id),
 detected AS (SELECT asked.query_id, CASE WHEN len(found) = 1 THEN found[1] END AS ticker, CASE WHEN found IS NULL THEN 'zero' WHEN len(found) = 1 THEN 'single' ELSE 'multiple' END AS status FROM asked LEFT JOIN h USING (query_id))"""
