@@ -8,10 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeqa.operators.replay import TTL_ANSWER, TTL_REFUSAL
 from lakeqa.operators.selection import exact_percentiles
 
-TTL_ANSWER, TTL_REFUSAL = 24 * 3600.0, 3600.0
-
 
 def build_query_log(requests: DataFrame, hits: DataFrame, answers: DataFrame) -> DataFrame:
     """Rows of the log: requests (request_id, question, error) with their answers and a summary of their chunks by rank."""
@@ -84,24 +83,41 @@ def allowed(times: list[float], state: list[float], per: int, seconds: float) ->
     return out, slots
 
 
+def busy_spells(requests: DataFrame, seconds: float) -> DataFrame:
+    """ip, tick, spell: of each stretch of ``seconds`` in which an ip has requests, the first of its spell without an empty stretch.
+
+    An empty stretch is a pause of more than ``seconds``, behind which the sliding window is empty. Stretches are reduced
+    to one row each before the shuffle, so a busy ip has as many rows as its time has stretches.
+    """
+    ticks = requests.select("ip", "tick").distinct()
+    order = Window.partitionBy("ip").orderBy("tick")
+    begins = F.when(F.coalesce(F.col("tick") - F.lag("tick").over(order) > 1, F.lit(True)), F.col("tick"))
+    return ticks.withColumn("spell", F.last(begins, True).over(order))
+
+
 def rate_limit(requests: DataFrame, per: int = 10, seconds: float = 60.0) -> DataFrame:
     """requests (id, ip, created_at) with allowed: at most per requests of an ip within seconds.
 
-    Rows of an ip come sorted to one task in Arrow batches; only per times a key are held, so a hot ip needs no memory.
+    An ip's requests are cut at pauses, where the window is empty, and its spells are dealt to tasks one by one. Rows of a
+    spell come sorted to one task in Arrow batches; only per times are held. A spell without a pause cannot be split: each
+    decision depends on those before it.
     """
-    rows = requests.select("id", "ip", "created_at").repartition("ip").sortWithinPartitions("ip", "created_at", "id")
+    us = F.unix_micros(F.col("created_at").cast("timestamp"))
+    rows = requests.select("id", "ip", "created_at", us.alias("us"), F.floor(us / F.lit(int(seconds * 1_000_000))).alias("tick"))
+    spells = busy_spells(rows, seconds).select(F.col("ip").alias("of"), F.col("tick").alias("in"), "spell")
+    rows = rows.join(spells, F.col("ip").eqNullSafe(F.col("of")) & (F.col("tick") == F.col("in"))).select("id", "ip", "created_at", "us", "spell")
+    rows = rows.repartition("ip", "spell").sortWithinPartitions("ip", "spell", "us", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, slots = None, []
         for batch in batches:
-            times = batch["created_at"].astype("int64" if str(batch["created_at"].dtype) == "int64" else "datetime64[us]").astype("int64") / 1e6
             decided = []
-            for ip, now in zip(batch["ip"], times, strict=True):
-                if ip != key:
-                    key, slots = ip, []
+            for ip, spell, now in zip(batch["ip"], batch["spell"], batch["us"] / 1e6, strict=True):
+                if (ip, spell) != key:
+                    key, slots = (ip, spell), []
                 (ok,), slots = allowed([now], slots, per, seconds)
                 decided.append(ok)
-            yield batch.assign(allowed=decided)
+            yield batch[["id", "ip", "created_at"]].assign(allowed=decided)
 
     return rows.mapInPandas(run, "id long, ip string, created_at timestamp, allowed boolean")
 
@@ -118,26 +134,6 @@ def replayed(rows: list[tuple[float, bool, bool]], state: float | None, answer_t
     return out, expires
 
 
-def answer_cache_replay(requests: DataFrame) -> DataFrame:
-    """requests (id, cache_key, created_at, cacheable, refused, cost) with outcome (hit, miss, expired) and the cost that is left."""
-    rows = requests.select("id", "cache_key", "created_at", "cacheable", "refused", "cost").repartition("cache_key").sortWithinPartitions("cache_key", "created_at", "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, expires = None, None
-        for batch in batches:
-            times = batch["created_at"].astype("datetime64[us]").astype("int64") / 1e6
-            outcomes = []
-            for k, now, fit, refused in zip(batch["cache_key"], times, batch["cacheable"], batch["refused"], strict=True):
-                if k != key:
-                    key, expires = k, None
-                (outcome,), expires = replayed([(now, bool(fit), bool(refused))], expires)
-                outcomes.append(outcome)
-            yield batch.assign(outcome=outcomes)[["id", "cache_key", "outcome", "cost"]]
-
-    out = rows.mapInPandas(run, "id long, cache_key string, outcome string, cost double")
-    return out.withColumn("cost", F.when(F.col("outcome") == "hit", 0.0).otherwise(F.col("cost")))
-
-
 def daily_request_counts(logs: DataFrame, cap: int = 200, watermark: str | None = None) -> DataFrame:
     """day, requests, capped of each UTC day; with a watermark for streams."""
     rows = logs.withWatermark("created_at", watermark) if watermark else logs

@@ -15,13 +15,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeqa.functions.text import tokenize
 
 #: Bytes of question vectors that are sent to every task at once; more are worked off in several rounds.
 QUERY_BYTES = 64 << 20
-#: Postings of a block, folders of a stored index's postings.
-BLOCK, BUCKETS = 128, 64
+#: Postings of a block, folders of a stored index's postings, chunks of a group.
+BLOCK, BUCKETS, GROUP = 128, 64, 4096
 
 
 def _top(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> DataFrame:
@@ -30,7 +31,7 @@ def _top(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> Da
 
 
 class Index(NamedTuple):
-    """postings: bucket, term, block, top_tf, least_dl, n, postings (minus_tf, dl, chunk_id, cell). terms: term, df, raw (idf before the
+    """postings: bucket, term, grp, block, top_tf, least_dl, n, postings (minus_tf, dl, chunk_id, cell). terms: term, df, raw (idf before the
     floor). chunks: chunk_id, cell, dl. size: one row of n, avgdl, mean (of raw)."""
 
     postings: DataFrame
@@ -43,27 +44,41 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def postings(chunks: DataFrame, content: str = "content", buckets: int = BUCKETS, group: int = 65_536) -> DataFrame:
-    """Blocks of postings: bucket (of the term), term, block, top_tf, least_dl, n, postings (minus_tf, dl, chunk_id, cell).
-
-    A term's chunks are dealt to groups of about ``group`` chunks of the corpus, so a term that all chunks have is spread
-    over many tasks. In a group postings stand by falling tf (which is stored negated, as it sorts) and rising length, cut into
-    blocks of BLOCK; each block says its largest tf and its shortest length. Rows without a term list all chunks, those without tokens too. chunks may have a
-    cell, the number of their filing (``routing.cell_of``).
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk_id, cell, dl, term, minus_tf of chunk_id, cell, tokens: a row for each term of a chunk, and one without a term."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            ids, cells, tokens = part.columns
+            dl = tokens.value_lengths().to_numpy(zero_copy_only=False)
+            words = tokens.flatten().dictionary_encode()
+            key, n = np.unique(np.repeat(np.arange(len(dl)), dl) * max(1, len(words.dictionary)) + words.indices.to_numpy(), return_counts=True)
+            row = np.concatenate([np.arange(len(dl)), key // max(1, len(words.dictionary))])
+            terms = pa.concat_arrays([pa.nulls(len(dl), words.dictionary.type), words.dictionary.take(pa.array(key % max(1, len(words.dictionary))))])
+            minus = np.concatenate([np.full(len(dl), -1), -n])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), cells.take(pa.array(row)), pa.array(dl[row], pa.int32()), terms, pa.array(minus, pa.int64())], names=["chunk_id", "cell", "dl", "term", "minus_tf"])
+
+
+def postings(chunks: DataFrame, content: str = "content", buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
+    """Blocks of postings: bucket (of the term), term, grp, block, top_tf, least_dl, n, postings (minus_tf, dl, chunk_id, cell).
+
+    Terms are counted chunk by chunk before the shuffle. Chunks are dealt to groups of about ``group``, so a term that all chunks have is
+    spread over many tasks. In a group a term's postings stand by falling tf (which is stored negated, as it sorts) and
+    rising length, cut into blocks of BLOCK; each block says its largest tf and its shortest length. Rows without a term
+    list all chunks, those without tokens too. chunks may have a cell, the number of their filing (``routing.cell_of``).
     """
     cell = F.col("cell") if "cell" in chunks.columns else F.lit(0).cast("long").alias("cell")
     n, tasks = chunks.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
-    groups, cores = max(1, n // group), chunks.sparkSession.sparkContext.defaultParallelism
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
     rows = chunks if tasks >= cores else chunks.repartition(cores)  # a few row groups would keep most cores idle
     rows = rows.select("chunk_id", cell, tokenize(F.coalesce(F.col(content), F.lit(""))).alias("tokens"))
-    rows = rows.select("chunk_id", "cell", F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(None).cast("string"))).alias("term"))
-    rows = rows.withColumns({"bucket": _bucket(F.col("term"), buckets), "group": F.pmod(F.xxhash64("chunk_id"), F.lit(groups))})
-    # one shuffle: both aggregations keep what it deals together
-    rows = rows.repartition("bucket", "group").groupBy("bucket", "group", "term", "chunk_id", "dl", "cell").agg((-F.count(F.lit(1))).alias("minus_tf"))
-    rows = rows.groupBy("bucket", "group", "term").agg(F.sort_array(F.collect_list(F.struct("minus_tf", "dl", "chunk_id", "cell"))).alias("all"))
-    rows = rows.select("bucket", "term", "all", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int"))).alias("block"))
+    counted = T.StructType([*rows.schema.fields[:2], T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("minus_tf", T.LongType())])
+    rows = rows.mapInArrow(_counted, counted)
+    rows = rows.withColumns({"bucket": _bucket(F.col("term"), buckets), "grp": F.pmod(F.xxhash64("chunk_id"), F.lit(max(cores, n // group))).cast("int")})
+    rows = rows.repartition("bucket", "grp").groupBy("bucket", "grp", "term").agg(F.sort_array(F.collect_list(F.struct("minus_tf", "dl", "chunk_id", "cell"))).alias("all"))
+    rows = rows.select("bucket", "grp", "term", "all", F.explode_outer(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int"))).alias("block"))
     rows = rows.withColumn("some", F.slice("all", F.col("block") * BLOCK + 1, BLOCK))
-    return rows.select("bucket", "term", "block", (-F.get("some", F.lit(0))["minus_tf"]).alias("top_tf"), F.array_min("some.dl").alias("least_dl"), F.size("some").alias("n"), F.col("some").alias("postings"))
+    return rows.select("bucket", "term", "grp", "block", (-F.get("some", F.lit(0))["minus_tf"]).alias("top_tf"), F.array_min("some.dl").alias("least_dl"), F.size("some").alias("n"), F.col("some").alias("postings"))
 
 
 def _summed(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -85,7 +100,7 @@ def write_index(chunks: DataFrame, path: str, content: str = "content", buckets:
     """Tokenise the chunks once and store postings in a folder for each bucket of terms, so that a search reads the buckets
     of its terms and, in their files, the rows of these terms; and terms, chunks and size."""
     spark = chunks.sparkSession
-    postings(chunks, content, buckets).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    postings(chunks, content, buckets).sortWithinPartitions("bucket", "term", "grp", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     terms, listed, size = _summed(_read_postings(spark, path), buckets)
     terms.write.mode("overwrite").parquet(f"{path}/terms")
     listed.write.mode("overwrite").parquet(f"{path}/chunks")
@@ -139,27 +154,33 @@ def bm25_topk(
     asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).filter(F.length("term") > 0)
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(bm25_stats(index, epsilon), "term")
     asked = asked.select("query_id", "term", _bucket(F.col("term"), buckets).alias("bucket"), (F.col("qtf") * F.col("idf")).alias("weight"))
-    if cells is not None:
-        asked = asked.join(cells.select("query_id", "cells"), "query_id")
-    hits = asked.join(index.postings, ["bucket", "term"])
     part = lambda tf, dl: F.col("weight") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / avgdl))
+    by_query = cells.select("query_id", "cells") if cells is not None else None
 
-    def summed(blocks: DataFrame) -> DataFrame:
-        rows = blocks.withColumn("p", F.explode("postings"))
-        if cells is not None:
+    def best(hits: DataFrame) -> DataFrame:
+        """query_id, chunk_id, score: the k best of each group of chunks (all, if scores may be negative). hits: grp, query_id, weight, postings."""
+        rows = hits.withColumn("p", F.explode_outer("postings"))
+        if by_query is not None:
             rows = rows.filter(F.col("cells").isNull() | F.array_contains("cells", F.col("p.cell")))
-        rows = rows.select("query_id", "weight", "p.*")
-        return rows.withColumn("tf", -F.col("minus_tf")).select("query_id", "chunk_id", part("tf", "dl").alias("part"))
+        rows = rows.select("grp", "query_id", "weight", (-F.col("p.minus_tf")).alias("tf"), "p.dl", "p.chunk_id")
+        rows = rows.groupBy("grp", "query_id", "chunk_id").agg(F.round(F.sum(part("tf", "dl")), 6).alias("score"))
+        rows = rows if scope is None else rows.join(scope, ["query_id", "chunk_id"], "left_semi")
+        rows = rows if negative else _top(rows, ["grp", "query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+        return rows.select("query_id", "chunk_id", "score")
 
+    asked = asked if by_query is None else asked.join(by_query, "query_id")
     if prune and not negative:
-        first = summed(hits.filter("block = 0")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-        first = first if scope is None else first.join(scope, ["query_id", "chunk_id"], "left_semi")
-        reached = _top(first, "query_id", [F.desc("score")], k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+        hits = asked.join(index.postings, ["bucket", "term"])
+        reached = _top(best(hits.filter("block = 0")), "query_id", [F.desc("score")], k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
         most = hits.groupBy("query_id", "term").agg(F.max(part("top_tf", "least_dl")).alias("most"))
         total = most.groupBy("query_id").agg(F.sum("most").alias("total")).join(reached, "query_id", "left")
         bounds = most.join(total, "query_id").select("query_id", "term", (F.col("total") - F.col("most")).alias("others"), "reached")
         hits = hits.join(bounds, ["query_id", "term"])
         hits = hits.filter(part("top_tf", "least_dl") + F.col("others") >= F.coalesce(F.col("reached"), F.lit(0.0)) - 1e-5)  # scores are rounded
+    else:
+        # postings of the terms asked for are dealt by group once; questions meet them there, and k rows a group go on
+        terms = asked.select("bucket", "term").distinct()
+        hits = index.postings.join(terms, ["bucket", "term"], "left_semi").select("term", "grp", "postings").repartition("grp").join(asked, "term")
     if scope is None:
         listed = index.chunks.select("chunk_id", "cell")
         least = listed if negative else listed.orderBy("chunk_id").limit(2 * k)
@@ -172,9 +193,9 @@ def bm25_topk(
             spare = spare.select("query_id", "chunk_id").unionByName(wanted.select("query_id", F.explode(F.array_distinct("cells")).alias("cell")).join(of_cell, "cell").select("query_id", "chunk_id"))
     else:
         spare = scope if negative else _top(scope, "query_id", [F.asc("chunk_id")], 2 * k)
-    rows = summed(hits).unionByName(spare.select("query_id", "chunk_id", F.lit(0.0).alias("part")))
-    scores = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    scores = scores.join(scope, ["query_id", "chunk_id"], "left_semi") if scope is not None else scores
+    # a spare chunk that scores but is not among the best of its group is behind k others, with a score of 0 as well
+    rows = best(hits).unionByName(spare.select("query_id", "chunk_id", F.lit(0.0).alias("score")))
+    scores = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
     return _top(scores, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
 
 

@@ -6,6 +6,7 @@ from lakeqa.functions import text as t
 from lakeqa.operators import answers as a
 from lakeqa.operators import logs as g
 from lakeqa.operators import retrieval as r
+from lakeqa.operators.replay import answer_cache_replay
 from lakeqa.plans.feeds import ANSWERS, LOGS, answers, chunks, golden, index, kept, logs, table
 from lakeqa.plans.retrieval_queries import INDEX, bm25_sql
 
@@ -253,7 +254,7 @@ r AS (SELECT id, key, k, 'miss' AS outcome, cost, CASE WHEN fit THEN us + ttl EN
 SELECT id, key AS cache_key, outcome, cost FROM r""",
 )
 def _(spark, sf):
-    return g.answer_cache_replay(cached(spark, sf))
+    return answer_cache_replay(cached(spark, sf))
 
 
 @query("daily_request_counts", f"WITH {LOGS} SELECT created_at::DATE AS day, count(*) AS requests, count(*) >= 330 AS capped FROM logs GROUP BY ALL")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,30 +10,13 @@ from pyspark.sql import functions as F
 from lakeqa.functions import text as t
 from lakeqa.operators.retrieval import Index, read_index, write_index
 from lakeqa.operators.routing import cell_of
+from lakeqa.operators.tables import kept, place  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; on a local master, where none is set, in one of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: tables need a folder that driver and executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str = "kept") -> DataFrame:
-    """df computed once and read from a table in the shared folder."""
-    path = place(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: chunk_id, document_id, ticker, filing_date, content."""
     d = table(spark, sf_dir, "documents")

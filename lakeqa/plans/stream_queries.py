@@ -24,36 +24,34 @@ def query(name, sql=None):
     return add
 
 
-def stream_of(spark, df, order: str, files: int = 4):
-    """df as a stream of files, a file a micro-batch, in order: they are written one after another."""
+def stream_of(spark, df, order: str, rows: int = 500_000, least: int = 3):
+    """df as a stream of files in order, some rows a file at most, a file a micro-batch.
+
+    All files are written at once by range; a stream reads files by their time, so each gets the time of its place.
+    """
     path = place(spark, "stream")
-    timed = dict(df.dtypes)[order].startswith("timestamp")
-    at = (F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)).cast("double")
-    bounds = df.select(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).head()[0] or []
-    low = [None, *sorted(set(bounds))]
-    for a, b in zip(low, [*low[1:], None], strict=True):
-        rows = df if a is None else df.filter(at >= a)
-        (rows if b is None else rows.filter((at < b) | at.isNull())).coalesce(1).write.mode("append").parquet(path)
+    files = max(least, -(-df.count() // rows))
+    df.repartitionByRange(files, order).write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((str(s.getPath().getName()), s.getPath()) for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+    for i, (_, part) in enumerate(parts):
+        fs.setTimes(part, 1_000_000_000_000 + 1000 * i, -1)
     return j.replay(spark, path, df.schema)
 
 
-def in_time(spark, df):
-    """df as a stream in order of time, some million rows a file at most, three files at least."""
-    return stream_of(spark, df, "created_at", 3 + df.count() // 2_000_000)
-
-
 def to_table(spark, stream, keys=None):
     return j.run_to_table(stream, place(spark, "table"), place(spark, "checkpoint"), keys)
 
 
 @query("stream_rate_limit", BATCH["rate_limit"])
 def _(spark, sf):
-    return to_table(spark, j.stream_rate_limit(in_time(spark, logs(spark, sf)), 2, 43_200.0))
+    return to_table(spark, j.stream_rate_limit(stream_of(spark, logs(spark, sf), "created_at"), 2, 43_200.0))
 
 
 @query("stream_answer_cache", BATCH["answer_cache_replay"].replace("SELECT id, key AS cache_key, outcome, cost FROM r", "SELECT id, key AS cache_key, outcome FROM r"))
 def _(spark, sf):
-    return to_table(spark, j.stream_answer_cache(in_time(spark, cached(spark, sf)), "60 days"))
+    return to_table(spark, j.stream_answer_cache(stream_of(spark, cached(spark, sf), "created_at"), "60 days"))
 
 
 @query("stream_daily_counts", f"WITH {LOGS} SELECT created_at::DATE AS day, count(*) AS requests, count(*) >= 330 AS capped FROM logs GROUP BY ALL")
@@ -77,7 +75,7 @@ def manifest(spark, sf):
 def _(spark, sf):
     pages = table(spark, sf, "pages").select(F.concat("url", F.lit(" "), F.col("page_id").cast("string")).alias("source_path"), "html")
     path = place(spark, "corpus")
-    j.stream_ingest(stream_of(spark, pages.withColumn("page_id", F.element_at(F.split("source_path", " "), -1).cast("long")), "page_id", 2), manifest(spark, sf), path, place(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    j.stream_ingest(stream_of(spark, pages.withColumn("page_id", F.element_at(F.split("source_path", " "), -1).cast("long")), "page_id", least=2), manifest(spark, sf), path, place(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return s.read_corpus(spark, path)[1].select("document_id", "chunk_index", "section", "content")
 
 
