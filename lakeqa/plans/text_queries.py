@@ -149,7 +149,13 @@ def _(spark, sf):
     return answers(spark, sf).select("answer_id", t.build_preview(F.col("answer"), F.concat(F.lit("Acme (SRC) 10-K | x\n"), "question", F.lit(" 1,234.5 "), "question")).alias("preview"))
 
 
-@query("parse_completion")
+@query(
+    "parse_completion",
+    f"""WITH {ANSWERS}, a AS (SELECT *, conv_id % 5 AS k FROM answers) SELECT answer_id, CASE WHEN k = 3 THEN '' ELSE coalesce(answer, '') END AS content,
+  CASE WHEN k = 1 THEN coalesce(length(question), 0) ELSE 0 END::INT AS reasoning_chars, CASE k WHEN 3 THEN NULL WHEN 2 THEN 'length' ELSE 'stop' END AS finish_reason,
+  CASE WHEN k <> 3 THEN length(question) END AS prompt_tokens, CASE WHEN k <> 3 THEN length(answer) END AS completion_tokens, CASE WHEN k <> 3 THEN length(answer) / 1000 END AS cost,
+  NULL::DOUBLE AS balance, CASE WHEN k = 3 THEN 'malformed completion' END AS error FROM a""",
+)
 def _(spark, sf):
     k = F.col("conv_id") % 5
     message = F.struct(F.col("answer").alias("content"), F.when(k == 1, F.col("question")).alias("reasoning_content"))
