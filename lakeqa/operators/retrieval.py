@@ -7,22 +7,25 @@ greatest impact, in a folder for each bucket of terms, so a search reads the buc
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeqa.functions.text import tokenize
+from lakeqa.operators.tables import kept
 
 #: Bytes of question vectors that are sent to every task at once; more are worked off in several rounds.
 QUERY_BYTES = 64 << 20
 #: Postings of a block, folders of a stored index's postings, chunks of a group.
 BLOCK, BUCKETS, GROUP = 128, 64, 4096
+#: Tokens that end a group early, and terms of all questions together that are sent to every task.
+TOKENS, TERMS = 2_000_000, 500_000
 
 
 def _top(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> DataFrame:
@@ -44,41 +47,67 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """chunk_id, cell, dl, term, minus_tf of chunk_id, cell, tokens: a row for each term of a chunk, and one without a term."""
+def _blocked(batches: Iterator[pa.RecordBatch], size: int, group: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings of chunk_id, cell, tokens: each ``group`` chunks, or as many as TOKENS tokens allow, are a group."""
+    parts, chunks, tokens = [], 0, 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids, cells, tokens = part.columns
-            dl = tokens.value_lengths().to_numpy(zero_copy_only=False)
-            words = tokens.flatten().dictionary_encode()
-            key, n = np.unique(np.repeat(np.arange(len(dl)), dl) * max(1, len(words.dictionary)) + words.indices.to_numpy(), return_counts=True)
-            row = np.concatenate([np.arange(len(dl)), key // max(1, len(words.dictionary))])
-            terms = pa.concat_arrays([pa.nulls(len(dl), words.dictionary.type), words.dictionary.take(pa.array(key % max(1, len(words.dictionary))))])
-            minus = np.concatenate([np.full(len(dl), -1), -n])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), cells.take(pa.array(row)), pa.array(dl[row], pa.int32()), terms, pa.array(minus, pa.int64())], names=["chunk_id", "cell", "dl", "term", "minus_tf"])
+        for at in range(0, batch.num_rows, min(256, group)):
+            parts.append(batch.slice(at, min(256, group)))
+            chunks, tokens = chunks + parts[-1].num_rows, tokens + len(parts[-1].column("tokens").flatten())
+            if chunks >= group or tokens >= TOKENS:
+                yield _blocks_of(pa.Table.from_batches(parts).combine_chunks(), size)
+                parts, chunks, tokens = [], 0, 0
+    if parts:
+        yield _blocks_of(pa.Table.from_batches(parts).combine_chunks(), size)
+
+
+def _blocks_of(chunks: pa.Table, size: int) -> pa.RecordBatch:
+    """A group's blocks: term, grp, block, top_tf, least_dl, n, postings."""
+    ids, cells, tokens = (c.chunk(0) for c in chunks.columns)
+    dl = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+    words = tokens.flatten().dictionary_encode()
+    key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+    # the last code stands for no term: it lists all chunks
+    code, row = np.concatenate([key // len(dl), np.full(len(dl), len(words.dictionary))]), np.concatenate([key % len(dl), np.arange(len(dl))])
+    tf = np.concatenate([tf, np.ones(len(dl), tf.dtype)])
+    order = np.lexsort((dl[row], -tf, code))
+    code, row, tf = code[order], row[order], tf[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    starts = np.flatnonzero(place % size == 0)
+    n = np.diff(np.append(starts, len(code)))
+    posting = pa.StructArray.from_arrays([pa.array(-tf, pa.int64()), pa.array(dl[row], pa.int32()), ids.take(pa.array(row)), cells.take(pa.array(row))], names=["minus_tf", "dl", "chunk_id", "cell"])
+    terms = pa.concat_arrays([words.dictionary, pa.nulls(1, words.dictionary.type)]).take(pa.array(code[starts]))
+    columns = {
+        "term": terms,
+        "grp": pa.array(np.full(len(starts), zlib.crc32(repr(ids[0].as_py()).encode())), pa.int64()),
+        "block": pa.array(place[starts] // size, pa.int32()),
+        "top_tf": pa.array(tf[starts], pa.int64()),
+        "least_dl": pa.array(np.minimum.reduceat(dl[row], starts), pa.int32()),
+        "n": pa.array(n, pa.int32()),
+        "postings": pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)), pa.int32()), posting),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def postings(chunks: DataFrame, content: str = "content", buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
     """Blocks of postings: bucket (of the term), term, grp, block, top_tf, least_dl, n, postings (minus_tf, dl, chunk_id, cell).
 
-    Terms are counted chunk by chunk before the shuffle. Chunks are dealt to groups of about ``group``, so a term that all chunks have is
-    spread over many tasks. In a group a term's postings stand by falling tf (which is stored negated, as it sorts) and
-    rising length, cut into blocks of BLOCK; each block says its largest tf and its shortest length. Rows without a term
-    list all chunks, those without tokens too. chunks may have a cell, the number of their filing (``routing.cell_of``).
+    Chunks that stand together, ``group`` of them, are a group; its blocks are made where they stand, so postings are
+    not shuffled one by one, and a term that all chunks have lies in as many groups as there are. In a group a term's postings
+    stand by falling tf (which is stored negated) and rising length, cut into blocks of BLOCK; each block says its
+    largest tf and its shortest length. Rows without a term list all chunks, those without tokens too. chunks may have a
+    cell, the number of their filing (``routing.cell_of``).
     """
     cell = F.col("cell") if "cell" in chunks.columns else F.lit(0).cast("long").alias("cell")
-    n, tasks = chunks.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
-    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    tasks, cores = chunks.select(F.spark_partition_id().alias("p")).distinct().count(), chunks.sparkSession.sparkContext.defaultParallelism
     rows = chunks if tasks >= cores else chunks.repartition(cores)  # a few row groups would keep most cores idle
     rows = rows.select("chunk_id", cell, tokenize(F.coalesce(F.col(content), F.lit(""))).alias("tokens"))
-    counted = T.StructType([*rows.schema.fields[:2], T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("minus_tf", T.LongType())])
-    rows = rows.mapInArrow(_counted, counted)
-    rows = rows.withColumns({"bucket": _bucket(F.col("term"), buckets), "grp": F.pmod(F.xxhash64("chunk_id"), F.lit(max(cores, n // group))).cast("int")})
-    rows = rows.repartition("bucket", "grp").groupBy("bucket", "grp", "term").agg(F.sort_array(F.collect_list(F.struct("minus_tf", "dl", "chunk_id", "cell"))).alias("all"))
-    rows = rows.select("bucket", "grp", "term", "all", F.explode_outer(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int"))).alias("block"))
-    rows = rows.withColumn("some", F.slice("all", F.col("block") * BLOCK + 1, BLOCK))
-    return rows.select("bucket", "term", "grp", "block", (-F.get("some", F.lit(0))["minus_tf"]).alias("top_tf"), F.array_min("some.dl").alias("least_dl"), F.size("some").alias("n"), F.col("some").alias("postings"))
+    posting = T.StructType([T.StructField("minus_tf", T.LongType()), T.StructField("dl", T.IntegerType()), *rows.schema.fields[:2]])
+    numbers = [T.StructField(name, kind) for name, kind in (("grp", T.LongType()), ("block", T.IntegerType()), ("top_tf", T.LongType()), ("least_dl", T.IntegerType()), ("n", T.IntegerType()))]
+    size = BLOCK
+    blocks = rows.mapInArrow(lambda batches: _blocked(batches, size, group), T.StructType([T.StructField("term", T.StringType()), *numbers, T.StructField("postings", T.ArrayType(posting))]))
+    return blocks.select(_bucket(F.col("term"), buckets).alias("bucket"), "*")
 
 
 def _summed(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -100,7 +129,8 @@ def write_index(chunks: DataFrame, path: str, content: str = "content", buckets:
     """Tokenise the chunks once and store postings in a folder for each bucket of terms, so that a search reads the buckets
     of its terms and, in their files, the rows of these terms; and terms, chunks and size."""
     spark = chunks.sparkSession
-    postings(chunks, content, buckets).sortWithinPartitions("bucket", "term", "grp", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    blocks = postings(chunks, content, buckets).repartition("bucket", F.pmod("grp", F.lit(8)))  # by bucket alone, one term could outgrow a task
+    blocks.sortWithinPartitions("bucket", "term", "grp", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     terms, listed, size = _summed(_read_postings(spark, path), buckets)
     terms.write.mode("overwrite").parquet(f"{path}/terms")
     listed.write.mode("overwrite").parquet(f"{path}/chunks")
@@ -150,8 +180,7 @@ def bm25_topk(
     size = index.size.head()
     buckets, mean, avgdl = (size["buckets"] if "buckets" in index.size.columns else 1), size["mean"], size["avgdl"] or 1.0
     negative = mean is not None and mean * epsilon < 0
-    # the filter is what lets Spark prune the buckets of postings by the terms asked for
-    asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).filter(F.length("term") > 0)
+    asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(bm25_stats(index, epsilon), "term")
     asked = asked.select("query_id", "term", _bucket(F.col("term"), buckets).alias("bucket"), (F.col("qtf") * F.col("idf")).alias("weight"))
     part = lambda tf, dl: F.col("weight") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / avgdl))
@@ -168,7 +197,9 @@ def bm25_topk(
         rows = rows if negative else _top(rows, ["grp", "query_id"], [F.desc("score"), F.asc("chunk_id")], k)
         return rows.select("query_id", "chunk_id", "score")
 
-    asked = asked if by_query is None else asked.join(by_query, "query_id")
+    asked = kept(asked if by_query is None else asked.join(by_query, "query_id"), "asked").filter("bucket >= 0")  # the filter is what lets Spark prune the buckets of postings by the terms asked for
+    small = asked.limit(TERMS + 1).count() <= TERMS
+    asked = F.broadcast(asked) if small else asked
     if prune and not negative:
         hits = asked.join(index.postings, ["bucket", "term"])
         reached = _top(best(hits.filter("block = 0")), "query_id", [F.desc("score")], k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
@@ -179,8 +210,7 @@ def bm25_topk(
         hits = hits.filter(part("top_tf", "least_dl") + F.col("others") >= F.coalesce(F.col("reached"), F.lit(0.0)) - 1e-5)  # scores are rounded
     else:
         # postings of the terms asked for are dealt by group once; questions meet them there, and k rows a group go on
-        terms = asked.select("bucket", "term").distinct()
-        hits = index.postings.join(terms, ["bucket", "term"], "left_semi").select("term", "grp", "postings").repartition("grp").join(asked, "term")
+        hits = index.postings.join(asked.select("bucket", "term").hint("broadcast") if small else asked.select("bucket", "term"), ["bucket", "term"], "left_semi").select("term", "grp", "postings").repartition("grp").join(asked, "term")
     if scope is None:
         listed = index.chunks.select("chunk_id", "cell")
         least = listed if negative else listed.orderBy("chunk_id").limit(2 * k)
@@ -286,19 +316,29 @@ def dedupe_newest(candidates: DataFrame, chunks: DataFrame, prefix: int = 200) -
     return kept.withColumn("rank", F.row_number().over(order)).drop("k", "start", "filing_date")
 
 
-Scorer = Callable[[pd.Series, pd.Series], pd.Series]
-
-
 def overlap_score(question: Column, content: Column) -> Column:
     """The default pair score: share of the question's distinct tokens that the content has."""
     asked = F.array_distinct(tokenize(question))
     return F.size(F.array_intersect(asked, tokenize(content))) / F.greatest(F.lit(1), F.size(asked))
 
 
+def _overlaps(candidates: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """candidates with the ``overlap_score`` as score: each question and each chunk in the lists is split once, however many lists it is in."""
+    asked = queries.join(candidates.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.array_distinct(tokenize(F.col("question"))).alias("asked"))
+    own = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", F.array_distinct(tokenize(F.col("content"))).alias("own"))
+    rows = candidates.join(own, "chunk_id").join(asked, "query_id")
+    return rows.withColumn("score", F.size(F.array_intersect("asked", "own")) / F.greatest(F.lit(1), F.size("asked")))
+
+
 def rerank_topk(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 5, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
     """query_id, chunk_id, score, rank by a pair score of question and content (a column function, or a pandas UDF)."""
-    rows = candidates.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "question"), "query_id")
-    rows = rows.select("query_id", "chunk_id", F.col("rank").alias("before"), F.round(score(F.col("question"), F.col("content")), 3).alias("score"))
+    pairs = candidates.select("query_id", "chunk_id", F.col("rank").alias("before"))
+    if score is overlap_score:
+        rows = _overlaps(pairs, queries, chunks)
+    else:
+        rows = pairs.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "question"), "query_id")
+        rows = rows.withColumn("score", score(F.col("question"), F.col("content")))
+    rows = rows.select("query_id", "chunk_id", "before", F.round("score", 3).alias("score"))
     return _top(rows, "query_id", [F.desc("score"), F.asc("before")], k).select("query_id", "chunk_id", "score", "rank")
 
 

