@@ -122,6 +122,15 @@ def rate_limit(requests: DataFrame, per: int = 10, seconds: float = 60.0) -> Dat
     return rows.mapInPandas(run, "id long, ip string, created_at timestamp, allowed boolean")
 
 
+def admit(requests: DataFrame, per: int = 10, seconds: float = 60.0, cap: int = 200) -> DataFrame:
+    """id, ip, created_at, status of requests (id, ip, created_at): the rate limit first (rate_limited), then the day's cap
+    (capped), else admitted. A request that the cap refuses uses its ip's slot, but is not of the day's count."""
+    limited = rate_limit(requests, per, seconds)
+    within = daily_cap(limited.filter("allowed"), cap).select("id", F.lit(True).alias("within"))
+    status = F.when(~F.col("allowed"), "rate_limited").when(F.col("within"), "admitted").otherwise("capped")
+    return limited.join(within, "id", "left").select("id", "ip", "created_at", status.alias("status"))
+
+
 def replayed(rows: list[tuple[float, bool, bool]], state: float | None, answer_ttl: float = TTL_ANSWER, refusal_ttl: float = TTL_REFUSAL) -> tuple[list[str], float | None]:
     """Outcomes of one key's requests (time, cacheable, refused) and the time at which the kept answer expires."""
     out, expires = [], state

@@ -227,18 +227,26 @@ def _(spark, sf):
     return g.daily_cap(logs(spark, sf)).select("id", "ip", "created_at")
 
 
-@query(
-    "rate_limit",
-    f"""WITH RECURSIVE {LOGS}, o AS (SELECT id, ip, epoch_us(created_at) AS us, row_number() OVER (PARTITION BY ip ORDER BY created_at, id) AS k FROM logs),
+RATE = f"""WITH RECURSIVE {LOGS}, o AS (SELECT id, ip, epoch_us(created_at) AS us, row_number() OVER (PARTITION BY ip ORDER BY created_at, id) AS k FROM logs),
 r AS (SELECT id, ip, k, true AS allowed, [us] AS slots FROM o WHERE k = 1 UNION ALL
   SELECT o.id, o.ip, o.k, len(list_filter(slots, lambda s: us - s <= 43200000000)) < 2, CASE WHEN len(list_filter(slots, lambda s: us - s <= 43200000000)) < 2 THEN list_append(list_filter(slots, lambda s: us - s <= 43200000000), us) ELSE list_filter(slots, lambda s: us - s <= 43200000000) END
-  FROM r JOIN o ON o.ip = r.ip AND o.k = r.k + 1)
-SELECT id, ip, allowed FROM r""",
-)
+  FROM r JOIN o ON o.ip = r.ip AND o.k = r.k + 1)"""
+
+
+@query("rate_limit", f"{RATE} SELECT id, ip, allowed FROM r")
 def _(spark, sf):
     return g.rate_limit(logs(spark, sf), 2, 43_200.0).select("id", "ip", "allowed")
 
 
+@query(
+    "admission",
+    f"""{RATE}, d AS (SELECT r.id, r.ip, allowed, created_at, row_number() OVER (PARTITION BY allowed, created_at::DATE ORDER BY created_at, r.id) AS k FROM r JOIN logs USING (id))
+SELECT id, ip, CASE WHEN NOT allowed THEN 'rate_limited' WHEN k <= 100 THEN 'admitted' ELSE 'capped' END AS status FROM d""",
+)
+def _(spark, sf):
+    return g.admit(logs(spark, sf), 2, 43_200.0, 100).select("id", "ip", "status")
+
+
 def cached(spark, sf):
     e = table(spark, sf, "events")
     return e.select(

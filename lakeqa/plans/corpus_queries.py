@@ -272,12 +272,15 @@ def _(spark, sf):
 @query(
     "control_verdict",
     f"""{COMPARED}, m AS (SELECT 'b' AS w, {METRICS} FROM base UNION ALL SELECT 'o', {METRICS} FROM other)
-SELECT true AS scorer_ok, CASE WHEN b.hit_at_5 > o.hit_at_5 AND b.mrr > o.mrr THEN 'PACKING ADDS VALUE' WHEN b.hit_at_5 = o.hit_at_5 AND abs(b.mrr - o.mrr) < 0.005 THEN 'NO DIFFERENCE' ELSE 'UNCLEAR' END AS verdict FROM m b, m o WHERE b.w = 'b' AND o.w = 'o'""",
+SELECT 'same' AS run, true AS scorer_ok, CASE WHEN b.hit_at_5 > o.hit_at_5 AND b.mrr > o.mrr THEN 'PACKING ADDS VALUE' WHEN b.hit_at_5 = o.hit_at_5 AND abs(b.mrr - o.mrr) < 0.005 THEN 'NO DIFFERENCE' ELSE 'UNCLEAR' END AS verdict FROM m b, m o WHERE b.w = 'b' AND o.w = 'o'
+UNION ALL SELECT 'missed', false, 'INVALID'""",
 )
 def _(spark, sf):
     ix = index(spark, sf)
     base, other = (kept(r.retrieval_metrics(ranks(spark, sf, b, ix))) for b in (0.75, 0.0))
-    return k.control_verdict(base, base, other, base)
+    missed = base.withColumn("mrr", F.col("mrr") + 0.001)
+    same = k.control_verdict(base, base, other, base).withColumn("run", F.lit("same"))
+    return same.unionByName(k.control_verdict(base, missed, other, base).withColumn("run", F.lit("missed")))
 
 
 @query("packed_vs_control")
@@ -309,3 +312,15 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return t.tokenizer_diff(table(spark, sf, "conversations"), ["conv_id", "turn"], F.col("text"), t.tokenize, t.plain_tokens, sample=None)[1]
+
+
+@query(
+    "tokenizer_report",
+    f"""WITH c AS (SELECT doc_id AS id, text FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 500), q AS (SELECT item_id AS id, text FROM benchmark),
+r AS (SELECT 'corpus' AS part, id, {tokens_sql('text')} AS a, regexp_extract_all(lower(text), '[a-z0-9]+') AS b FROM c UNION ALL SELECT 'questions', id, {tokens_sql('text')}, regexp_extract_all(lower(text), '[a-z0-9]+') FROM q),
+d AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY id) AS k FROM r WHERE a <> b)
+SELECT part, count(*) AS rows, count(*) FILTER (a <> b) AS mismatches, (SELECT coalesce(list({{'id': id, 'a': a, 'b': b}} ORDER BY id), []) FROM d WHERE d.part = r.part AND k <= 10) AS examples FROM r GROUP BY part""",
+)
+def _(spark, sf):
+    c = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return t.tokenizer_report(c, table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), t.tokenize, t.plain_tokens)

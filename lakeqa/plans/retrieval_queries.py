@@ -274,15 +274,14 @@ def _(spark, sf):
 
 @query("search_hybrid_dense")
 def _(spark, sf):
-    """Dense and BM25 lists, fused in one plan."""
     q, c = golden(spark, sf), chunks(spark, sf)
-    return r.search(q, c, dense_list(spark, sf), "hybrid", 10, 50, bm25=r.bm25_topk(q, index(spark, sf), 50))
+    return r.search(q, c, kept(dense_list(spark, sf)), "hybrid", 10, 50, bm25=kept(r.bm25_topk(q, index(spark, sf), 50)))
 
 
 @query("search_rerank_dense")
 def _(spark, sf):
     q, c = golden(spark, sf), chunks(spark, sf)
-    return r.search(q, c, dense_list(spark, sf), "rerank", 10, 50, bm25=r.bm25_topk(q, index(spark, sf), 50))
+    return r.search(q, c, kept(dense_list(spark, sf)), "rerank", 10, 50, bm25=kept(r.bm25_topk(q, index(spark, sf), 50)))
 
 
 @query("evaluate_dense")

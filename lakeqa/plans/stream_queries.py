@@ -89,20 +89,20 @@ def _(spark, sf):
     return s.read_manifest(spark, path).select("company", "ticker", "source_path", "filing_date")
 
 
-@query("read_golden", "SELECT item_id::VARCHAR AS id, text AS question, CASE WHEN item_id % 3 = 0 THEN [] WHEN item_id % 3 = 1 THEN [left(text, 20)] ELSE [left(text, 20), 'x'] END AS evidence_snippet FROM benchmark")
+@query("read_golden", "SELECT item_id::VARCHAR AS id, text AS question, CASE WHEN item_id % 3 = 0 THEN [] WHEN item_id % 3 = 1 THEN [text] ELSE [text, 'x'] END AS evidence_snippet FROM benchmark")
 def _(spark, sf):
     path, i = place(spark, "golden"), F.col("item_id")
-    b = table(spark, sf, "benchmark").select(i.cast("string").alias("id"), F.col("text").alias("question"), F.left("text", F.lit(20)).alias("cut"), (i % 3).alias("k"))
+    b = table(spark, sf, "benchmark").select(i.cast("string").alias("id"), F.col("text").alias("question"), F.col("text").alias("cut"), (i % 3).alias("k"))
     b.filter("k = 1").select("id", "question", F.col("cut").alias("evidence_snippet")).write.option("maxRecordsPerFile", 1).json(path)
     b.filter("k = 2").select("id", "question", F.array("cut", F.lit("x")).alias("evidence_snippet")).write.mode("append").option("maxRecordsPerFile", 1).json(path)
     b.filter("k = 0").select("id", "question").write.mode("append").option("maxRecordsPerFile", 1).json(path)
     return s.read_golden(spark, path).select("id", "question", "evidence_snippet")
 
 
-@query("write_corpus", "SELECT page_id AS document_id, 'SRC' || (page_id % 5) AS ticker, url || ' ' || page_id AS source_path, 0 AS chunk_index, left(html, 20) AS content FROM pages")
+@query("write_corpus", "SELECT page_id AS document_id, 'SRC' || (page_id % 5) AS ticker, url || ' ' || page_id AS source_path, 0 AS chunk_index, html AS content FROM pages")
 def _(spark, sf):
     path, m = place(spark, "corpus"), manifest(spark, sf)
-    html = table(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.left("html", F.lit(20)).alias("content"))
+    html = table(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.col("html").alias("content"))
     s.write_corpus(m, m.select("document_id", "ticker", F.lit(0).alias("chunk_index")).join(html, "document_id"), path)
     docs, chunks = s.read_corpus(spark, path)
     return docs.join(chunks.select("document_id", "chunk_index", "content"), "document_id").select("document_id", "ticker", "source_path", "chunk_index", "content")
