@@ -163,16 +163,19 @@ NUMBERED = RUNS + f""", n AS (SELECT *, row_number() OVER (PARTITION BY query_id
 pairs AS (SELECT a.query_id, a.number, b.number AS other, len(a.t) > 0 AND len(list_intersect(a.t, b.t)) / greatest(1, len(a.t)) >= 0.8 AS duplicate FROM n a JOIN n b ON a.query_id = b.query_id AND b.number < a.number)"""
 
 
-@query(
-    "pack",
-    f"""WITH RECURSIVE {NUMBERED},
+PACKED = f"""{NUMBERED},
 like_ AS (SELECT n.query_id, n.number, coalesce(list(other) FILTER (duplicate), []) AS others FROM n LEFT JOIN pairs p ON p.query_id = n.query_id AND p.number = n.number GROUP BY ALL),
 fold AS (SELECT query_id, 1 AS number, [1] AS kept FROM n WHERE number = 1 UNION ALL
   SELECT f.query_id, l.number, CASE WHEN len(list_intersect(others, kept)) > 0 THEN kept ELSE list_append(kept, l.number) END FROM fold f JOIN like_ l ON l.query_id = f.query_id AND l.number = f.number + 1),
 stay AS (SELECT query_id, arg_max(kept, number) AS kept FROM fold GROUP BY query_id),
 full_ AS (SELECT n.query_id, number, chunk_ids, filing_date::VARCHAR AS filing_date, 'Acme (SRC) 10-K | x' || chr(10) || text AS text FROM n JOIN stay USING (query_id) WHERE list_contains(kept, number)),
 cut_ AS (SELECT * REPLACE (CASE WHEN number = 1 THEN left(text, 6000) ELSE text END AS text), number = 1 AND length(text) > 6000 AS truncated FROM full_),
-sums AS (SELECT *, sum(length(text) + CASE WHEN number = 1 THEN 0 ELSE 2 END) OVER (PARTITION BY query_id ORDER BY number) AS used, row_number() OVER (PARTITION BY query_id ORDER BY number)::INT AS place FROM cut_)
+sums AS (SELECT *, sum(length(text) + CASE WHEN number = 1 THEN 0 ELSE 2 END) OVER (PARTITION BY query_id ORDER BY number) AS used, row_number() OVER (PARTITION BY query_id ORDER BY number)::INT AS place FROM cut_)"""
+
+
+@query(
+    "pack",
+    f"""WITH RECURSIVE {PACKED}
 SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY place) AS context,
   list({{'number': place, 'chunk_ids': chunk_ids, 'text': text, 'filing_date': filing_date, 'truncated': truncated}} ORDER BY place) AS blocks FROM sums WHERE used <= 6000 GROUP BY query_id""",
 )
@@ -283,7 +286,15 @@ def _(spark, sf):
     return same.unionByName(k.control_verdict(base, missed, other, base).withColumn("run", F.lit("missed")))
 
 
-@query("packed_vs_control")
+@query(
+    "packed_vs_control",
+    f"""WITH RECURSIVE {PACKED},
+found AS (SELECT 'PROD' AS system, query_id, rank, text FROM hits UNION ALL SELECT 'BASE', query_id, rank, text FROM hits WHERE rank <= 5 UNION ALL SELECT 'PACKED', query_id, place, text FROM sums WHERE used <= 6000
+  UNION ALL SELECT 'CONTROL', query_id, rank, text FROM (SELECT *, sum(length(text) + CASE WHEN rank = 1 THEN 0 ELSE 2 END) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM hits) WHERE rank = 1 OR used <= 6000),
+ranks AS (SELECT s.system, g.query_id, min(rank) FILTER (contains(text, snippet)) AS rank FROM golden g CROSS JOIN (SELECT unnest(['BASE', 'PROD', 'CONTROL', 'PACKED']) AS system) s
+  LEFT JOIN found f ON f.system = s.system AND f.query_id = g.query_id WHERE type <> 'not_found' GROUP BY ALL)
+SELECT system, {METRICS} FROM ranks GROUP BY system""",
+)
 def _(spark, sf):
     h = hits(spark, sf)
     e = golden(spark, sf).filter("type <> 'not_found'").select("query_id", "type", F.array("snippet").alias("snippets"), F.lit(None).cast("date").alias("filing_date"))
