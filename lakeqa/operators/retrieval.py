@@ -33,6 +33,14 @@ def _top(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> Da
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def _apart(ranked: DataFrame) -> DataFrame:
+    """The same rows (query_id, rank from 1 or null), without Spark's knowing that they are dealt by query_id.
+
+    Spark 4.1 joins up the tasks of a union whose sides are dealt alike, and fails if adaptive execution deals one anew.
+    """
+    return ranked.withColumn("query_id", F.when(F.coalesce(F.col("rank"), F.lit(1)) >= 1, F.col("query_id")))
+
+
 class Index(NamedTuple):
     """postings: bucket, term, grp, block, top_tf, least_dl, n, postings (minus_tf, dl, chunk_id, cell). terms: term, df, raw (idf before the
     floor). chunks: chunk_id, cell, dl. size: one row of n, avgdl, mean (of raw)."""
@@ -295,7 +303,7 @@ def rrf_fuse(lists: list[DataFrame], chunks: DataFrame, k: int = 10, c: int = 60
     """
     union = None
     for i, x in enumerate(lists):
-        rows = x.select("query_id", "chunk_id", "rank", F.lit(i).alias("list"))
+        rows = _apart(x.select("query_id", "chunk_id", "rank", F.lit(i).alias("list")))
         union = rows if union is None else union.unionByName(rows)
     keys = ["chunk_id"]
     if key == "prefix":
@@ -382,7 +390,7 @@ def evaluate(golden: DataFrame, chunks: DataFrame, lists: dict[str, DataFrame],
     (mode, query_id, score, start) of the ranked lists of several modes. Metrics are of the entries that have an answer."""
     answerable, ranks, blank = golden.filter("type <> 'not_found'"), None, None
     for mode, hits in lists.items():
-        of_mode = first_hit_rank(hits, answerable, chunks, k).withColumn("mode", F.lit(mode))
+        of_mode = _apart(first_hit_rank(hits, answerable, chunks, k)).withColumn("mode", F.lit(mode))
         ranks = of_mode if ranks is None else ranks.unionByName(of_mode)
         scored = hits if "score" in hits.columns else hits.withColumn("score", F.lit(None).cast("double"))
         top = not_found_top_scores(scored, golden, chunks).withColumn("mode", F.lit(mode))
