@@ -16,7 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeqa.operators.tables import kept
+
 SIZES = (16, 8, 4, 2, 1)
+#: Ids of chunks to verify that are sent to every task at most.
+IDS = 1_000_000
 
 
 def needle_size(needle: Column) -> Column:
@@ -81,6 +85,9 @@ def substring_join(
     sizes = sorted(r.q for r in texts.select("q").distinct().collect()) or [0]  # six at most
     index = gram_index(chunks, sizes, content, scope) if index is None else index
     pairs = candidates(texts, index, sizes).join(asked, "needle")
-    pairs = pairs if condition is None else pairs.filter(condition)
+    pairs = kept(pairs if condition is None else pairs.filter(condition), "candidates")
     bodies = chunks.select("chunk_id", F.col(content).alias("_body"), *(F.col(c) for c in keep))
+    ids = pairs.select("chunk_id").distinct()
+    if ids.limit(IDS + 1).count() <= IDS:  # then other chunks are left where they are
+        bodies = bodies.join(F.broadcast(ids), "chunk_id", "left_semi")
     return pairs.join(bodies, "chunk_id").filter(F.contains("_body", "needle")).drop("_body")
