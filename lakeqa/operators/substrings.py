@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lakeqa.operators.tables import kept
 
-SIZES = (16, 8, 4, 2, 1)
+SIZES = (16, 12, 10, 8, 4, 2, 1)
 #: Ids of chunks to verify that are sent to every task at most.
 IDS = 1_000_000
 
