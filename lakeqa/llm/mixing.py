@@ -126,17 +126,20 @@ def mix(
     return df.withColumn("positions", chosen).drop(*(c for c in df.columns if c.startswith(h)))
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each copy taken, range-sorted by position; ties by id and copy."""
-    columns = [c for c in mixed.columns if c not in ("positions",)]
+def training_order(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """One row for each copy taken, with copy and position (which replace columns of these names), range-sorted by position;
+    ties by id and copy."""
+    columns = [c for c in mixed.columns if c.lower() not in ("positions", "position", "copy")]
     copies = mixed.select(*columns, F.posexplode("positions").alias("copy", "position"))
-    return copies.orderBy("position", "doc_id", "copy")
+    return copies.orderBy("position", id_column, "copy")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document, range-sorted by the positions of its copies; those not taken come last."""
+    """A row for each document, with the position of its first copy (null: none), range-sorted by the positions of its copies;
+    those not taken come last."""
     mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.orderBy(F.size("positions") == 0, "positions", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    ordered = mixed.orderBy(F.size("positions") == 0, "positions", "doc_id")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +148,19 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(mixed).select("doc_id", "source", "size", "copy", "position")
 
 
+def _by_weight(value) -> str:
+    """value(u, slope) of the schedule of a source in SQL; w - 1 is its number. Each schedule is one part here."""
+    parts = [_integral(schedule)[0] for schedule in SCHEDULES]
+    return "CASE w " + " ".join(f"WHEN {i + 1} THEN {value(u, (v - u) / (b - a))!r}e0" for i, (a, b, u, v) in enumerate(parts)) + " END"
+
+
+def _position_sql(share: str) -> str:
+    root = f"sqrt(greatest(0e0, {_by_weight(lambda u, slope: u * u)} + {_by_weight(lambda u, slope: 2 * slope)} * ({share})))"
+    return f"CASE WHEN {share} <= 0 THEN 0e0 ELSE least(1e0, 2 * ({share}) / ({_by_weight(lambda u, slope: u)} + {root})) END"
+
+
 #: The same in SQL. Sources are capped in order of size by weight, which ends where capping in rounds does.
-OP2_SQL = r"""
+_MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
              md5(coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS n,
@@ -155,11 +169,18 @@ o AS (SELECT *, coalesce(sum(3 * n) OVER (ORDER BY n / w, source ROWS BETWEEN UN
         sum(w) OVER (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, sum(n) OVER () AS total FROM s),
 k AS (SELECT *, 3 * n < (total - capped) * w / free AS is_capped FROM o),
 r AS (SELECT coalesce(sum(3 * n) FILTER (is_capped), 0) AS capped, sum(w) FILTER (NOT is_capped) AS free FROM k),
-t AS (SELECT source, n, CASE WHEN is_capped THEN 3 * n ELSE (total - r.capped) * w / r.free END AS target FROM k, r),
-c AS (SELECT d.*, n, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY m, size, doc_id
+t AS (SELECT source, n, w, CASE WHEN is_capped THEN 3 * n ELSE (total - r.capped) * w / r.free END AS target FROM k, r),
+c AS (SELECT d.*, n, w, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY m, size, doc_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+"""
+OP2_SQL = f"""{_MIX_SQL}
 SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, target,
   (size * ((size + 2 * start <= 2 * target)::INT + (size + 2 * (start + n) <= 2 * target)::INT
-           + (size + 2 * (start + 2 * n) <= 2 * target)::INT))::BIGINT AS taken FROM c
+           + (size + 2 * (start + 2 * n) <= 2 * target)::INT))::BIGINT AS taken,
+  CASE WHEN size > 0 AND size + 2 * start <= 2 * target THEN {_position_sql("start / target")} END AS position FROM c
+"""
+OP2_ORDER_SQL = f"""{_MIX_SQL}
+SELECT doc_id, source, size::BIGINT AS size, copy, {_position_sql("(start + copy * n) / target")} AS position
+FROM c, (VALUES (0), (1), (2)) AS k(copy) WHERE size > 0 AND size + 2 * (start + copy * n) <= 2 * target
 """

@@ -24,6 +24,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op2_training_order": mixing.OP2_ORDER_SQL,
     "op3_url_rules": urls.OP3_RULES_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op11_line_dedup": line_dedup.OP11_SQL,
