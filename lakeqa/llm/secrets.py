@@ -3,9 +3,11 @@
 Every version of a text is a blob, named by the SHA-256 of its content. The ledger is a table with a row for each
 (blob, rule version) already scanned: blob, rule_version, spans. ``record`` adds what a table of documents brings:
 
-1. the documents are reduced to distinct blobs, whatever the number of copies;
-2. pairs of blob and rule version that the ledger has are left out;
-3. the rest is scanned, rule version by rule version, inside the row, and appended to the ledger.
+1. the documents' names are reduced to distinct blobs, and the pairs of blob and rule version that the ledger has are
+   left out: names move, texts do not;
+2. texts of the blobs that are left are met once each: those of other blobs are dropped where they stand as long as the
+   names left fit ``most`` bytes on every executor, and are dealt by blob beyond, where joined ones are dropped;
+3. they are scanned, rule version by rule version, inside the row, and appended to the ledger.
 
 ``findings`` joins the ledger back to all documents that hold a blob. The query records the documents in two batches,
 those of even ids as an earlier version of the corpus, and looks all of them up in the ledger.
@@ -26,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeqa.llm.common import new_path, read, text_of
+from lakeqa.llm.common import Tables, new_path, read, text_of
 
 #: Rules in the order in which spans at one place are listed: kind, pattern, group that is measured, its least length.
 #: The first three are the base (fixed values); for the runs of access and hex the length stands in the pattern, which
@@ -72,15 +74,22 @@ def _versions(rules: dict) -> Column:
     return F.explode(F.array(*(F.lit(v) for v in rules))).alias("rule_version")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES, text: str = "text") -> DataFrame:
-    """New rows of the ledger: blob, rule_version, spans, for each blob of docs and rule version that the ledger lacks."""
+def unseen(docs: DataFrame, ledger: DataFrame, rules: dict = RULES, text: str = "text") -> DataFrame:
+    """Blobs of docs that the ledger lacks under some rule version: blob, seen (the versions that it has; null: none)."""
+    names = docs.select(F.sha2(text_of(text), 256).alias("blob")).distinct()
+    seen = ledger.filter(F.col("rule_version").isin(*rules)).groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
+    return names.join(seen, "blob", "left").filter(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
+
+
+def scan(docs: DataFrame, left: DataFrame | None = None, rules: dict = RULES, text: str = "text") -> DataFrame:
+    """New rows of the ledger: blob, rule_version, spans, for each blob of docs and rule version that is left (as ``unseen``
+    gives them; None: all)."""
     blobs = docs.select(F.sha2(text_of(text), 256).alias("blob"), text_of(text).alias("body"))
-    blobs = blobs.groupBy("blob").agg(F.any_value("body").alias("body"))
-    if ledger is None:
+    if left is None:
         blobs = blobs.withColumn("seen", F.lit(None).cast("array<string>"))
-    else:  # by the key that the blobs are dealt by already; those with nothing left to scan go
-        seen = ledger.filter(F.col("rule_version").isin(*rules)).groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").filter(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
+    else:
+        blobs = blobs.join(left, "blob")
+    blobs = blobs.groupBy("blob").agg(F.any_value("body").alias("body"), F.any_value("seen").alias("seen"))
     fresh = lambda v: ~F.coalesce(F.array_contains("seen", v), F.lit(False))
     found = [
         F.when(fresh(v), F.struct(F.lit(v).alias("rule_version"), reduce(F.concat, [spans_of(F.col("body"), *rule) for rule in rules[v]]).alias("spans")))
@@ -90,6 +99,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = RULES,
     return rows.select("blob", "row.rule_version", "row.spans")
 
 
+#: Bytes of names of blobs that are sent to every executor at most, at NAME_BYTES each.
+MOST = 64 << 20
+NAME_BYTES = 200
 LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
 
@@ -98,26 +110,33 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(f"{path}/*")
 
 
-def record(docs: DataFrame, path: str, rules: dict = RULES, text: str = "text") -> int:
+def record(docs: DataFrame, path: str, rules: dict = RULES, text: str = "text", most: int = MOST) -> int:
     """Scan what the ledger under path lacks and append it, as a batch of its own; how many rows that were."""
     spark = docs.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     batch = f"{path}/{uuid.uuid4().hex}"
-    scan(docs, read_ledger(spark, path) if known else None, rules, text).write.parquet(batch)
+    with Tables(spark) as tables:
+        left = None
+        if known:
+            left = tables.cut(unseen(docs, read_ledger(spark, path), rules, text))
+            left = F.broadcast(left) if left.count() * NAME_BYTES <= most else left.hint("merge")
+        scan(docs, left, rules, text).write.parquet(batch)
     return spark.read.schema(LEDGER).parquet(batch).count()
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: dict = RULES, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Each row of docs with the spans of all rule versions, in order: the id column, blob, spans.
+    """Each row of docs with the spans of all rule versions, in order: the id column, blob, spans. An id column named blob or
+    spans comes back as id.
 
     Only blobs with findings are joined; a blob with many copies is a hot key on the side of the documents only,
     which adaptive execution splits.
     """
     known = ledger.filter(F.col("rule_version").isin(*rules) & (F.size("spans") > 0)).groupBy("blob")
     known = known.agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # at most one row for each rule version
-    blobs = docs.select(id_column, F.sha2(text_of(text), 256).alias("blob"))
-    return blobs.join(known, "blob", "left").select(id_column, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    blobs = docs.select(F.col(id_column).alias("_id"), F.sha2(text_of(text), 256).alias("blob"))
+    rows = blobs.join(known, "blob", "left").select("_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return rows.withColumnRenamed("_id", id_column) if id_column.lower() not in ("blob", "spans") else rows.select(F.col("_id").alias("id"), "blob", "spans")
 
 
 def written(spans: Column) -> Column:
@@ -126,9 +145,10 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_secret_scans(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """The query. ledger: path of a ledger that is kept for later runs; None is a new one for this run."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    path, older = new_path(spark, "ledger"), F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    path, older = ledger or new_path(spark, "ledger"), F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
     record(docs.filter(older), path)
     record(docs.filter(~older), path)
     found = findings(docs, read_ledger(spark, path))
