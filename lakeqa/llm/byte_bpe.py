@@ -125,12 +125,12 @@ def _rows(batches: Iterator[pa.RecordBatch], text: str, names: list[str], types:
     for batch in batches:
         values = [row(t.as_py() or "") for t in batch.column(text)]
         columns = [pa.array(x, t) for x, t in zip(zip(*values, strict=True), types, strict=True)] if values else [pa.array([], t) for t in types]
-        kept = [i for i, f in enumerate(batch.schema) if f.name not in (text, *names)]
+        kept = [i for i, f in enumerate(batch.schema) if f.name != text and f.name.lower() not in names]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*(batch.schema.names[i] for i in kept), *names])
 
 
 def _schema(df: DataFrame, text: str, more: list[T.StructField]) -> T.StructType:
-    return T.StructType([f for f in df.schema if f.name not in (text, *(m.name for m in more))] + more)
+    return T.StructType([f for f in df.schema if f.name != text and f.name.lower() not in {m.name for m in more}] + more)
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -147,6 +147,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern:
 def decode(df: DataFrame, path: str | None = None) -> DataFrame:
     """df with ids replaced by decoded (binary)."""
     path, pattern = path or vocabulary()[0], vocabulary()[1]
+    df = df.drop(*(c for c in df.columns if c.lower() == "decoded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)

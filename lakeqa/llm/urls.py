@@ -110,10 +110,11 @@ def _ruled(df: DataFrame, rules: tuple) -> tuple[Column, Column]:
 
 
 def judge(df: DataFrame, model: tuple[list[float], float], rules: tuple = RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
-    """df with host, path, rule, score (chance that the url is unwanted) and verdict."""
-    df = df.drop(*(c for c in df.columns if c.lower() in ("host", "path", "rule", "score", "verdict")))
+    """df with host, path, rule, score (chance that the url is unwanted) and verdict; columns of these names are replaced, also if one is the url."""
     h = clear_of(df)
-    df = df.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    df = df.withColumn(h + "url", F.col(url))
+    df = df.drop(*(c for c in df.columns if c.lower() in ("host", "path", "rule", "score", "verdict")))
+    df = df.withColumn("host", host_of(F.col(h + "url"))).withColumn("path", path_of(F.col(h + "url"))).drop(h + "url")
     rule, verdict = _ruled(df, rules)
     weights, bias = model
     df = df.withColumn("rule", rule).withColumn(h + "x", buckets_of(F.col("host"), F.col("path")))
