@@ -1,20 +1,20 @@
 """Main text of HTML pages (operator 9).
 
 A page is read as a flat row of text blocks. Each block has its number of words, its link density (words
-inside links / words), and the same two of the block before and the block behind. Four marks say where it stands:
-inside an element whose role is page furniture (nav, footer, aside, form and the like, or such a role attribute),
-inside an element that a word of its class or id calls so, inside article or main, a heading. A decision tree over these
-features, trained on a labelled table of blocks, says which blocks are the main text; where several features split the
-table alike, counts and densities of the block and its neighbours come before marks.
+inside links / words), and the same two of the block before and the block behind. Five marks say where it stands:
+inside an element whose role is page furniture (nav, footer, aside, button and the like),
+inside an element that a word of its class, id or role calls so, inside article or main (0.5 on pages without either), a
+heading, bare text of a container. A decision tree over these features, trained on a labelled table of blocks, says which
+blocks are the main text; where several features split the table alike, counts and densities of the block and its
+neighbours come before marks. On pages without article and main it asks for neighbours' counts and densities.
 
-The labelled table comes from SAMPLES, short pages written for this purpose, whose blocks start with +
-(main text) or - (not). ``train`` takes at most ``max_rows`` blocks and runs on the driver in
-milliseconds. Pages are independent: there is no shuffle.
+The labelled table comes from the pages of ``html_pages``, whose blocks start with + (main text) or - (not). ``train``
+takes at most ``max_rows`` blocks and runs on the driver in a second. Pages are independent: there is no shuffle.
 
 A class, id or role word speaks of the whole element only where that is sure: not on html and body, not on
 the element that is the page's main part (the first main and the first article in it, or else the first
 article) and on what holds that part, not on another article with a word of its own (post, story, ...), and
-not in names that say what an element has or how it stands (no-sidebar, nav-open). A form around the main
+not in names that say what an element has or how it stands (no-sidebar, nav-open, header-image). A form around the main
 part is no furniture either. A page without main and article whose text stands in a container named
 sidebar-left is still taken as furniture.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -39,11 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lakeqa.llm.common import read
+from lakeqa.llm.html_pages import labelled_page
 
 #: What HTML elements do to the flow of text.
 SKIPPED = frozenset("script style template head title svg iframe".split())
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd pre figcaption caption summary legend option".split())
-CONTAINERS = frozenset("address article aside blockquote body center details dialog div dl fieldset figure footer form header hr html main menu nav ol section table tbody tfoot thead tr ul".split())
+CONTAINERS = frozenset("address article aside blockquote body button center details dialog div dl fieldset figure footer form header hr html main menu nav ol section table tbody tfoot thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 FURNITURE = frozenset("nav footer aside menu dialog button".split())
@@ -57,6 +58,8 @@ FURNITURE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "
 OWN = frozenset("article post entry story".split())
 #: A name with one of these says what an element has or how it stands, not what it is.
 STATES = frozenset("no not with without has have open opened closed collapsed expanded fixed sticky".split())
+#: With one of these, a name speaks of a part of the text that is set out like that.
+CARRIERS = frozenset("figure image img layout photo picture".split())
 
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
 #: Attributes up to the tag's end, with quoted values that may hold it; it fails at the next tag's beginning at the latest.
@@ -73,8 +76,9 @@ class Block(NamedTuple):
     linked: int
     role: bool
     named: bool
-    main: bool
+    main: float
     heading: bool
+    bare: bool
 
 
 def markup(page: str) -> Iterator[tuple[str, bool, str, str]]:
@@ -131,8 +135,8 @@ def _place(name: str, attributes: str, inside_main: bool) -> tuple[bool, bool, b
         names = [w for m in ATTRIBUTE.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()]
         for words in (re.split(r"[^a-z0-9]+", w) for w in names):
             marks.update(words)
-            if not STATES.intersection(words):
-                named.update(words)
+            if not STATES.intersection(words) and not CARRIERS.intersection(words):
+                named.update(w for w in words if w != "form" or w == words[-1])  # form-group is no form
         hidden = bool(HIDDEN.search(attributes))
         if marks & OWN:
             named = set() if name == "article" else named - {"header"}
@@ -177,7 +181,7 @@ def blocks_of(page: str) -> list[Block]:
         words = "".join(pieces).split()
         if words:
             own = top()
-            out.append((Block(" ".join(words), len(words), min(linked, len(words)), own.role, False, own.main, heading), own.named))
+            out.append((Block(" ".join(words), len(words), min(linked, len(words)), own.role, False, float(own.main), heading, own.name not in LEAVES), own.named))
         pieces, linked = [], 0
 
     for name, closing, attributes, raw in markup(page):
@@ -227,55 +231,37 @@ def blocks_of(page: str) -> list[Block]:
         while named not in excused:
             excused.add(named)
             named = outer[named]
-    return [b._replace(named=named not in excused) for b, named in out]
+    unknown = {} if parts else {"main": 0.5}
+    return [b._replace(named=named not in excused, **unknown) for b, named in out]
 
 
 #: Names of the features, for reports and tests.
-FEATURES = ("words", "density", "words before", "density before", "words behind", "density behind", "role", "named", "main", "heading")
+FEATURES = ("words", "density", "words before", "density before", "words behind", "density behind", "role", "named", "main", "heading", "bare")
+PLACE = FEATURES.index("main")
 
 
 def features_of(blocks: list[Block]) -> list[tuple[float, ...]]:
     own = [(float(b.words), b.linked / b.words) for b in blocks]
     around = [(0.0, 0.0), *own, (0.0, 0.0)]
-    return [(*own[i], *around[i], *around[i + 2], float(b.role), float(b.named), float(b.main), float(b.heading)) for i, b in enumerate(blocks)]
-
-
-_LONG = "the council met on tuesday to discuss the new bridge and voted to fund repairs over three years after a long debate"
-SAMPLES = (
-    f"<body><nav><ul><li><a>-Home</a></li><li><a>-News</a></li></ul></nav><div class=ad>-Buy now and save on every order today.</div><article><h1>+Bridge to be repaired</h1><p>+{_LONG}</p><p>+Yes.</p>"
-    f"<p>+{_LONG} {_LONG}</p><p>+So <a>it goes</a>.</p></article><footer>-&copy; example &middot; all about us and what we do.</footer>",
-    f"<body><header><h1>-The Daily Page</h1><a>-Sign in</a></header><main><h2>+Rain</h2><p>+{_LONG}</p><p>+Short one.</p><ul><li>+one thing</li><li>+two things</li></ul><form><p>-Your mail</p></form></main>"
-    f"<aside><h3>-Read also</h3><p>-{_LONG}</p></aside><footer><p>-{_LONG}</p></footer>",
-    f"<body><div><a>-Home</a> <a>-About</a></div><div><a>-World</a></div><div><h1>+A day out</h1><p>+{_LONG}</p><p>+{_LONG}</p><p>+The end came soon and was not expected by many of them</p></div>"
-    f"<div class=comments><p>-{_LONG}</p><p>-I agree.</p></div><div><a>-Terms</a></div><div><a>-Privacy</a></div>",
-    f"<body><div class='cookie-notice'><p>-We use cookies to make this page work and to see how it is used by all.</p></div><div><p>+{_LONG}</p><p>+{_LONG}</p><h2>+Next steps</h2><p>+{_LONG}</p></div>"
-    f"<div class=sidebar><p>-{_LONG}</p><ul><li><a>-One</a></li><li><a>-Two more of these</a></li></ul></div><p>-All rights reserved</p>",
-    f"<body><article><header><h1>+Own header</h1><p>+By the editor</p></header><p>+{_LONG}</p><aside><p>-{_LONG}</p></aside><p>+Then rest.</p><section id=comments><p>-{_LONG}</p><p>-No.</p></section></article>"
-    f"<div class=newsletter><p>-Get the weekly letter in your box every monday morning for free</p></div>",
-    f"<body><main><p>+See <a>this page</a> and <a>that page</a></p><p>+{_LONG}</p><nav><a>-Next</a></nav><table><tr><td>+Cell</td><td>+Other cell</td></tr></table></main><div role=contentinfo><p>-{_LONG}</p></div>",
-    f"<body><ul><li><a>-First section of the paper</a></li><li><a>-Second section</a></li></ul><p>+{_LONG}</p><p>+{_LONG}</p><ul><li><a>-Related story one about the bridge</a></li><li><a>-Related two</a></li></ul><p><a>-Contact</a></p>",
-    f"<body><nav><a>-Home</a></nav><article><h1>+Only an article</h1><p>+{_LONG}</p><p>+Short end.</p></article>",
-    f"<body><p>+{_LONG}</p><p>+{_LONG}</p>",
-    f"<body><main><h1>+Note</h1><p>+Brief.</p></main>",
-    f"<body><article><p>+{_LONG}</p></article><p>-All rights reserved</p>",
-    f"<body><p>-Menu</p><h1>+The title of the page</h1><p>+{_LONG}</p><p>+{_LONG}</p><p>-Imprint</p><p>-Contact us</p>",
-    f"<html class=no-sidebar><body class='with-sidebar'><nav><a>-Home</a></nav><article class='post social'><h1>+In a wrapped page</h1><p>+{_LONG}</p><p>+Yes.</p></article><div class=sidebar><p>-{_LONG}</p></div>",
-    f"<body class='nav-open'><form id=all><div class='search layout'><div class=menu><p>-Menu of the page</p></div><main class=widget><p>+{_LONG}</p><p>+{_LONG}</p></main></div></form><div class=comments><article class=comment><p>-{_LONG}</p></article></div>",
-    f"<body><div class='content no-sidebar'><h1>+Without an article</h1><p>+{_LONG}</p><p>+{_LONG}</p></div><div class=related><p>-{_LONG}</p></div>",
-)
+    return [(*own[i], *around[i], *around[i + 2], float(b.role), float(b.named), b.main, float(b.heading), float(b.bare)) for i, b in enumerate(blocks)]
+
+
+#: Seeds of the labelled pages.
+PAGES = 400
 
 
-def labelled_blocks(pages: tuple[str, ...] = SAMPLES) -> list[tuple[tuple[float, ...], int]]:
+def labelled_blocks(pages: Iterable[str] | None = None) -> list[tuple[tuple[float, ...], int]]:
     """The labelled table: features of a block, 1 for main text."""
     rows = []
-    for page in pages:
+    for page in map(labelled_page, range(PAGES)) if pages is None else pages:
         blocks = blocks_of(page)
         rows += [(f, int(b.text[0] == "+")) for f, b in zip(features_of(blocks), blocks, strict=True)]
     return rows
 
 
-def train(rows: list[tuple[tuple[float, ...], int]], depth: int = 6, max_rows: int = 10_000) -> tuple:
-    """A decision tree by Gini impurity: (feature, threshold, below, above), or a share of main text as a leaf."""
+def train(rows: list[tuple[tuple[float, ...], int]], depth: int = 8, max_rows: int = 10_000) -> tuple:
+    """A decision tree by Gini impurity: (feature, threshold, below, above), or a share of main text as a leaf. It asks first
+    for the place: outside or inside the page's main part, or a page without one."""
     if len(rows) > max_rows:
         raise ValueError(f"over {max_rows} labelled blocks")
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
@@ -297,7 +283,11 @@ def train(rows: list[tuple[tuple[float, ...], int]], depth: int = 6, max_rows: i
         _, f, t, low = best
         return (f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
 
-    return grow(x, y, depth)
+    # pages without article and main are learned by themselves, so neighbours matter there and not inside an article
+    where = x[:, PLACE]
+    parts = ((where < 0.25, 0.0), ((where >= 0.25) & (where < 0.75), 1.0), (where >= 0.75, 1.0))
+    outside, unknown, inside = (grow(x[w], y[w], depth) if w.any() else other for w, other in parts)
+    return (PLACE, 0.25, outside, (PLACE, 0.75, unknown, inside))
 
 
 def is_main(tree, features: tuple[float, ...]) -> bool:
@@ -315,7 +305,7 @@ def main_text(page: str | None, tree) -> str:
 def extract(df: DataFrame, tree=None, html: str = "html") -> DataFrame:
     """df without html, with text and n_chars."""
     tree = train(labelled_blocks()) if tree is None else tree
-    kept = [f for f in df.schema if f.name not in (html, "text", "n_chars")]
+    kept = [f for f in df.schema if f.name != html and f.name.lower() not in ("text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
