@@ -96,24 +96,29 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (total[at] / max(1.0, total.sum())).astype(np.float32)
 
 
-def training_sample(labelled: DataFrame, per_language: int = 600, max_rows: int = 20_000) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, buckets, shares) of a bounded sample of labelled rows (text, lang)."""
+def training_sample(labelled: DataFrame, per_language: int = 600, max_rows: int = 20_000, max_bytes: int = 1 << 30) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, buckets, shares) of a bounded sample of labelled rows (text, lang): texts in order of a hash, as many as the
+    bounds of rows and of bytes of all bags leave to each language, one at least."""
     rows = labelled.filter("lang IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
     languages = rows.select("lang").distinct().limit(max_rows + 1).count()
     if languages > max_rows:
         raise ValueError(f"over {max_rows} languages")
     most = min(per_language, max_rows // max(1, languages))
-    # the group limit is applied before the shuffle; copies of a text have one rank
-    top = rows.select("lang", "h").withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= most)
+    # copies of a text are one before they are ranked; the group limit is applied before the shuffle by language
+    ranked = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    top = ranked.filter(F.col("k") <= most)
     bounds = top.groupBy("lang").agg(F.max("h").alias("bound"))
-    chosen = rows.join(F.broadcast(bounds), "lang").filter("h <= bound").dropDuplicates(["lang", "h"]).select("lang", "text")
+    chosen = rows.join(F.broadcast(bounds), "lang").filter("h <= bound").dropDuplicates(["lang", "h"]).select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [bag(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), *(pa.array([x[i].tobytes() for x in bags], pa.binary()) for i in (0, 1))], names=["lang", "buckets", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), *(pa.array([x[i].tobytes() for x in bags], pa.binary()) for i in (0, 1))], names=["lang", "h", "buckets", "shares"])
 
-    got = sorted((r["lang"], bytes(r["buckets"]), bytes(r["shares"])) for r in chosen.mapInArrow(run, "lang string, buckets binary, shares binary").collect())
+    bags = chosen.mapInArrow(run, "lang string, h long, buckets binary, shares binary")
+    before = F.sum(F.length("buckets") + F.length("shares")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    bags = bags.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < max_bytes // max(1, languages)).drop("before", "h")
+    got = sorted((r["lang"], bytes(r["buckets"]), bytes(r["shares"])) for r in bags.collect())
     return [(lang, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for lang, b, s in got if b]
 
 

@@ -376,6 +376,21 @@ def test_language_rejection(spark):
             assert len(accepted) > 10 and (np.mean(accepted) <= most if outside else np.mean(accepted) >= most)
 
 
+def test_language_sample(spark):
+    """Copies count once; the bounds of rows and bytes leave each language its first texts, one at least; a table of nulls has none."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    rows = [("a", "same text of all")] * 500 + [("a", words(i)) for i in range(30)] + [("b", words(i)) for i in range(9)] + [(None, "x"), ("b", None)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    sample = language.training_sample(df)
+    assert collections.Counter(x[0] for x in sample) == {"a": 31, "b": 9}
+    assert collections.Counter(x[0] for x in language.training_sample(df, per_language=5)) == {"a": 5, "b": 5}
+    assert collections.Counter(x[0] for x in language.training_sample(df, max_bytes=2)) == {"a": 1, "b": 1}
+    most = sum(len(b) * 8 for _, b, _ in sample) // 2
+    few = language.training_sample(df, max_bytes=most)
+    assert 2 < len(few) < len(sample) and sum(len(b) * 8 for _, b, _ in few) <= most + 2 * max(len(b) * 8 for _, b, _ in sample)
+    assert language.training_sample(spark.createDataFrame([(None, None)], "lang string, text string")) == []
+
+
 def test_language_vectors():
     """Predictions of many texts at once are those of each alone; words of any length; the same subwords wherever a word stands."""
     rng, sample = np.random.default_rng(0), []
