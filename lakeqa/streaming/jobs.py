@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,9 @@ from lakeqa.operators.corpus import build_corpus
 from lakeqa.operators.logs import TTL_ANSWER, allowed, daily_request_counts, replayed, windowed_stats
 from lakeqa.sources.tables import write_corpus
 
+#: Buckets that the keys of a stream with state are dealt to.
+BUCKETS = 1024
+
 
 def stream_ingest(pages: DataFrame, manifest: DataFrame, path: str, checkpoint: str):
     """Append the corpus of new filings under path. pages: stream of source_path, html; a filing is loaded once.
@@ -51,50 +54,67 @@ def stream_request_stats(logs: DataFrame, width: str = "1 hour", watermark: str
     return windowed_stats(logs.withColumn("created_at", _instant()), width, watermark)
 
 
-def _sorted_rows(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(list(frames)).sort_values(["created_at", "id"], kind="stable")
-    return rows.assign(seconds=rows["created_at"].astype("datetime64[us]").astype("int64") / 1e6)
+def _by_bucket(requests: DataFrame, key: str, decide: Callable[[tuple, list[float]], tuple[object, list[float]]], seconds: float, out: str, watermark: str, buckets: int) -> DataFrame:
+    """id, key and what ``decide`` says of each request (its time in seconds and its further columns) by what is kept of its key.
+
+    A call of Python and a row of state are a bucket of keys, not a key: keys have a few rows a micro-batch, so a call for each
+    would cost more than its rows. A bucket's state has what is kept of its keys, and until when; a key without rows in a
+    micro-batch leaves it when the watermark is past that.
+    """
+
+    def update(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, until, told = {}, {}, []
+        if state.exists:
+            keys, values, ends = state.get
+            kept, until = dict(zip(keys, values, strict=True)), dict(zip(keys, ends, strict=True))
+        now = state.getCurrentWatermarkMs()
+        fresh = {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values(["created_at", "id"], kind="stable")
+            times = (rows["created_at"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
+            for k, *row in zip(rows[key].tolist(), times, *(rows[c].tolist() for c in rows.columns[4:]), strict=True):
+                said, kept[k] = decide(row, kept.get(k, []))
+                told.append(said)
+                fresh[k] = int(1000 * (row[0] + seconds)) + 1
+            yield pd.DataFrame({"id": rows["id"], key: rows[key], out.split()[0]: told})
+        until |= fresh
+        left = [k for k in kept if k in fresh or until[k] >= now]
+        if left:
+            state.update((left, [list(kept[k]) for k in left], [until[k] for k in left]))
+            state.setTimeoutTimestamp(max(now + 1, min(until[k] for k in left)))
+        else:
+            state.remove()
 
+    rows = requests.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), "id", key, _instant(), *(c for c in requests.columns if c not in ("id", key, "created_at")))
+    kind = dict(requests.dtypes)[key]
+    grouped = rows.withWatermark("created_at", watermark).groupBy("bucket")
+    return grouped.applyInPandasWithState(update, f"id long, {key} {kind}, {out}", f"keys array<{kind}>, kept array<array<double>>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
-def stream_rate_limit(requests: DataFrame, per: int = 10, seconds: float = 60.0, watermark: str = "1 hour") -> DataFrame:
+
+def stream_rate_limit(requests: DataFrame, per: int = 10, seconds: float = 60.0, watermark: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """id, ip, allowed for a stream of requests (id, ip, created_at). Within a micro-batch rows are taken by time, across batches as they come.
 
     A key's state is at most per times; it is dropped when the watermark is past the key's window. Later rows are dropped.
     """
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _sorted_rows(frames)
-        decided, slots = allowed(rows["seconds"].tolist(), list(state.get[0]) if state.exists else [], per, seconds)
-        state.update((slots,))
-        state.setTimeoutTimestamp(int(1000 * (rows["seconds"].iloc[-1] + seconds)) + 1)
-        yield pd.DataFrame({"id": rows["id"], "ip": key[0], "allowed": decided})
+    def decide(row: tuple, slots: list[float]) -> tuple[bool, list[float]]:
+        (ok,), slots = allowed([row[0]], slots, per, seconds)
+        return ok, slots
 
-    grouped = requests.select("id", "ip", _instant()).withWatermark("created_at", watermark).groupBy("ip")
-    return grouped.applyInPandasWithState(update, "id long, ip string, allowed boolean", "slots array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return _by_bucket(requests.select("id", "ip", "created_at"), "ip", decide, seconds, "allowed boolean", watermark, buckets)
 
 
-def stream_answer_cache(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def stream_answer_cache(requests: DataFrame, watermark: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """id, cache_key, outcome for a stream of requests (id, cache_key, created_at, cacheable, refused). State: when the kept answer expires.
 
     Once the watermark is past that, the state is dropped and a later request counts as a miss, not as expired.
     """
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _sorted_rows(frames)
-        known = state.get[0] if state.exists else None
-        outcomes, expires = replayed(list(zip(rows["seconds"], rows["cacheable"], rows["refused"], strict=True)), known)
-        state.update((expires,))
-        state.setTimeoutTimestamp(int(1000 * (rows["seconds"].iloc[-1] + TTL_ANSWER)) + 1)
-        yield pd.DataFrame({"id": rows["id"], "cache_key": key[0], "outcome": outcomes})
-
-    grouped = requests.select("id", "cache_key", _instant(), "cacheable", "refused").withWatermark("created_at", watermark).groupBy("cache_key")
-    return grouped.applyInPandasWithState(update, "id long, cache_key string, outcome string", "expires double", "append", GroupStateTimeout.EventTimeTimeout)
+    def decide(row: tuple, kept: list[float]) -> tuple[str, list[float]]:
+        (outcome,), expires = replayed([tuple(row)], kept[0] if kept else None)
+        return outcome, [] if expires is None else [expires]
+
+    return _by_bucket(requests.select("id", "cache_key", "created_at", "cacheable", "refused"), "cache_key", decide, TTL_ANSWER, "outcome string", watermark, buckets)
 
 
 def replay(spark, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
