@@ -176,3 +176,31 @@ def test_percentiles(spark, monkeypatch, few):
             assert selection.exact_percentiles(df, "v", shares, 10) == [percentile(values, p) for p in shares], name
     assert selection.exact_percentiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]) == [None]
     assert selection.exact_percentiles(spark.range(101), "id", [0.95]) == [95.0]
+
+
+def test_scores_are_bounded(spark, stored, monkeypatch):
+    """Tasks that score grow with the groups; rounds of questions, questions dealt to parts and listed chunks twice change no list."""
+    chunks, index, _ = stored
+    queries = asked(spark)
+    scope = queries.select("query_id").join(chunks.select("chunk_id").filter("chunk_id % 3 = 0"))
+    cells = queries.select("query_id", F.when(F.col("query_id") % 3 > 0, F.array(F.col("query_id").cast("long"))).alias("cells")).join(chunks.select(routing.cell_of("ticker", "filing_date").alias("c")).agg(F.min("c").alias("c")))
+    cells = cells.select("query_id", F.when(F.col("cells").isNotNull(), F.array("c")).alias("cells"))
+    lists = lambda: [rows_of(retrieval.bm25_topk(queries, index, 6, **kinds)) for kinds in ({}, {"scope": scope}, {"cells": cells}, {"scope": scope, "cells": cells}, {"prune": True})]
+    want = lists()
+    for name, value in (("SCORES", 1000), ("TERMS", 20)):
+        monkeypatch.setattr(retrieval, name, value)
+        assert lists() == want
+    monkeypatch.setattr(retrieval, "TERMS", 500_000)
+    monkeypatch.setattr(retrieval, "GROUP", 10)
+    df = retrieval.bm25_topk(queries, index, 6)
+    assert rows_of(df) == want[0]
+    assert "hashpartitioning(grp" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ", 82)" in plan
+
+
+def test_chunk_listed_twice(spark):
+    """Two rows of one chunk id in a group add up, as they do in different groups."""
+    rows = [(i, f"apple pear{i}") for i in range(6)] + [(2, "apple apple pear2"), (9, "plum")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "pear2 apple")], "query_id int, question string")
+    got = {group: rows_of(retrieval.bm25_topk(queries, retrieval.build_index(chunks.coalesce(n)), 3)) for group, n in (("one", 1), ("several", 4))}
+    assert got["one"] == got["several"]
