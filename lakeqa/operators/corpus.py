@@ -193,9 +193,9 @@ def embed(chunks: DataFrame, encode_fn: Callable[[list[str]], np.ndarray] = hash
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = frame["content"].tolist()
-            vectors = [v for i in range(0, len(texts), batch) for v in encode_fn(texts[i : i + batch])]
-            yield frame.assign(embedding=vectors)
+            for i in range(0, len(frame), batch):  # vectors go on batch by batch, not a whole frame's at once
+                part = frame.iloc[i : i + batch]
+                yield part.assign(embedding=list(encode_fn(part["content"].tolist())))
 
     return chunks.mapInPandas(run, T.StructType([*chunks.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
