@@ -197,6 +197,23 @@ def test_scores_are_bounded(spark, stored, monkeypatch):
     assert "hashpartitioning(grp" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ", 82)" in plan
 
 
+def test_stored_blocks_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """More text is more tasks that sort the postings of an index, each of about the same number of blocks, and the lists do not change."""
+    _, chunks = corpus(spark)
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    chars = chunks.agg(F.sum(F.length("content"))).head()[0]
+    tasks, lists = {}, []
+    for n in (8, 96):
+        monkeypatch.setattr(retrieval, "CHARS", math.ceil(chars / n), raising=False)
+        index = retrieval.write_index(chunks, str(tmp_path / f"of{n}"), buckets=16)
+        task = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+        tasks[n] = [r["count"] for r in index.postings.groupBy(task.alias("task")).count().collect()]
+        lists.append(rows_of(retrieval.bm25_topk(asked(spark), index, 6)))
+    assert len(tasks[8]) == 8 and len(tasks[96]) == 96 and sum(tasks[8]) == sum(tasks[96])
+    assert max(tasks[96]) <= 3 * sum(tasks[96]) / 96
+    assert lists[0] == lists[1] == rows_of(retrieval.bm25_topk(asked(spark), retrieval.build_index(chunks), 6))
+
+
 def test_chunk_listed_twice(spark):
     """Two rows of one chunk id in a group add up, as they do in different groups."""
     rows = [(i, f"apple pear{i}") for i in range(6)] + [(2, "apple apple pear2"), (9, "plum")]
