@@ -211,6 +211,9 @@ def test_stored_blocks_are_dealt_by_size(spark, tmp_path, monkeypatch):
         lists.append(rows_of(retrieval.bm25_topk(asked(spark), index, 6)))
     assert len(tasks[8]) == 8 and len(tasks[96]) == 96 and sum(tasks[8]) == sum(tasks[96])
     assert max(tasks[96]) <= 3 * sum(tasks[96]) / 96
+    monkeypatch.setattr(retrieval, "SORTS", 24)
+    index = retrieval.write_index(chunks, str(tmp_path / "most"), buckets=16)
+    assert index.postings.select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)).distinct().count() == 24
     assert lists[0] == lists[1] == rows_of(retrieval.bm25_topk(asked(spark), retrieval.build_index(chunks), 6))
 
 
