@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakeqa.functions import text
 from lakeqa.operators import packing, retrieval, routing, selection, substrings
 
 CHUNK = "chunk_id long, ticker string, filing_date date, content string"
@@ -224,3 +225,29 @@ def test_chunk_listed_twice(spark):
     queries = spark.createDataFrame([(1, "pear2 apple")], "query_id int, question string")
     got = {group: rows_of(retrieval.bm25_topk(queries, retrieval.build_index(chunks.coalesce(n)), 3)) for group, n in (("one", 1), ("several", 4))}
     assert got["one"] == got["several"]
+
+
+def test_tokens_in_python(spark):
+    """Tokens of an index are those of ``tokenize``, whatever the text, and in slices of a table too."""
+    random.seed(5)
+    texts = ["", None, "   ", "a", "As the US's class glasses's ss sss", "İstanbul Kelvin ſtraße ’s 's ’S’s", "naïve—dashes 10-K’s 3.5% x_y\tz\n\x0b\x1c\x85 tab", "😀😀 ab😀cd 日本 gas bus", "s" * 3 + " " + "s" * 4, "whos whose does doess", "end"]
+    pool = ["s", "'", "’", "S", "a", "9", " ", "é", "😀", "was", "its", "İ", "-"]
+    texts += ["".join(random.choices(pool, k=random.choice([0, 1, 5, 60]))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = rows.select("i", text.plain(F.col("t")).alias("p"), text.tokenize(F.col("t")).alias("want")).orderBy("i").toArrow().combine_chunks()
+    want = [w or [] for w in got["want"].to_pylist()]
+    plain = got["p"].chunk(0)
+    assert text.tokens_of(plain).to_pylist() == want and sum(map(len, want)) > 300
+    assert [x for at in range(0, len(plain), 7) for x in text.tokens_of(plain.slice(at, 7)).to_pylist()] == want
+    assert text.tokens_of(plain.slice(0, 0)).to_pylist() == []
+
+
+def test_order_of_postings():
+    """One sort of packed numbers orders postings as a sort by four keys does, and where 63 bits do not hold them that sort is taken."""
+    rng = np.random.default_rng(6)
+    for most in (5, 2**40):
+        code, row = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(30), indexing="ij"))
+        tf, dl = rng.integers(1, most, len(code), endpoint=True), rng.integers(0, 2**30 if most > 5 else 4, 30).astype(np.int32)
+        order = np.lexsort((row, dl[row], -tf, code))
+        got = retrieval._by_impact(code, row, tf, dl)
+        assert all((a == b[order]).all() for a, b in zip(got, (code, row, tf), strict=True))
