@@ -198,6 +198,19 @@ def test_scores_are_bounded(spark, stored, monkeypatch):
     assert "hashpartitioning(grp" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ", 82)" in plan
 
 
+def test_postings_are_dealt_as_numbers(spark, stored):
+    """What is dealt to the tasks that score are lists of numbers, not structs; cells go along only for questions that have them."""
+    chunks, _, path = stored
+    index, queries = retrieval.read_index(spark, path), asked(spark)
+    cells = routing.cells_of(queries.select("query_id", F.lit("A").alias("ticker"), F.lit(None).cast("array<date>").alias("dates")), routing.cell_dictionary(chunks))
+    for kinds, sent in (({}, False), ({"cells": cells}, True)):
+        df = retrieval.bm25_topk(queries, index, 6, **kinds)
+        assert rows_of(df) == rows_of(retrieval.bm25_topk(queries, retrieval.build_index(chunks.withColumn("cell", routing.cell_of("ticker", "filing_date"))), 6, **kinds))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "minus_tf" in line and "Project" in line]
+        assert dealt and all(("cell#" in line) == sent for line in dealt)
+
+
 def test_stored_blocks_are_dealt_by_size(spark, tmp_path, monkeypatch):
     """More text is more tasks that sort the postings of an index, each of about the same number of blocks, and the lists do not change."""
     _, chunks = corpus(spark)
